@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, langid, quality, secrets, token_counts
+from lodestone.llm import byte_bpe, class_lm, langid, quality, secrets, substring_dedup, token_counts
 from lodestone.llm.common import crc_bucket, table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 MAX_TOKENS = 1024
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = class_lm.fit_and_score(docs, crc_bucket(F.col("doc_id"), 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.learn(docs))
@@ -38,6 +44,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeats(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.secret_spans(docs)
@@ -47,7 +58,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_byte_bpe, op5_quality_rules, op6_token_counts, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op5_quality_rules, op6_token_counts, op7_substring_dedup, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
