@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, class_lm, langid, quality, secrets, substring_dedup, token_counts
+from lodestone.llm import byte_bpe, class_lm, langid, quality, secrets, simhash, substring_dedup, token_counts
 from lodestone.llm.common import crc_bucket, table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.secret_spans(docs)
@@ -58,7 +62,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op5_quality_rules, op6_token_counts, op7_substring_dedup, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op5_quality_rules, op6_token_counts, op7_substring_dedup, op8_simhash, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
