@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, class_lm, langid, quality, secrets, simhash, substring_dedup, token_counts
+from lodestone.llm import byte_bpe, class_lm, decontaminate, langid, pii, quality, secrets, simhash, substring_dedup, token_counts
 from lodestone.llm.common import crc_bucket, table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -32,6 +32,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(k.name).alias(f"n_{k.name}") for k in pii.KINDS[: pii.BASE]]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.joined(base_only=True), 256).alias("base_sha256"), pii.joined().alias("spans"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,8 +67,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(of, base), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined().alias("spans"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "similarity", "n_windows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op5_quality_rules, op6_token_counts, op7_substring_dedup, op8_simhash, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op4_pii, op5_quality_rules, op6_token_counts, op7_substring_dedup, op8_simhash, op9_secret_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
