@@ -1 +1 @@
-"""Part of the library; see the README."""
+"""Column expressions: text and vectors."""
