@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import has_chinese, without_label
+from lodestone.operators.context import judgement
 from lodestone.session import importable
 
 
@@ -24,6 +26,21 @@ class TextGenerator(Protocol):
     def generate(self, prompts: list[str]) -> list[tuple[str, str]]: ...
 
 
+class Translator(Protocol):
+    def translate(self, texts: list[str]) -> list[str]: ...
+
+
+class Judge(Protocol):
+    def grade(self, prompts: list[str]) -> list[str]: ...
+
+
+class SameText:
+    """A translator that leaves texts as they are."""
+
+    def translate(self, texts: list[str]) -> list[str]:
+        return list(texts)
+
+
 class HashingEmbedder:
     """Feature hashing of words, unit length: deterministic, needs no model. An empty text is the zero vector."""
 
@@ -61,6 +78,35 @@ def embedded(df: DataFrame, embedder: Embedder, text_col: str, key: str, batch:
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, embedding array<float>").withColumnRenamed("key", key)
 
 
+def _mapped(df: DataFrame, key: str, value: str, out: str, call, batch: int) -> DataFrame:
+    """key and out: what ``call`` makes of the values, a batch at a time on the executors."""
+    importable(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(value).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array(call([v or "" for v in part["value"].to_pylist()]), pa.string())], ["key", "out"])
+
+    return rows.mapInArrow(run, "key bigint, out string").withColumnsRenamed({"key": key, "out": out})
+
+
+def translated(queries: DataFrame, translator: Translator, batch: int = 16) -> DataFrame:
+    """The queries with ``text`` in English: only those with Chinese characters are sent, and an empty reply keeps the text."""
+    sent = _mapped(queries.where(has_chinese(F.col("text"))), "q_id", "text", "reply", translator.translate, batch)
+    new = F.coalesce(F.nullif(without_label(F.col("reply")), F.lit("")), F.col("text"))
+    return queries.join(sent, "q_id", "left").withColumn("text", new).drop("reply")
+
+
+def graded(answers: DataFrame, judge: Judge, batch: int = 16) -> DataFrame:
+    """q_id, relevance, accuracy, usefulness, comment for (q_id, prompt, answer): an empty answer is graded 1 unasked."""
+    empty = F.coalesce(F.trim("answer"), F.lit("")).isin("", "(none)")
+    asked = _mapped(answers.where(~empty), "q_id", "prompt", "reply", judge.grade, batch).select("q_id", judgement(F.col("reply")).alias("g")).select("q_id", "g.*")
+    least = answers.where(empty).select("q_id", *[F.lit(1).alias(c) for c in ("relevance", "accuracy", "usefulness")], F.lit("no answer").alias("comment"))
+    return asked.unionByName(least)
+
+
 def answered(prompts: DataFrame, generator: TextGenerator, batch: int = 16) -> DataFrame:
     """q_id, status, answer for prompts (q_id, prompt)."""
     importable(prompts.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import context, metrics, services
+from lodestone.operators.retrieve import captions_of_matches
 from lodestone.plans import experiments
 from lodestone.sources import captions, embeddings, sinks
 
@@ -54,6 +55,27 @@ def test_services(spark):
     assert {r["q_id"]: r["status"] for r in services.answered(prompts, services.TemplateGenerator()).collect()} == {0: "ok", 1: "empty"}
 
 
+def test_translation_and_grading(spark):
+    class Upper:
+        def translate(self, texts):
+            return [f"Translation: {t.upper()}" if "x" in t else "" for t in texts]
+
+        def grade(self, prompts):
+            return ['{"relevance": 3, "accuracy": 3, "usefulness": 4}' for _ in prompts]
+
+    q = spark.createDataFrame([(0, "室外 x"), (1, "plain x"), (2, "室内"), (3, None)], "q_id bigint, text string")
+    assert {r["q_id"]: r["text"] for r in services.translated(q, Upper()).collect()} == {0: "室外 X", 1: "plain x", 2: "室内", 3: None}
+    answers = spark.createDataFrame([(0, "p", "a"), (1, "p", ""), (2, "p", None)], "q_id bigint, prompt string, answer string")
+    assert {r["q_id"]: r["usefulness"] for r in services.graded(answers, Upper()).collect()} == {0: 4, 1: 1, 2: 1}
+
+
+def test_captions_of_matches(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id bigint, embedding array<float>")
+    texts = spark.createDataFrame([(0, i, f"c{i}") for i in range(5)], "id bigint, pos int, caption string")
+    got = captions_of_matches(vectors.withColumnRenamed("id", "q_id"), vectors, texts, 2).collect()
+    assert {(r["q_id"], r["rank"]): r["captions"] for r in got}[0, 1] == ["c0", "c1", "c2"] and len(got) == 4
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Über\tCAFÉ x ", "English translation: a dog"), ("", "translation:x"), (None, None)], "a string, b string")
     got = df.select(T.tokens(F.col("a")).alias("t"), T.without_label(F.col("b")).alias("w"), T.has_chinese(F.col("a")).alias("c")).collect()
