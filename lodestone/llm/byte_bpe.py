@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import map_rows, texts_of
 
 #: Cached pre-tokens of a task; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable, table
 
-__all__ = ["crc_bucket", "free_name", "map_rows", "shared_folder", "stored", "table", "texts_of"]
+__all__ = ["crc_bucket", "free_name", "give_back", "map_rows", "shared_folder", "stored", "table", "texts_of"]
 
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -65,14 +67,32 @@ def crc_bucket(column, n: int):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(-1))
 
 
+#: Rows that a function of map_rows gets at once: an Arrow batch holds up to 64 MB, and Python copies what it touches.
+SLICE = 256
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with per-task state: ``make()`` runs once a task and returns the function for its batches."""
+    """mapInArrow with per-task state: ``make()`` runs once a task and returns the function for slices of its batches.
+
+    A worker serves many tasks, so what a task leaves free goes back to the system at its end.
+    """
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            if batch.num_rows:
-                yield apply(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield apply(batch.slice(at, SLICE))
+        del apply
+        give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

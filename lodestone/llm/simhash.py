@@ -34,7 +34,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bounds of a tile; fingerprints from which the grid's bins take fewer counts; pairs that are compared at once.
 LEAST_TILE, MOST_TILE, TILES, CHUNK = 1024, 65_536, 48, 4
 WIDTHS = ((1 << 20, 4), (1 << 23, 2), (1 << 62, 1))
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
