@@ -25,20 +25,24 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 24, 16
 #: Shingles of the benchmark up to which they are sent to every executor; beyond, texts' shingles are exchanged.
 BROADCAST_SHINGLES = 2_000_000
+#: Of shared shingles at most so many are stepped over.
+MOST_STEP = 4
 UNIT = 1 << 32
 
 
 def _line(text: Column) -> Column:
-    """Lower case, one blank between words, none outside."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, one blank between words, none outside. Single blanks, which most are, don't match and stay."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
-def _with_shingles(df: DataFrame, name: str = "shingles") -> DataFrame:
+def _with_shingles(df: DataFrame, name: str = "shingles", step: int = 0) -> DataFrame:
     """From ``line`` every run of five words, in order and with repeats; a shorter text as a whole.
 
     Zero-width matches at the starts of words capture what follows, which is cheaper than slices of an array of words.
+    With a step a match takes up so many words, which leaves the runs at places 0, step, 2 * step and so on.
     """
-    runs = F.regexp_extract_all("line", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{SHINGLE - 1}}}))"), F.lit(1))
+    on = rf"[^ ]++(?: [^ ]++){{{step - 1}}}" if step else ""
+    runs = F.regexp_extract_all("line", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{SHINGLE - 1}}})){on}"), F.lit(1))
     short = F.when(F.col("line") != "", F.array("line")).otherwise(F.array().cast("array<string>"))
     return df.withColumn(name, runs).withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(short)).drop("line")
 
@@ -70,15 +74,32 @@ def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     return _with_shingles(lines).select("item_id", _hashes("shingles").alias("item")).withColumn("m", F.size("item")).where(F.col("m") > 0)
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    """Sent to every executor if the benchmark's size allows it, else joined by exchange."""
+    return F.broadcast(df) if size <= BROADCAST_SHINGLES else df
+
+
+def _near(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The texts that have a shared shingle among every ``step``-th of theirs: no other can leak.
+
+    A leaking window misses at most m - ceil(8 m / 9) of its shingles, so the others, 0.8 m at least, have a run of
+    0.8 m / (misses + 1), and a step that is no longer than the run meets it.
+    """
+    misses = F.col("m") - F.ceil(F.col("m") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    run = items.agg(F.min(F.ceil(SIMILARITY * F.col("m") / (misses + 1) - 1e-6))).first()[0]
+    step = max(1, min(MOST_STEP, int(run or 1)))
+    wanted = items.select(F.explode("item").alias("h")).distinct()
+    tried = _with_shingles(docs.select("row", _line(F.col("text")).alias("line")), step=step).select("row", F.explode("shingles").alias("shingle"))
+    rows = tried.select("row", F.xxhash64("shingle").alias("h")).join(_bounded(wanted, size), "h", "left_semi").select("row").distinct()
+    return stored(docs.join(stored(rows), "row", "left_semi"))
+
+
+def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """item_id, m, row, start: windows of the texts with enough shared shingles to be that similar.
 
     Of multisets of m and w shingles, similarity s needs s (m + w) / (1 + s) in common.
     """
-    wanted = items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h"))
-    size = items.agg(F.sum("m")).first()[0] or 0
-    if size <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
+    wanted = _bounded(items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h")), size)
     texts = _with_shingles(docs.select("row", _line(F.col("text")).alias("line"))).where(F.size("shingles") > 0)
     every = texts.select("row", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "shingle"))
     hits = every.select("row", "n", "place", F.xxhash64("shingle").alias("h")).join(wanted, "h").drop("h")
@@ -96,7 +117,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """id, item_id, similarity (that of the best window), n_windows: one row for each leaking document and item."""
     items = items_of(benchmark, item_col, item_text)
     docs = texts_of(df, id_col, text_col).where(F.col("text").isNotNull()).withColumn("row", F.xxhash64("id", "text"))
-    windows = stored(_windows(docs, items))
+    size = items.agg(F.sum("m")).first()[0] or 0
+    docs = _near(docs, items, size)
+    windows = stored(_windows(docs, items, size))
     asked = windows.groupBy("row").agg(F.collect_list(F.struct("item_id", "m", "start")).alias("windows"))
     cut = _with_shingles(docs.join(asked, "row").select("id", "row", "windows", _line(F.col("text")).alias("line"))).select("id", "row", _hashes("shingles").alias("h"), F.explode("windows").alias("w"))
     windows = cut.select("id", "row", "w.item_id", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.m")).alias("h"))
