@@ -225,31 +225,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _joined(rows: DataFrame, id_col: str, print_col: str, radius: int) -> DataFrame:
     """The rows with component_id; only distinct fingerprints are compared, with the smallest id of each."""
-    prints = stored(rows.groupBy(F.col(print_col).alias("print")).agg(F.min(id_col).alias("least")))
+    told = _told(rows.select(F.col(id_col).alias("id"), F.col(print_col).alias("print")), radius)
+    return rows.join(told.select(F.col("print").alias(print_col), "component_id"), print_col, "left")
+
+
+def _told(keys: DataFrame, radius: int) -> DataFrame:
+    """print, least (its smallest id), root (the fingerprint that stands for its component), component_id."""
+    prints = stored(keys.groupBy("print").agg(F.min("id").alias("least")))
     roots = components(links(prints, "print", radius)).withColumnRenamed("node", "print")
     # Of linked fingerprints the smallest id of each root; the others are their own component.
     linked = roots.select("print", "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct())
     named = linked.join(prints, "print")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    told = prints.join(linked, "print", "left").join(least, "root", "left").select(F.col("print").alias(print_col), F.coalesce("component", "least").alias("component_id"))
-    return rows.join(told, print_col, "left")
+    found = prints.join(linked, "print", "left").join(least, "root", "left")
+    return found.select("print", "least", F.coalesce("root", "print").alias("root"), F.coalesce("component", "least").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Of every component one row, with all columns unchanged: that of its smallest id, by text where rows repeat it."""
+    """Of every component one row, with all columns unchanged: that of its smallest id, nulls last, then by text.
+
+    Components are told apart by their root fingerprint, so null and repeated ids of unrelated texts all stay.
+    """
     name = free_name(df, "print")
     rows = with_fingerprint(df, text_col, name)
     keys = stored(rows.select(F.col(f"`{id_col}`").alias("id"), F.col(name).alias("print")))
-    kept = _joined(keys, "id", "print", radius).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "component_id").agg(F.min("print").alias("print"))
-    own, own_print = free_name(df, "own"), free_name(df, "own_print")
-    mine = kept.select(F.col("id").alias(own), F.col("print").alias(own_print))
-    found = rows.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(name) == F.col(own_print)), "left_semi")
-    return _first_of_repeats(found.drop(name), id_col, text_col)
+    own, own_print, root = free_name(df, "own"), free_name(df, "own_print"), free_name(df, "root")
+    kept = _told(keys, radius).where(F.col("least").eqNullSafe(F.col("component_id")))
+    mine = kept.select(F.col("least").alias(own), F.col("print").alias(own_print), F.col("root").alias(root))
+    found = rows.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(name) == F.col(own_print))).drop(name, own, own_print)
+    return _first_of_each(found, root, text_col).drop(root)
 
 
-def _first_of_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _first_of_each(df: DataFrame, key: str, text_col: str) -> DataFrame:
     from pyspark.sql import Window
 
     place = free_name(df, "place")
-    order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`"))
+    order = Window.partitionBy(F.col(key)).orderBy(F.col(f"`{text_col}`"))
     return df.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
