@@ -2,8 +2,8 @@
 
 The cost of a value is that of its cheapest segmentation, in bits: a dynamic program over its prefixes takes the least
 of words, dates, repeats, sequences and keyboard walks, and characters guessed one by one. A value behind a
-credential's name that none of the fixed forms covers is reported as ``guess`` when its cost reaches a threshold and it
-mixes kinds of characters, so prose behind a colon is left alone.
+credential's name that the fixed forms don't cover as a whole is reported as ``guess`` when its cost reaches a threshold.
+Only plain words, that is letters alone in the case of a word, are left out, as prose behind a colon has them.
 
 Nulls and empty texts have no spans. The work is linear in a text's length; a value's program looks back a fixed number
 of characters. Repeated rows give repeated results; other columns are not read.
@@ -12,6 +12,7 @@ of characters. Repeated rows give repeated results; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from math import log2
 
 import pyarrow as pa
@@ -99,9 +100,26 @@ def guess_bits(value: str, enough: float = ENOUGH_BITS) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    kinds = (any(map(str.isdigit, value)), any(map(str.islower, value)), any(map(str.isupper, value)), any(not ch.isalnum() for ch in value.strip(".!?:)(")))
-    return value.isascii() and any(map(str.isdigit, value)) and sum(kinds) >= 2
+def _word(value: str) -> bool:
+    """Letters alone, all small, all capital or with a first capital. Signs beyond ASCII may stand between them."""
+    core = value.strip(".!?:)(*_]}")
+    return bool(core) and all(ch.isalpha() or not ch.isascii() and not ch.isnumeric() for ch in core) and core in (core.lower(), core.upper(), core.capitalize())
+
+
+def _number(kind: int, value: str) -> bool:
+    """What ``hex`` also covers and is not masked: digits alone, or letters alone."""
+    return KINDS[kind] == "hex" and (value.isdigit() or value.isalpha())
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover together, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def find(text: str | None) -> list[tuple[int, str, int, int, int, float]]:
@@ -115,10 +133,12 @@ def find(text: str | None) -> list[tuple[int, str, int, int, int, float]]:
         out += [(hit.start(), 1, hit.end(), hit.start(), hit.end()) for hit in ACCESS.finditer(text) if hit.end() - hit.start() >= 18]
     out += [(hit.start(), 2, hit.end(), hit.start(), hit.end()) for hit in HEX.finditer(text)]
     scored = [(s, k, e, a, b, guess_bits(text[a:b])) for s, k, e, a, b in out]
-    taken = [(a, b) for _, _, _, a, b in out]
+    taken = _merged([(a, b) for _, k, _, a, b in out if not _number(k, text[a:b])])
     for hit in CONTEXT.finditer(text):
         a, b = hit.span(1)
-        if not any(a < y and x < b for x, y in taken) and _mixed(hit[1]) and (bits := guess_bits(hit[1])) >= SECRET_BITS:
+        at = bisect_left(taken, (a + 1,))
+        covered = at > 0 and taken[at - 1][1] >= b
+        if not covered and not _word(hit[1]) and (bits := guess_bits(hit[1])) >= SECRET_BITS:
             scored.append((hit.start(), 3, hit.end(), a, b, bits))
     return [(s, KINDS[k], e, a, b, bits) for s, k, e, a, b, bits in sorted(scored)]
 
@@ -149,7 +169,7 @@ def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
         return text
     cuts = []
     for _, kind, _, a, b, _ in find(text):
-        if kind != "hex" or not text[a:b].isdigit() and not text[a:b].isalpha():
+        if not _number(KINDS.index(kind), text[a:b]):
             cuts.append((a, b))
     out, at = [], 0
     for a, b in sorted(cuts):

@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.llm import simhash
+from lodestone.llm import secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -21,3 +21,14 @@ def test_unrelated_texts_without_or_with_the_same_id_stay(spark):
     rows = [(None, t, "en") for t in [*free, free[0]]] + [(7, t, "en") for t in same] + [(8, same[0], "en"), (None, same[1], "en")]
     kept = simhash.keep_one(put(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, t) for t in free] + [(7, t) for t in same])
+
+
+def test_secrets_without_a_digit_and_beyond_a_base_value():
+    guesses = lambda text: [text[a:b] for _, kind, _, a, b, _ in secrets.find(text) if kind == "guess"]
+    for value in ("Vx#qLpZ!rTnB&wKs", "hunter2hunter2x9!Kd#82hxQ", "0123456789abcdef!Kd#82hxQ", "zürich-Öl#9Kd!xQw"):
+        text = f'a password: "{value}" here'
+        assert guesses(text) == [value] and secrets.redacted(text) == 'a password: "[SECRET]" here'
+    for text in ("passphrase: documentation.", "Credentials: Donaudampfschifffahrt", "BEARER: CONFIDENTIALITY", "secret: 日本語のパスワード、設定について"):
+        assert guesses(text) == [] and secrets.redacted(text) == text
+    assert secrets.redacted("passcode: xqLpZvrTnBwKsGhJ, pwd=8305518264097713") == "passcode: [SECRET], pwd=[SECRET]"
+    assert guesses('password = "hunter2hunter2x9"') == []
