@@ -4,9 +4,10 @@ A suffix automaton of each language's learning text finds, from any place in a t
 learning text also has. Parsing a text into such pieces needs few of them in its own language: phrases * log2(learning
 length) / length estimates the cross entropy, and the least wins.
 
-Texts are lower-cased, runs of what is no letter become one blank, and letters beyond the learning text's alphabet end
-a phrase. The automata are dense tables walked in step by many segments of whole texts at once; a segment boundary
-adds one phrase at most to either language alike.
+Texts are lower-cased, runs of what is no letter become one blank, and letters that no learning text has end a phrase.
+The automata are walked in step by many segments of whole texts at once; a segment boundary adds one phrase at most to
+either language alike. Transitions by the most frequent letters are dense tables, those by all other letters of the
+learning texts a hash table.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from. Ties
 go to the first language by name. Repeated rows give repeated results; other columns are not read.
@@ -26,7 +27,7 @@ from lodestone.llm.common import crc_bucket, map_rows
 
 #: Bounds of the learning sample: characters a language, characters in all, documents a language.
 LANGUAGE_CHARS, ALL_CHARS, LANGUAGE_DOCS = 24_000, 480_000, 160
-#: Letters that the tables tell apart.
+#: Letters with a column of the dense tables; the others' transitions are hashed.
 LETTERS = 120
 #: Code points of a segment, and of the segments walked at once.
 SEGMENT, AT_ONCE = 1024, 1_500_000
@@ -65,8 +66,45 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return edges
 
 
+class Hashed:
+    """Numbers by whole keys of 0 or more, looked up many at once; a quarter of the slots is taken at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = 64 - max(4, (4 * len(keys)).bit_length())
+        self.keys = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.values = np.zeros(len(self.keys), np.int32)
+        slots = self.slots(keys)
+        while len(keys):
+            _, first = np.unique(slots, return_index=True)
+            first = first[self.keys[slots[first]] < 0]
+            self.keys[slots[first]], self.values[slots[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, slots = keys[rest], values[rest], self.after(slots[rest])
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def after(self, slots: np.ndarray) -> np.ndarray:
+        return slots + 1 & len(self.keys) - 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that are not there."""
+        found, slots, at = np.full(len(keys), -1, np.int32), self.slots(keys), np.arange(len(keys))
+        while len(at):
+            there = self.keys[slots]
+            hit = there == keys[at]
+            found[at[hit]] = self.values[slots[hit]]
+            more = ~hit & (there >= 0)
+            at, slots = at[more], self.after(slots[more])
+        return found
+
+
 class CrossParser:
-    """Tables of all languages; a step gives the next state and whether a phrase began."""
+    """Tables of all languages; a step gives the next state and whether a phrase began.
+
+    Codes: 0 the blank, then letters by frequency, of which those from ``rare`` on are hashed, then ``other``.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -76,33 +114,50 @@ class CrossParser:
             for ch in text:
                 counts[ch] = counts.get(ch, 0) + 1
         counts.pop(" ", None)
-        alphabet = sorted(counts, key=lambda ch: (-counts[ch], ch))[:LETTERS]
+        alphabet = sorted(counts, key=lambda ch: (-counts[ch], ch))
         self.code = {" ": 0} | {ch: i + 1 for i, ch in enumerate(alphabet)}
         self.other = len(self.code)
-        self.width = self.other + 1
-        tables, starts, at = [], [], 0
+        self.rare = min(self.other, LETTERS + 1)
+        self.width = self.rare + 1
+        tables, starts, keys, values, at = [], [], [], [], 0
         for lang in self.languages:
-            edges = suffix_automaton([self.code.get(ch, self.other) for ch in texts[lang]])
+            edges = suffix_automaton([self.code[ch] for ch in texts[lang]])
             n = len(edges)
             root = np.full(self.width, at * 2 + 1, np.int32)  # a letter that no text has is a phrase of its own
             for c, q in edges[0].items():
-                if c != self.other:
+                if c < self.rare:
                     root[c] = (at + q) * 2 + 1
             table = np.tile(root, (n, 1))
-            for p in range(1, n):
+            for p in range(n):
                 for c, q in edges[p].items():
-                    if c != self.other:
+                    if c >= self.rare:
+                        keys.append((at + p) * self.other + c)
+                        values.append(at + q)
+                    elif p:
                         table[p, c] = (at + q) * 2
             tables.append(table)
             starts.append(at)
             at += n
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
+        self.hashed = Hashed(np.array(keys, np.int64), np.array(values, np.int32))
         self.bits = np.array([log2(max(2, len(texts[lang]))) for lang in self.languages])
 
+    def by_rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Twice the next state, plus 1 where a phrase began, by (languages, texts) states and the texts' rare codes."""
+        starts = np.repeat(self.starts[:, None], len(codes), axis=1).ravel()
+        codes = np.tile(codes.astype(np.int64), len(self.starts))
+        state = state.ravel()
+        found = self.hashed.get(state * np.int64(self.other) + codes)
+        began = (found < 0) | (state == starts)
+        again = np.flatnonzero(found < 0)
+        root = self.hashed.get(starts[again] * np.int64(self.other) + codes[again])
+        found[again] = np.where(root < 0, starts[again], root)
+        return (found * 2 + began).reshape(len(self.starts), -1)
+
     def classes(self) -> np.ndarray:
         """For every code point its code: 0 for what is no letter."""
-        found = np.zeros(0x110000, np.uint8)
+        found = np.zeros(0x110000, np.int32)
         for cp in range(0x110000):
             if chr(cp).isalpha():
                 found[cp] = self.other
@@ -137,10 +192,15 @@ class Predictor:
         for lane, i in enumerate(order):
             steps[: sizes[i], lane] = pieces[i]
         active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # lanes longer than each step
+        rare = (steps >= parser.rare) & (steps < parser.other)
+        hashed, dense = rare.any(1), np.minimum(steps, parser.rare)
         state = np.repeat(parser.starts[:, None], len(pieces), axis=1)
         began = np.zeros(state.shape, np.int32)
         for step, n in enumerate(active):
-            moved = parser.table[state[:, :n] * parser.width + steps[step, :n]]
+            moved = parser.table[state[:, :n] * parser.width + dense[step, :n]]
+            if hashed[step]:
+                lanes = np.flatnonzero(rare[step, :n])
+                moved[:, lanes] = parser.by_rare(state[:, lanes], steps[step, lanes])
             began[:, :n] += moved & 1
             state[:, :n] = moved >> 1
         np.add.at(total, np.array(owner)[order], began.T)
@@ -162,7 +222,7 @@ class Predictor:
                 langs[i], scores[i], costs[i] = self.parser.languages[best], float(weights[best] / weights.sum()), (bits / len(codes)).tolist()
 
         for i, text in enumerate(texts):
-            codes = self.codes(text) if text else np.zeros(0, np.uint8)
+            codes = self.codes(text) if text else np.zeros(0, np.int32)
             if codes.any():
                 at.append(i)
                 rows.append(codes)

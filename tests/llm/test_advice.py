@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.llm import secrets, simhash
+from lodestone.llm import langid, secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -32,3 +32,21 @@ def test_secrets_without_a_digit_and_beyond_a_base_value():
         assert guesses(text) == [] and secrets.redacted(text) == text
     assert secrets.redacted("passcode: xqLpZvrTnBwKsGhJ, pwd=8305518264097713") == "passcode: [SECRET], pwd=[SECRET]"
     assert guesses('password = "hunter2hunter2x9"') == []
+
+
+def test_every_letter_of_the_learning_texts_counts():
+    rng = random.Random(4)
+    letters = lambda first, n: "".join(chr(first + rng.randrange(400)) + " " * (rng.random() < 0.1) for _ in range(n))
+    samples = {"a": letters(0x4E00, 1500), "b": letters(0x4E00, 1500) + letters(0xAC00, 500), "c": "plain words of some other language " * 9}
+    predictor = langid.Predictor(langid.CrossParser(samples))
+    own = samples["b"][300:700]
+    for text in (own, samples["a"][100:180], letters(0x4E00, 50) + "\u0416 words" + letters(0xAC00, 50), letters(0x4F00, 60)):
+        text = langid.normal(text)
+        found = predictor.phrases([predictor.codes(text)])[0].tolist()
+        for lang, count in zip(predictor.parser.languages, found, strict=True):
+            rest, learned, phrases = text, langid.normal(samples[lang]), 0
+            while rest:
+                n = next((n for n in range(len(rest), 0, -1) if rest[:n] in learned), 1)
+                rest, phrases = rest[n:], phrases + 1
+            assert count == phrases
+    assert predictor.predict([own])[0] == ["b"]
