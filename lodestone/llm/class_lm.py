@@ -2,10 +2,12 @@
 
 p(word | previous word) = p(class | previous word's class) * p(word | class).
 
-Clustering works on units: each of the most frequent words is a unit, and the other words form one unit for each group
-of endings, so every word, seen or not, has a class, and what the driver holds has a fixed size. Unit bigrams are
-counted over all training text; the exchange algorithm moves one unit at a time to the class that gains most average
-mutual information, until nothing moves. Transitions are smoothed towards the class's own share. Emissions use the
+Clustering begins with units: each of the most frequent words is a unit, and the other words form one unit for each
+group of endings. Unit bigrams are counted over all training text; the exchange algorithm moves one unit at a time to
+the class that gains most average mutual information, until nothing moves. Then every other word of the training text,
+however many there are, takes by its own neighbours the class that gains most beside the units' classes, in one
+distributed pass. Only unseen words keep the class of their ending. Transitions are counted again in the words' classes,
+over all training text, and are smoothed towards the class's own share. Emissions use the
 exact count of every word over all training text; a class's unseen words share the mass that its words seen once have.
 
 Texts are lower-cased (A-Z), words are runs other than blank and \\t to \\r, and each text ends in an end token, which
@@ -32,7 +34,9 @@ from lodestone.session import importable
 
 #: Units: frequent words by themselves, the others by a hash of their last bytes. Unit 0 is the end token.
 FREQUENT, ENDINGS, ENDING_BYTES = 1000, 500, 3
-CLASSES, SWEEPS = 48, 10
+CLASSES = 48
+#: Moves must gain this share of the sum of n log n at least, which is above what rounding gives.
+LEAST_GAIN = 1e-12
 #: Weight of a class's own share in its transition probabilities.
 TRANSITION_PRIOR = 2.0
 
@@ -45,11 +49,33 @@ def xlogx(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1.0))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def best_class(m: np.ndarray, old: int, right: np.ndarray, left: np.ndarray, own: float, least: float) -> int:
+    """Where a unit gains most; takes it out of its old class in ``m``. Neighbours are given without the unit itself."""
+    m[old] -= right
+    m[:, old] -= left
+    m[old, old] -= own
+    rows, cols, d = m.sum(1), m.sum(0), np.diag(m)
+    a, b = np.flatnonzero(right), np.flatnonzero(left)
+    gain = (xlogx(m[:, a] + right[a]) - xlogx(m[:, a])).sum(1) + (xlogx(m[b] + left[b, None]) - xlogx(m[b])).sum(0)
+    gain += xlogx(d + right + left + own) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
+    gain -= xlogx(rows + right.sum() + own) - xlogx(rows) + xlogx(cols + left.sum() + own) - xlogx(cols)
+    gain[0] = -np.inf
+    new = int(gain.argmax())
+    return old if gain[new] <= gain[old] + least else new
+
+
+def put(m: np.ndarray, new: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
+    m[new] += right
+    m[:, new] += left
+    m[new, new] += own
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of every unit: class 0 is the end token's alone, the others by exchange, from the most frequent unit on."""
     bigrams = bigrams.astype(np.float64)
     n = len(bigrams)
     weight = bigrams.sum(0) + bigrams.sum(1)
+    least = 1e-9 + LEAST_GAIN * float(xlogx(bigrams.sum()))
     order = np.lexsort((np.arange(n), -weight))
     order = order[order != 0]
     of = np.zeros(n, np.int64)
@@ -58,8 +84,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     hot[np.arange(n), of] = 1
     m = hot.T @ bigrams @ hot
     back = np.ascontiguousarray(bigrams.T)
-    for _ in range(sweeps):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for u in order:
             if not weight[u]:
                 continue
@@ -68,25 +95,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             left = np.bincount(of, back[u], classes)
             right[old] -= own
             left[old] -= own
-            m[old] -= right
-            m[:, old] -= left
-            m[old, old] -= own
-            rows, cols = m.sum(1), m.sum(0)
-            gain = (xlogx(m + right) - xlogx(m)).sum(1) + (xlogx(m + left[:, None]) - xlogx(m)).sum(0)
-            d = np.diag(m)
-            gain += xlogx(d + right + left + own) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
-            gain -= xlogx(rows + right.sum() + own) - xlogx(rows) + xlogx(cols + left.sum() + own) - xlogx(cols)
-            gain[0] = -np.inf
-            new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            moved += new != old
-            of[u] = new
-            m[new] += right
-            m[:, new] += left
-            m[new, new] += own
-        if not moved:
-            break
+            of[u] = best_class(m, old, right, left, own, least)
+            moved |= bool(of[u] != old)
+            put(m, of[u], right, left, own)
     return of
 
 
@@ -119,38 +130,125 @@ class Model:
         return np.log10((counts + 1.0) / (self.train_tokens + self.train_types + 1.0))
 
 
+def _slices(block: B.Block, buckets: int):
+    """bucket, places of its words in the block."""
+    if block.words:
+        keys = B.digests(block.words)[:, 0]
+        order = np.argsort(keys, kind="stable")
+        for bucket, a, b in B.slices(keys[order], buckets):
+            yield bucket, order[a:b]
+
+
+def _line(block: B.Block, of_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every text with an end token (0) before and behind it, the end of one being the start of the next; where the words stand; the text of every step."""
+    at = np.arange(len(block.codes)) + block.owner + 1 if len(block.codes) else np.zeros(0, np.int64)
+    line = np.zeros(len(block.codes) + len(block.sizes) + 1, np.int64)
+    line[at] = of_words[block.codes] if len(block.codes) else 0
+    return line, at, np.repeat(np.arange(len(block.sizes)), block.sizes + 1)
+
+
 def _ask(row: dict, buckets: int):
-    """bucket, block, words and their training counts."""
+    """bucket, words and their training counts."""
     block = B.Block(row)
-    if not block.words:
-        return
-    counts = np.bincount(block.codes[block.flags[block.owner]], minlength=len(block.words))
-    keys = B.digests(block.words)[:, 0]
-    order = np.argsort(keys, kind="stable")
-    for bucket, a, b in B.slices(keys[order], buckets):
-        at = order[a:b]
-        yield bucket, block.block, {"words": b"\n".join([block.words[i] for i in at.tolist()]), "counts": B.narrow(counts[at])}
+    counts = np.bincount(block.codes[block.flags[block.owner]], minlength=len(block.words)) if block.words else None
+    for bucket, at in _slices(block, buckets):
+        at = at[counts[at] > 0]
+        if len(at):
+            yield bucket, {"words": b"\n".join([block.words[i] for i in at.tolist()]), "counts": B.narrow(counts[at])}
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """The answers to the blocks, in their order of words, and the bucket's own words and counts (block null)."""
-    asked, total = table["asked"].to_pylist(), {}
-    for x in asked:
-        for w, c in zip(x["words"].split(b"\n"), B.widen(x["counts"]).tolist(), strict=True):
+    """The most frequent words of the bucket."""
+    total: dict[bytes, int] = {}
+    for x in table["asked"]:
+        for w, c in zip(x["words"].as_py().split(b"\n"), B.widen(x["counts"].as_py()).tolist(), strict=True):
             total[w] = total.get(w, 0) + c
-    answers = [np.fromiter(map(total.__getitem__, x["words"].split(b"\n")), np.int64).tobytes() for x in asked]
-    known = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))
-    n = len(asked) + 1
+    first = sorted(total, key=lambda w: (-total[w], w))[:FREQUENT]
+    return pa.table({"word": pa.array(first, pa.binary()), "n": pa.array([total[w] for w in first], pa.int64())})
+
+
+def _neighbours(row: dict, frequent: dict[bytes, int], of: np.ndarray, buckets: int):
+    """bucket, block, words, and of each its neighbours in training texts: cells of (class before, class behind, itself)."""
+    block = B.Block(row)
+    if not block.words:
+        return
+    classes = of[[unit_of(w, frequent) for w in block.words]]
+    line, at, _ = _line(block, np.arange(len(block.words)) + 1)
+    use = at[block.flags[block.owner]]
+    told = np.concatenate([[0], classes])
+    word, before, behind = line[use], line[use - 1], line[use + 1]
+    width = 2 * CLASSES + 1
+    cell = np.concatenate([(word - 1) * width + np.where(word == before, 2 * CLASSES, told[before]), ((word - 1) * width + CLASSES + told[behind])[word != behind]])
+    cells, counts = np.unique(cell, return_counts=True)
+    ends = np.searchsorted(cells, np.arange(len(block.words) + 1) * width)
+    for bucket, places in _slices(block, buckets):
+        sizes = ends[places + 1] - ends[places]
+        which = np.repeat(ends[places] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        yield bucket, block.block, {"words": b"\n".join([block.words[i] for i in places.tolist()]), "sizes": B.narrow(sizes), "cells": (cells[which] % width).astype(np.uint8).tobytes(), "counts": B.narrow(counts[which])}
+
+
+def _assign(table: pa.Table, frequent: dict[bytes, int], of: np.ndarray, moves: np.ndarray) -> pa.Table:
+    """The answers to the blocks, counts and classes in their order of words, and the bucket's sums by class (block null).
+
+    Every word is weighed against the same classes, so neither the order of words nor that of buckets matters.
+    """
+    numbers: dict[bytes, int] = {}
+    width, keys, weights, asked = 2 * CLASSES + 1, [], [], []
+    for x in table["asked"]:
+        words = x["words"].as_py().split(b"\n")
+        own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        asked.append(own)
+        keys.append(np.repeat(own, B.widen(x["sizes"].as_py())) * width + np.frombuffer(x["cells"].as_py(), np.uint8))
+        weights.append(B.widen(x["counts"].as_py()).astype(np.int64))
+    cells, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place.ravel(), np.concatenate(weights), len(cells)).astype(np.int64)
+    word, cell = cells // width, cells % width
+    ends = np.searchsorted(word, np.arange(len(numbers) + 1))
+    counts = np.zeros(len(numbers), np.int64)
+    np.add.at(counts, word[(cell < CLASSES) | (cell == 2 * CLASSES)], n[(cell < CLASSES) | (cell == 2 * CLASSES)])
+    classes, known, least = np.zeros(len(numbers), np.int64), {}, 1e-9 + LEAST_GAIN * float(xlogx(moves.sum()))
+    for i, w in enumerate(numbers):
+        old = classes[i] = int(of[unit_of(w, frequent)])
+        if counts[i] and w not in frequent:
+            a, b = ends[i], ends[i + 1]
+            key = (old, cell[a:b].tobytes(), n[a:b].tobytes())
+            if key not in known:
+                line = np.bincount(cell[a:b], n[a:b], width)
+                known[key] = best_class(moves.copy(), old, line[CLASSES:-1], line[:CLASSES], line[-1], least)
+            classes[i] = known[key]
+    answers = [B.narrow(counts[own] * 256 + classes[own]) if counts.max() < 1 << 24 else b"\0" + (counts[own] * 256 + classes[own]).tobytes() for own in asked]
+    sums = [np.bincount(classes, counts, CLASSES).astype(np.int64), np.bincount(classes[counts == 1], minlength=CLASSES), [int((counts > 0).sum())]]
     return pa.table(
         {
             "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
-            "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()),
-            "answer": pa.array([*answers, np.array([total[w] for w in known], np.int64).tobytes()], pa.binary()),
-            "words": pa.array([*[None] * len(asked), b"\n".join(known)], pa.binary()),
+            "bucket": pa.array([table["bucket"][0].as_py()] * (len(asked) + 1), pa.int32()),
+            "answer": pa.array([*answers, np.concatenate(sums).astype(np.int64).tobytes()], pa.binary()),
         }
     )
 
 
+def _answered(row: dict, block: B.Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and classes of the block's words."""
+    found = np.zeros(len(block.words), np.int64)
+    answers = {x["bucket"]: x["answer"] for x in row["answers"] or []}
+    for bucket, at in _slices(block, buckets):
+        answer = answers[bucket]
+        found[at] = B.widen(answer) if answer[0] else np.frombuffer(answer, np.int64, offset=1)
+    return found >> 8, found & 255
+
+
+def _moves(batches, buckets: int):
+    """Pairs of classes side by side in the training texts of a task."""
+    sums = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        for row in B.rows_of(batch):
+            block = B.Block(row)
+            line, _, doc = _line(block, _answered(row, block, buckets)[1])
+            sums += np.bincount((line[:-1] * CLASSES + line[1:])[block.flags[doc]], minlength=CLASSES * CLASSES)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
+
+
 def _pairs(batches, frequent: dict[bytes, int]):
     """pair of units, count: over all training texts of a task."""
     size = 1 + FREQUENT + ENDINGS
@@ -161,11 +259,7 @@ def _pairs(batches, frequent: dict[bytes, int]):
             if not block.flags.any():
                 continue
             units = np.array([unit_of(w, frequent) for w in block.words] or [0], np.int64)
-            # Every text with an end token before and behind it: the end of one is the start of the next.
-            at = np.arange(len(block.codes)) + block.owner + 1 if len(block.codes) else np.zeros(0, np.int64)
-            line = np.zeros(len(block.codes) + len(block.sizes) + 1, np.int64)
-            line[at] = units[block.codes]
-            doc = np.repeat(np.arange(len(block.sizes)), block.sizes + 1)
+            line, _, doc = _line(block, units)
             keep = block.flags[doc]
             sums += np.bincount((line[:-1] * size + line[1:])[keep], minlength=size * size)
     at = np.flatnonzero(sums)
@@ -174,19 +268,9 @@ def _pairs(batches, frequent: dict[bytes, int]):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["pair", "n"])
 
 
-def learn(blocks: DataFrame, counted: DataFrame) -> Model:
-    """Clusters and counts; what comes to the driver is bounded by units, pairs of units and classes."""
-    vocabulary = counted.where(F.col("block").isNull()).select("words", "answer")
-
-    def heads(batches):
-        for batch in batches:
-            for row in B.rows_of(batch):
-                if row["words"]:
-                    words, counts = row["words"].split(b"\n")[:FREQUENT], np.frombuffer(row["answer"], np.int64)[:FREQUENT]
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], ["word", "n"])
-
-    head = vocabulary.mapInArrow(heads, "word binary, n bigint").orderBy(F.desc("n"), "word").limit(FREQUENT)
-    frequent = {bytes(r["word"]): i + 1 for i, r in enumerate(head.collect())}
+def cluster(blocks: DataFrame, head: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The frequent words, the class of every unit, and pairs of classes; what comes to the driver is bounded by units and pairs of them."""
+    frequent = {bytes(r["word"]): i + 1 for i, r in enumerate(head.orderBy(F.desc("n"), "word").limit(FREQUENT).collect())}
     size = 1 + FREQUENT + ENDINGS
     pairs = blocks.mapInArrow(lambda batches: _pairs(batches, frequent), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(size * size)
@@ -194,49 +278,35 @@ def learn(blocks: DataFrame, counted: DataFrame) -> Model:
     del pairs
     bigrams = bigrams.reshape(size, size)
     of = exchange(bigrams)
+    hot = np.zeros((size, CLASSES))
+    hot[np.arange(size), of] = 1
+    return frequent, of, hot.T @ bigrams @ hot
 
-    def sums(batches):
-        tokens, once, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), 0
-        for batch in batches:
-            for row in B.rows_of(batch):
-                if row["words"]:
-                    counts = np.frombuffer(row["answer"], np.int64)
-                    classes = of[[unit_of(w, frequent) for w in row["words"].split(b"\n")]]
-                    tokens += np.bincount(classes, counts, CLASSES).astype(np.int64)
-                    once += np.bincount(classes[counts == 1], minlength=CLASSES)
-                    types += len(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([tokens.tolist()], pa.list_(pa.int64())), pa.array([once.tolist()], pa.list_(pa.int64())), pa.array([types], pa.int64())], ["tokens", "once", "types"])
-
-    parts = vocabulary.mapInArrow(sums, "tokens array<bigint>, once array<bigint>, types bigint")
-    summed = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("tokens", "once") for i in range(CLASSES)]
-    r = parts.agg(*summed, F.sum("types").alias("types")).first()
-    tokens, once = (np.array([r[f"{c}{i}"] or 0 for i in range(CLASSES)], np.float64) for c in ("tokens", "once"))
+
+def learn(blocks: DataFrame, answered: DataFrame, sums: DataFrame, frequent: dict[bytes, int], of: np.ndarray, buckets: int) -> Model:
+    """Sums by class; what comes to the driver is bounded by classes and buckets."""
+    total = np.zeros(2 * CLASSES + 1, np.int64)
+    for r in sums.toLocalIterator():
+        total += np.frombuffer(r["answer"], np.int64)
+    tokens, once, types = total[:CLASSES].astype(np.float64), total[CLASSES:-1].astype(np.float64), int(total[-1])
     ends = blocks.agg(F.sum(F.size(F.filter("flags", lambda x: x)))).first()[0] or 0
     tokens[0] = ends
-    hot = np.zeros((size, CLASSES))
-    hot[np.arange(size), of] = 1
-    moves = hot.T @ bigrams @ hot
+    moves = np.zeros(CLASSES * CLASSES)
+    for r in answered.mapInArrow(lambda batches: _moves(batches, buckets), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        moves[r["pair"]] = r["n"]
+    moves = moves.reshape(CLASSES, CLASSES)
     share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
     transition = np.log10((moves + TRANSITION_PRIOR * share) / (moves.sum(1, keepdims=True) + TRANSITION_PRIOR))
-    return Model(frequent, of, transition, tokens, once, int(tokens.sum()), int(r["types"] or 0) + (ends > 0), int(ends))
+    return Model(frequent, of, transition, tokens, once, int(tokens.sum()), types + (ends > 0), int(ends))
 
 
 def _score(row: dict, model: Model, buckets: int):
     block = B.Block(row)
-    counts = np.zeros(len(block.words), np.int64)
-    if block.words:
-        keys = B.digests(block.words)[:, 0]
-        order = np.argsort(keys, kind="stable")
-        answers = {x["bucket"]: x["answer"] for x in row["answers"]}
-        for bucket, a, b in B.slices(keys[order], buckets):
-            counts[order[a:b]] = np.frombuffer(answers[bucket], np.int64)
-    classes, docs = model.classes(block.words), len(block.sizes)
+    counts, classes = _answered(row, block, buckets)
+    docs = len(block.sizes)
     own = model.emission(counts, classes)
     each = lambda per_word: np.bincount(block.owner, per_word[block.codes], docs) if len(block.codes) else np.zeros(docs)
-    at = np.arange(len(block.codes)) + block.owner + 1 if len(block.codes) else np.zeros(0, np.int64)
-    line = np.zeros(len(block.codes) + docs + 1, np.int64)
-    line[at] = classes[block.codes] if len(block.codes) else 0
-    doc = np.repeat(np.arange(docs), block.sizes + 1)
+    line, _, doc = _line(block, classes)
     moved = np.bincount(doc, model.transition[line[:-1], line[1:]], docs)
     base = each(model.base(counts)) + log10((model.ends + 1) / (model.train_tokens + model.train_types + 1))
     known = each((counts > 0).astype(float)) + (model.ends > 0)
@@ -251,17 +321,27 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     blocks = B.pack(df, id_col, text_col, train, lower=True)
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = B.buckets_for(words // 12)
-    fields = pa.struct([("words", pa.binary()), ("counts", pa.binary())])
-
-    def ask(batches):
-        for batch in batches:
-            for row in B.rows_of(batch):
-                if out := list(_ask(row, buckets)):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), fields], strict=True)], ["bucket", "block", "asked"])
-
-    asked = blocks.mapInArrow(ask, "bucket int, block bigint, asked struct<words:binary,counts:binary>")
-    counted = stored(asked.groupBy("bucket").applyInArrow(_count, "block bigint, bucket int, answer binary, words binary"))
-    model = learn(blocks, counted)
+    counts, cells = [("words", pa.binary()), ("counts", pa.binary())], [("words", pa.binary()), ("sizes", pa.binary()), ("cells", pa.binary()), ("counts", pa.binary())]
+
+    def asking(ask, names, types):
+        def run(batches):
+            for batch in batches:
+                for row in B.rows_of(batch):
+                    for out in ask(row):  # an entry at a time: together they are as large as the block
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types, strict=True)], names)
+
+        return run
+
+    asked = blocks.mapInArrow(asking(lambda row: _ask(row, buckets), ["bucket", "asked"], [pa.int32(), pa.struct(counts)]), "bucket int, asked struct<words:binary,counts:binary>")
+    head = asked.groupBy("bucket").applyInArrow(_count, "word binary, n bigint")
+    frequent, of, moves = cluster(blocks, head)
+    near = blocks.mapInArrow(
+        asking(lambda row: _neighbours(row, frequent, of, buckets), ["bucket", "block", "asked"], [pa.int32(), pa.int64(), pa.struct(cells)]),
+        "bucket int, block bigint, asked struct<words:binary,sizes:binary,cells:binary,counts:binary>",
+    )
+    assigned = stored(near.groupBy("bucket").applyInArrow(lambda table: _assign(table, frequent, of, moves), "block bigint, bucket int, answer binary"))
+    answered = stored(B.with_answers(blocks, assigned.where(F.col("block").isNotNull())))
+    model = learn(blocks, answered, assigned.where(F.col("block").isNull()), frequent, of, buckets)
     sent = df.sparkSession.sparkContext.broadcast(model)
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -271,5 +351,4 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
             for row in B.rows_of(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*_score(row, sent.value, buckets), strict=True), types, strict=True)], names)
 
-    answered = B.with_answers(blocks, counted.where(F.col("block").isNotNull()))
     return answered.mapInArrow(score, "id bigint, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -2,7 +2,10 @@
 
 import random
 
-from lodestone.llm import langid, secrets, simhash
+import numpy as np
+import pyarrow as pa
+
+from lodestone.llm import blocks, class_lm, langid, secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -50,3 +53,20 @@ def test_every_letter_of_the_learning_texts_counts():
                 rest, phrases = rest[n:], phrases + 1
             assert count == phrases
     assert predictor.predict([own])[0] == ["b"]
+
+
+def test_rare_words_have_the_class_of_their_neighbours():
+    """Rare words of one ending, and so of one unit, are told apart by what stands beside them; unseen words are not."""
+    texts = ["left xsame", "left u", "ysame right", "v right"] * 9
+    row = next(blocks.rows_of(blocks._close(0, [*[(i, True, t.encode().split()) for i, t in enumerate(texts)], (99, False, [b"zsame"])])))
+    frequent = {b"left": 1, b"right": 2, b"u": 3, b"v": 4}
+    of = np.full(1 + class_lm.FREQUENT + class_lm.ENDINGS, 3)
+    of[:5] = range(5)
+    moves = np.zeros((class_lm.CLASSES, class_lm.CLASSES))
+    moves[[0, 1, 3, 0, 3, 4, 2, 0], [1, 3, 0, 3, 2, 2, 0, 4]] = [18, 18, 18, 9, 9, 9, 18, 9]
+    (bucket, block, asked), *_ = class_lm._neighbours(row, frequent, of, 1)
+    told = class_lm._assign(pa.table({"bucket": pa.array([bucket], pa.int32()), "block": [block], "asked": [asked]}), frequent, of, moves)
+    found = dict(zip(asked["words"].split(b"\n"), blocks.widen(told["answer"][0].as_py()).tolist(), strict=True))
+    classes, counts = {w: n & 255 for w, n in found.items()}, {w: n >> 8 for w, n in found.items()}
+    assert counts == {b"left": 18, b"right": 18, b"u": 9, b"v": 9, b"xsame": 9, b"ysame": 9, b"zsame": 0}
+    assert classes[b"xsame"] != classes[b"ysame"] == 4 and classes[b"zsame"] == 3
