@@ -285,12 +285,18 @@ def predict(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col
 
 
 def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, whose text has a language; what is ``und`` goes."""
+    """The rows, all columns unchanged, whose text has a language; what is ``und`` goes.
+
+    With nothing to learn from no text has one, and those with a letter stay.
+    """
     sent, model = df.sparkSession.sparkContext.broadcast(parser), uuid4().hex
 
     def start():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, _, _ = _predictor(model, sent).predict(batch[text_col].to_pylist())
+            texts = batch[text_col].to_pylist()
+            if not sent.value.languages:
+                return batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+            langs, _, _ = _predictor(model, sent).predict(texts)
             return batch.filter(pa.array([lang != "und" for lang in langs]))
 
         return apply

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from lodestone.llm import blocks, class_lm, langid, secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -70,3 +71,11 @@ def test_rare_words_have_the_class_of_their_neighbours():
     classes, counts = {w: n & 255 for w, n in found.items()}, {w: n >> 8 for w, n in found.items()}
     assert counts == {b"left": 18, b"right": 18, b"u": 9, b"v": 9, b"xsame": 9, b"ysame": 9, b"zsame": 0}
     assert classes[b"xsame"] != classes[b"ysame"] == 4 and classes[b"zsame"] == 3
+
+
+def test_a_corpus_without_labels_stays(spark, sf_dir):
+    docs = put(spark, [(1, "some text", None), (2, "12 !", None), (None, "日本", None), (4, None, None), (5, "", None)])
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.stored(stage(spark, kept, sf_dir))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1]
