@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored, texts_of
+from lodestone.llm.common import free_name, stored, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints differ in some 10 of 64 bits, give or take 3, at similarity 0.8, so 24 are met with near certainty.
@@ -115,8 +115,19 @@ def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id, similarity (that of the best window), n_windows: one row for each leaking document and item."""
+    found = _leaking(df, benchmark, id_col, text_col, item_col, item_text)
+    return found.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_windows"))
+
+
+def _row(id_: Column, text: Column) -> Column:
+    """The key of a row by id and text."""
+    return F.xxhash64(id_, text)
+
+
+def _leaking(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """id, row (its key), item_id, start, similarity, of every window that leaks."""
     items = items_of(benchmark, item_col, item_text)
-    docs = texts_of(df, id_col, text_col).where(F.col("text").isNotNull()).withColumn("row", F.xxhash64("id", "text"))
+    docs = texts_of(df, id_col, text_col).where(F.col("text").isNotNull()).withColumn("row", _row(F.col("id"), F.col("text")))
     size = items.agg(F.sum("m")).first()[0] or 0
     docs = _near(docs, items, size)
     windows = stored(_windows(docs, items, size))
@@ -132,10 +143,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     theirs = items.select("item_id", "m", F.explode("item").alias("shingle")).groupBy("item_id", "m", "shingle").agg(F.count("*").alias("k"))
     common = own.join(theirs, ["item_id", "shingle"]).groupBy("id", *key, "w", "m").agg(F.sum(F.least("n", "k")).alias("common"))
     found = common.withColumn("similarity", F.col("common") / (F.col("m") + F.col("w") - F.col("common"))).where(F.col("similarity") >= SIMILARITY)
-    return found.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_windows"))
+    return found.select("id", "row", "item_id", "start", "similarity")
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, whose id leaks no item. Rows without an id stay."""
-    gone = leaks(df, benchmark, id_col, text_col).select(F.col("id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows, all columns unchanged, that leak no item. Rows are told apart by id, null or not, and text."""
+    row, own, own_row = (free_name(df, c) for c in ("row", "leaking_id", "leaking_row"))
+    gone = _leaking(df, benchmark, id_col, text_col).select(F.col("id").alias(own), F.col("row").alias(own_row)).distinct()
+    keyed = df.withColumn(row, _row(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")))
+    left = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(row) == F.col(own_row)), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in df.columns])

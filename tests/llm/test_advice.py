@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from lodestone.llm import blocks, class_lm, langid, secrets, simhash
+from lodestone.llm import blocks, class_lm, decontaminate, langid, secrets, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -79,3 +79,12 @@ def test_a_corpus_without_labels_stays(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         kept = corpus_pipeline.stored(stage(spark, kept, sf_dir))
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1]
+
+
+def test_leaking_rows_go_whatever_their_ids(spark):
+    rng = random.Random(3)
+    item, clean = words(rng, 20), [words(rng, 30) for _ in range(3)]
+    rows = [(None, f"{clean[0]} {item}", "en"), (None, clean[0], "en"), (3, item, "en"), (3, clean[1], "en"), (4, clean[2], "en")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.without_leaks(put(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, clean[0]), (3, clean[1]), (4, clean[2])]
