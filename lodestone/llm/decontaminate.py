@@ -1,14 +1,21 @@
 """Operator 10: benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 A window of a text, of as many words as a benchmark item has (or the whole text, if it is shorter), leaks the item if
-the weighted Jaccard similarity of their five-word shingles, as multisets, is 0.8 or more. Such a window shares most of
-its shingles with the item, and the best one begins at a shared shingle or ends the text, so only those are made. Each
-gets a SimHash of its shingles; 64 bits are 16 blocks of 4, and the item is listed under every block value up to one bit
-away, which finds every fingerprint within 31 bits. Candidates within the radius are verified by exact similarity.
+the weighted Jaccard similarity of their five-word shingles, as multisets, is 0.8 or more.
+
+1. Windows. The best window of an item begins at one of its shingles or ends the text, and holds most of them. So a
+   window of a size is made only where it begins so and holds enough shingles of the items *of that size* together;
+   no other can be similar to any of them. Which item it may be is not known here.
+2. Proposal. Every distinct window has a SimHash of its shingles. 64 bits are 16 blocks of 4, and an item is listed
+   under its size and every block value up to one bit away; windows are looked up by size and blocks alone. Whatever is
+   within 31 bits shares an entry, since 32 differing bits at least are needed to have two in each of 16 blocks.
+3. Verification. What was proposed and is within the radius is decided by exact similarity, once for each distinct
+   window; the places where the window stands are joined last.
 
 Words are lower-cased and are runs other than blank and \\t to \\r. An item of fewer than five words is one shingle and
 is leaked only by texts as short. Nulls and empty texts leak nothing and are not leaked. Rows that repeat an id are
-reported once, with the best similarity of any; so are those whose id is null. Other columns are not read.
+reported once, with the best similarity of any; so are those whose id is null. Items without an id are reported under
+null, repeated items once under each of their ids. Other columns are not read.
 
 A passage that many documents share gives rows in proportion to those documents; documents are never paired.
 """
@@ -21,8 +28,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import free_name, stored, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints differ in some 10 of 64 bits, give or take 3, at similarity 0.8, so 24 are met with near certainty.
-RADIUS, BLOCKS = 24, 16
+#: The radius is the largest that the blocks guarantee. At similarity 0.8 a bit differs with a chance of 0.15 to 0.19, so
+#: 10 to 12 of 64 do, give or take 3; 31 is six deviations off.
+RADIUS, BLOCKS = 31, 16
 #: Shingles of the benchmark up to which they are sent to every executor; beyond, texts' shingles are exchanged.
 BROADCAST_SHINGLES = 2_000_000
 #: Of shared shingles at most so many are stepped over.
@@ -69,9 +77,9 @@ def _blocks(print_: Column, flips: list[int]) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (hashes of its shingles), m (their number)."""
+    """item_id, item (hashes of its shingles), m (their number), told (the hash of them all, which stands for the text)."""
     lines = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _line(F.col(f"`{text_col}`").cast("string")).alias("line"))
-    return _with_shingles(lines).select("item_id", _hashes("shingles").alias("item")).withColumn("m", F.size("item")).where(F.col("m") > 0)
+    return _with_shingles(lines).select("item_id", _hashes("shingles").alias("item")).withColumn("m", F.size("item")).where(F.col("m") > 0).withColumn("told", F.xxhash64("item"))
 
 
 def _bounded(df: DataFrame, size: int) -> DataFrame:
@@ -95,26 +103,47 @@ def _near(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """item_id, m, row, start: windows of the texts with enough shared shingles to be that similar.
+    """row, m, start, tail (it ends the text): windows of m shingles with enough of those that the items of m have.
 
     Of multisets of m and w shingles, similarity s needs s (m + w) / (1 + s) in common.
     """
-    wanted = _bounded(items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h")), size)
+    wanted = _bounded(items.select("m", F.explode("item").alias("h")).distinct(), size)
     texts = _with_shingles(docs.select("row", _line(F.col("text")).alias("line"))).where(F.size("shingles") > 0)
     every = texts.select("row", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "shingle"))
     hits = every.select("row", "n", "place", F.xxhash64("shingle").alias("h")).join(wanted, "h").drop("h")
-    pair = Window.partitionBy("row", "item_id")
+    sized = Window.partitionBy("row", "m")
     # The hits of the window that begins at each hit: places up to m - 1 on, that is less than UNIT in units of m / UNIT.
-    ahead = pair.orderBy(F.expr(f"(CAST(place AS BIGINT) * {UNIT}) div m")).rangeBetween(0, UNIT - 2)
+    ahead = sized.orderBy(F.expr(f"(CAST(place AS BIGINT) * {UNIT}) div m")).rangeBetween(0, UNIT - 2)
     last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
-    counted = hits.withColumn("held", F.count("*").over(ahead)).withColumn("tail", F.count(F.when(F.col("place") >= last, 1)).over(pair))
+    counted = hits.withColumn("held", F.count("*").over(ahead)).withColumn("ending", F.count(F.when(F.col("place") >= last, 1)).over(sized))
     need = F.ceil((F.col("m") + F.least("m", "n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
-    enough = counted.where(F.when(F.col("place") > last, F.col("tail")).otherwise(F.col("held")) >= need)
-    return enough.select("row", "item_id", "m", F.least("place", last).alias("start")).distinct()
+    enough = counted.where(F.when(F.col("place") > last, F.col("ending")).otherwise(F.col("held")) >= need)
+    return enough.select("row", "m", F.least("place", last).alias("start"), (F.col("place") >= last).alias("tail")).distinct()
+
+
+def _proposed(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """m, key, print, told: distinct windows with items of their size that share a block and are within the radius."""
+    listed = items.withColumn("item_print", _simhash("item")).select("m", "told", "item_print", F.explode(_blocks(F.col("item_print"), [0, *(1 << b for b in range(64 // BLOCKS))])).alias("at"))
+    asked = windows.select("m", "key", "print", F.explode(_blocks(F.col("print"), [0])).alias("at"))
+    met = asked.join(listed, ["m", "at"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    return met.select("m", "key", "print", "told").distinct()
+
+
+def _verified(windows: DataFrame, proposed: DataFrame, items: DataFrame) -> DataFrame:
+    """m, key, print, told, similarity, begins (at a shingle of the item) of what is similar enough."""
+    key = ["m", "key", "print"]
+    own = windows.join(proposed, key).select(*key, "told", F.size("h").alias("w"), F.posexplode("h").alias("place", "shingle"))
+    own = own.groupBy(*key, "told", "w", "shingle").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    theirs = items.select("told", "m", F.explode("item").alias("shingle")).groupBy("told", "m", "shingle").agg(F.count("*").alias("k"))
+    common = own.join(theirs, ["told", "m", "shingle"]).groupBy(*key, "told", "w").agg(F.sum(F.least("n", "k")).alias("common"), (F.min("place") == 0).alias("begins"))
+    return common.withColumn("similarity", F.col("common") / (F.col("m") + F.col("w") - F.col("common"))).where(F.col("similarity") >= SIMILARITY)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, item_id, similarity (that of the best window), n_windows: one row for each leaking document and item."""
+    """id, item_id, similarity (that of the best window), n_windows: one row for each leaking document and item.
+
+    n_windows counts windows that leak and begin at a shingle of the item or end the text.
+    """
     found = _leaking(df, benchmark, id_col, text_col, item_col, item_text)
     return found.groupBy("id", "item_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_windows"))
 
@@ -126,24 +155,20 @@ def _row(id_: Column, text: Column) -> Column:
 
 def _leaking(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, row (its key), item_id, start, similarity, of every window that leaks."""
-    items = items_of(benchmark, item_col, item_text)
+    listed = stored(items_of(benchmark, item_col, item_text))
+    items = stored(listed.groupBy("m", "told").agg(F.first("item").alias("item")))  # equal texts once, whatever their ids
     docs = texts_of(df, id_col, text_col).where(F.col("text").isNotNull()).withColumn("row", _row(F.col("id"), F.col("text")))
     size = items.agg(F.sum("m")).first()[0] or 0
     docs = _near(docs, items, size)
-    windows = stored(_windows(docs, items, size))
-    asked = windows.groupBy("row").agg(F.collect_list(F.struct("item_id", "m", "start")).alias("windows"))
+    asked = _windows(docs, items, size).groupBy("row").agg(F.collect_list(F.struct("m", "start", "tail")).alias("windows"))
     cut = _with_shingles(docs.join(asked, "row").select("id", "row", "windows", _line(F.col("text")).alias("line"))).select("id", "row", _hashes("shingles").alias("h"), F.explode("windows").alias("w"))
-    windows = cut.select("id", "row", "w.item_id", "w.start", F.slice("h", F.col("w.start") + 1, F.col("w.m")).alias("h"))
-    windows = stored(windows.withColumn("print", _simhash("h")).distinct())
-    listed = items.withColumn("item_print", _simhash("item")).select("item_id", "item_print", F.explode(_blocks(F.col("item_print"), [0, *(1 << b for b in range(64 // BLOCKS))])).alias("at"))
-    met = windows.select("id", "row", "item_id", "start", "print", F.explode(_blocks(F.col("print"), [0])).alias("at")).join(listed, ["item_id", "at"])
-    near = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("row", "item_id", "start").distinct()
-    key = ["row", "item_id", "start"]
-    own = windows.join(near, key, "left_semi").select("id", *key, F.size("h").alias("w"), F.explode("h").alias("shingle")).groupBy("id", *key, "w", "shingle").agg(F.count("*").alias("n"))
-    theirs = items.select("item_id", "m", F.explode("item").alias("shingle")).groupBy("item_id", "m", "shingle").agg(F.count("*").alias("k"))
-    common = own.join(theirs, ["item_id", "shingle"]).groupBy("id", *key, "w", "m").agg(F.sum(F.least("n", "k")).alias("common"))
-    found = common.withColumn("similarity", F.col("common") / (F.col("m") + F.col("w") - F.col("common"))).where(F.col("similarity") >= SIMILARITY)
-    return found.select("id", "row", "item_id", "start", "similarity")
+    cut = cut.select("id", "row", "w.*", F.slice("h", F.col("w.start") + 1, F.col("w.m")).alias("h")).withColumn("key", F.xxhash64("h"))
+    cut = stored(cut.withColumn("print", _simhash("h")))
+    windows = stored(cut.groupBy("m", "key", "print").agg(F.first("h").alias("h")))
+    found = stored(_verified(windows, _proposed(windows, items), items))
+    places = cut.select("id", "row", "m", "start", "tail", "key", "print").distinct()
+    found = found.join(listed.select("m", "told", "item_id").distinct(), ["m", "told"])
+    return places.join(found, ["m", "key", "print"]).where("begins OR tail").select("id", "row", "item_id", "start", "similarity")
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
