@@ -1,11 +1,12 @@
 """Operator 4: personal data, in DataFrame operations only.
 
-Regular expressions propose spans, checksums confirm them, and words nearby move the score of what a checksum alone
-doesn't settle. The base kinds are email, ip, card (Luhn) and phone; iban (mod 97) and ssn (a national number of the form
-3-2-4 digits, only with words about it nearby) are added.
+Regular expressions propose spans, checksums and forms confirm or refute them, and words nearby, for and against, move
+the score of what is confirmed. The base kinds are email, ip, card (Luhn) and phone, which are reported at any score once
+confirmed; iban (mod 97) and ssn (a national number of the form 3-2-4 digits, which its form alone doesn't confirm enough)
+are added where their score reaches the threshold.
 
 Positions come from splitting the text at a pattern: the lengths of what lies between matches and of the matches
-themselves sum up to starts. Sums run in blocks, so they stay near linear for texts with many matches; patterns begin
+themselves sum up to starts. Sums run in blocks: n matches of a text take 32 n + n^2 / 8192 additions. Patterns begin
 where a run begins and never give back what they took, so long runs of one kind of character are passed over once.
 
 Nulls and empty texts have no spans. Repeated rows give repeated results; other columns are not read.
@@ -22,30 +23,32 @@ from lodestone.llm.common import texts_of
 
 LOCAL, PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BLOCK = 64
-#: Scores from which a proposed span is reported; base spans always are.
+#: Scores from which an added span is reported; base spans always are.
 THRESHOLD = 0.6
-#: Characters before a match in which context counts.
-NEARBY = 48
+#: Characters before and behind a match in which context counts, and what it adds to or takes from the score.
+NEARBY, CONTEXT = 48, 0.3
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern for whole matches, what a text must contain to be searched, and the context words that raise the score."""
+    """A pattern for whole matches, what a text must contain to be searched, the score of what is confirmed, and the words that raise or lower it."""
 
     name: str
     pattern: str
     contains: str
-    context: str = ""
+    score: float
+    context: str
+    against: str = ""
 
 
 #: A pattern may also begin where the match before it ended, as leftmost matching would.
 KINDS = (
-    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{PART}++(?:\.{PART}++)++", "@"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
-    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", ""),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", ""),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", r"(?:ssn|social\s+security|tax\s*id|sozialversicherung|seguridad\s+social|s[eé]curit[eé]\s+sociale)"),
+    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{PART}++(?:\.{PART}++)++", "@", 0.9, r"e-?mail|contact|write\s+to|correo|courriel"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login|client", r"version|release|section|chapter"),
+    Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "", 0.7, r"card|visa|credit|debit|payment|karte|tarjeta|carte", r"order|tracking|serial|isbn"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|call|mobile|\bfax|\btel|contact|reach"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "", 0.9, r"iban|account|bank|konto|cuenta|compte"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4, r"ssn|social\s+security|tax\s*id|sozialversicherung|seguridad\s+social|s[eé]curit[eé]\s+sociale"),
 )
 BASE = 4
 
@@ -62,22 +65,29 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda n, c: F.when(c == "", n).otherwise((n * F.when(c.between("0", "9"), 10).otherwise(100) + number(c)) % 97))
 
 
-def _score(kind: Kind, match: Column, before: Column) -> Column:
-    """1 for what checksum or form confirm, 0 for what they refute; context decides the rest."""
+def _confirmed(kind: Kind, match: Column) -> Column:
+    """What checksum or form say about a match."""
     digits = _digits(match)
     if kind.name == "ip":
-        return F.when(match.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), 1.0).otherwise(0.0)
+        return match.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$")
     if kind.name == "card":
-        return F.when(F.call_function("luhn_check", digits), 1.0).otherwise(0.0)
+        return F.call_function("luhn_check", digits)
     if kind.name == "phone":
-        return F.when(F.length(digits).between(10, 15), 1.0).otherwise(0.0)
+        return F.length(digits).between(10, 15)
     if kind.name == "iban":
-        return F.when(F.length(F.regexp_replace(match, " ", "")).between(15, 34) & (_mod97(match) == 1), 1.0).otherwise(0.0)
+        return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & (_mod97(match) == 1)
     if kind.name == "ssn":
-        formed = ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-") & ~match.rlike("-0000$")
-        near = F.lower(F.right(before, F.lit(NEARBY))).rlike(kind.context)
-        return F.when(formed, F.lit(0.4) + F.when(near, 0.5).otherwise(0.0)).otherwise(0.0)
-    return F.lit(1.0)
+        return ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-") & ~match.rlike("-0000$")
+    return F.lit(True)
+
+
+def _score(kind: Kind, match: Column, before: Column, behind: Column) -> Column:
+    """0 for what is refuted, else the kind's score, moved by the words nearby and 1 at most."""
+    near = F.lower(F.concat_ws(" ", F.right(before, F.lit(NEARBY)), F.left(behind, F.lit(NEARBY))))
+    score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT).otherwise(0.0)
+    if kind.against:
+        score = score - F.when(near.rlike(kind.against), CONTEXT).otherwise(0.0)
+    return F.when(_confirmed(kind, match), F.least(score, F.lit(1.0))).otherwise(0.0)
 
 
 def _sums(lengths: Column) -> Column:
@@ -98,7 +108,7 @@ def _lengths(matches: Column, pieces: Column) -> Column:
 def _spans(order: int, kind: Kind) -> Column:
     m, p, e = F.col(f"m_{kind.name}"), F.col(f"p_{kind.name}"), F.col(f"e_{kind.name}")
     return F.transform(
-        m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), F.get(e, i).alias("end"), _score(kind, x, F.get(p, i)).alias("score"))
+        m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), F.get(e, i).alias("end"), _score(kind, x, F.get(p, i), F.get(p, i + 1)).alias("score"))
     )
 
 
@@ -117,7 +127,8 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.withColumn(f"e_{k.name}", F.when(F.size(m) > 0, _sums(_lengths(m, p))).otherwise(F.array().cast("array<int>")))
     each = []
     for order, k in enumerate(KINDS):
-        each.append(F.filter(_spans(order, k), lambda s: s["score"] >= THRESHOLD))
+        least = THRESHOLD if order >= BASE else 1e-9
+        each.append(F.filter(_spans(order, k), lambda s: s["score"] >= least))  # noqa: B023
     return rows.select("id", F.array_sort(F.concat(*each)).alias("spans"))
 
 

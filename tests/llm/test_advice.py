@@ -88,3 +88,12 @@ def test_leaking_rows_go_whatever_their_ids(spark):
     benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     kept = decontaminate.without_leaks(put(spark, rows), benchmark).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, clean[0]), (3, clean[1]), (4, clean[2])]
+
+
+def test_context_moves_the_score_of_what_is_confirmed(spark):
+    from lodestone.llm import pii
+
+    texts = {1: "ip address 10.0.0.1 here", 2: "in version 10.0.0.1 here", 3: "see 10.0.0.1 here", 4: "pay 4111 1111 1111 1111 by card", 5: "4111 1111 1111 1111", 6: "4111 1111 1111 1112 card",
+             7: "account GB82 WEST 1234 5698 7654 32", 8: "GB82 WEST 1234 5698 7654 32", 9: "GB82 WEST 1234 5698 7654 33 iban", 10: "123-45-6789 (SSN)", 11: "123-45-6789"}
+    found = {r["id"]: [(s["kind"], round(s["score"], 1)) for s in r["spans"]] for r in pii.pii_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert found == {1: [("ip", 0.9)], 2: [("ip", 0.3)], 3: [("ip", 0.6)], 4: [("card", 1.0)], 5: [("card", 0.7)], 6: [], 7: [("iban", 1.0)], 8: [("iban", 0.9)], 9: [], 10: [("ssn", 0.7)], 11: []}
