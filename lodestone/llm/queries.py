@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, class_lm, decontaminate, langid, pii, quality, secrets, simhash, substring_dedup, token_counts
+from lodestone.llm import byte_bpe, class_lm, decontaminate, langid, pii, quality, secrets, simhash, sql, substring_dedup, token_counts
 from lodestone.llm.common import crc_bucket, table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pii": sql.OP4, "op5_quality_rules": sql.OP5, "op7_substring_dedup": sql.OP7, "op10_decontamination": sql.OP10}
