@@ -13,6 +13,8 @@ from lodestone.llm.common import crc_bucket, table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 MAX_TOKENS = 1024
+#: Whose words count as easy to guess.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 
 def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.secret_spans(docs)
+    found = secrets.secret_spans(docs, words=secrets.vocabulary(map(public_tokenizers.path, VOCABULARIES)))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = secrets.KINDS[:3]
     return found.select(F.col("id").alias("doc_id"), *map(of, base), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined().alias("spans"))

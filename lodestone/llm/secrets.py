@@ -1,10 +1,14 @@
 """Operator 9: secrets in texts: fixed forms, and values in a credential's place that would be costly to guess.
 
 The cost of a value is that of its cheapest segmentation, in bits: a dynamic program over its prefixes takes the least
-of words, dates, repeats, sequences and keyboard walks, and characters guessed one by one. A value behind a
+of words, dates, repeats, sequences and keyboard walks, and characters guessed one by one. A repeat, sequence or walk is
+a span of up to 64 characters from anywhere, or one of any length from where its run begins. A value behind a
 credential's name that the fixed forms don't cover as a whole is reported as ``guess`` when its cost reaches a threshold.
 Only plain words, that is letters alone in the case of a word, are left out, as prose behind a colon has them.
 
+Words are guessed in order: those that people put into passwords, then a vocabulary's, which is a parameter; a word of
+rank r costs log2(r + 1) bits, another one in its place that differs in case or by usual signs for letters a bit more.
+
 Nulls and empty texts have no spans. The work is linear in a text's length; a value's program looks back a fixed number
 of characters. Repeated rows give repeated results; other columns are not read.
 """
@@ -13,19 +17,21 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterable
 from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.byte_bpe import read_ranks
 from lodestone.llm.common import map_rows, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Bits from which a value in a credential's place is a secret.
 SECRET_BITS = 45.0
-#: Bits from which more doesn't matter, so that the program may stop.
-ENOUGH_BITS = 4 * SECRET_BITS
+#: Characters that a word has at most, and a repeat, sequence or walk that begins within its run.
+LONGEST_WORD, LONGEST_RUN = 20, 64
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -41,12 +47,14 @@ hello freedom whatever secret summer winter spring autumn orange purple silver g
 cookie chocolate computer internet server database root user guest test demo default changeme temp backup system service
 access token private public key pass word love angel baby lucky star magic flower family friend happy house money power
 jordan michael daniel thomas robert charlie andrew jessica ashley joshua matthew anthony""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("013457@$!", "oieastasi")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-DATE_BITS = log2(366 * 150)
+#: Dates by year, month and day, by day, month and year, and years; what each costs.
+DATES = (
+    (re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", re.ASCII), log2(366 * 150)),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII), log2(366 * 150)),
+    (re.compile(r"(?:19|20)\d\d", re.ASCII), log2(150)),
+)
 
 
 def _near() -> set[tuple[str, str]]:
@@ -58,46 +66,68 @@ def _near() -> set[tuple[str, str]]:
 NEAR = _near()
 
 
+def vocabulary(paths: Iterable[str]) -> list[str]:
+    """The whole words of rank files, by their best rank: tokens that begin with a blank and go on in letters alone."""
+    best: dict[str, int] = {}
+    for path in paths:
+        for token, rank in read_ranks(path).items():
+            word = token[1:].decode("utf-8", "ignore").lower() if token[:1] == b" " else ""
+            if 3 <= len(word) <= LONGEST_WORD and word.isalpha() and rank < best.get(word, rank + 1):
+                best[word] = rank
+    return sorted(best, key=lambda w: (best[w], w))
+
+
 def _charset_bits(ch: str) -> float:
     return log2(10) if ch.isdigit() else log2(26) if ch.islower() or ch.isupper() else log2(33)
 
 
-def guess_bits(value: str, enough: float = ENOUGH_BITS) -> float:
-    """The cost of the cheapest segmentation, in bits; stops once every way on costs more than enough."""
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET)
-    dates: dict[int, list[int]] = {}
-    for start in range(n):
-        if value[start].isdigit() and (hit := DATE.match(value, start)):
-            dates.setdefault(hit.end(), []).append(start)
-    best = [0.0] + [float("inf")] * n
-    same = step = walk = 0  # where the runs that reach the present character began
-    for end in range(1, n + 1):
-        i = end - 1
-        if i and value[i] != value[i - 1]:
-            same = i
-        if i and not (i - step >= 2 and ord(value[i]) - ord(value[i - 1]) == ord(value[i - 1]) - ord(value[i - 2])):
-            step = i - 1 if abs(ord(value[i]) - ord(value[i - 1])) == 1 else i
-        if i and (low[i - 1], low[i]) not in NEAR:
-            walk = i
-        cost = best[i] + _charset_bits(value[i])
-        for start in range(max(0, end - LONGEST_WORD), end - 2):
-            word = low[start:end]
-            rank = RANK.get(word) or RANK.get(plain[start:end], 0) * 2
-            if rank:
-                cost = min(cost, best[start] + log2(rank + 1) + (0 if word == value[start:end] else 1))
-        if end - same >= 3:
-            cost = min(cost, best[same] + _charset_bits(value[i]) + log2(end - same))
-        if end - step >= 3:
-            cost = min(cost, best[step] + _charset_bits(value[i]) + 1 + log2(end - step))
-        if end - walk >= 3:
-            cost = min(cost, best[walk] + log2(47) + 2.2 + log2(end - walk))
-        for start in dates.get(end, ()):
-            cost = min(cost, best[start] + DATE_BITS)
-        best[end] = cost
-        if end >= LONGEST_WORD and min(best[end - LONGEST_WORD + 1 : end + 1] + [best[same], best[step], best[walk]]) > enough:
-            return enough
-    return best[n]
+class Guesser:
+    """The words of passwords and then those of a vocabulary, in order, and what values cost by them."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.rank: dict[str, int] = {}
+        for word in (*WORDS, *words):
+            if len(word) <= LONGEST_WORD:
+                self.rank.setdefault(word, len(self.rank) + 1)
+
+    def bits(self, value: str) -> float:
+        """The cost of the cheapest segmentation."""
+        n, rank = len(value), self.rank
+        low = value.lower() if len(value.lower()) == n else value
+        plain = low.translate(LEET)
+        dates: dict[int, list[tuple[int, float]]] = {}
+        for start in range(n):
+            if value[start] in "0123456789":
+                for form, bits in DATES:
+                    if hit := form.match(value, start):
+                        dates.setdefault(hit.end(), []).append((start, bits))
+        best = [0.0] * (n + 1)
+        same = rising = falling = walk = 0  # where the runs that reach the present character began
+        for i, ch in enumerate(value):
+            end, own = i + 1, _charset_bits(ch)
+            if i:
+                step = ord(ch) - ord(value[i - 1])
+                same = same if step == 0 else i
+                rising = rising if step == 1 else i
+                falling = falling if step == -1 else i
+                walk = walk if (low[i - 1], low[i]) in NEAR else i
+            cost = best[i] + own
+            for start in range(max(0, end - LONGEST_WORD), end - 2):
+                word = low[start:end]
+                at = rank.get(word) or 2 * rank.get(plain[start:end], 0)
+                if at:
+                    cost = min(cost, best[start] + log2(at + 1) + (word != value[start:end]))
+            for first, bits in ((same, own), (rising, own + 1), (falling, own + 1), (walk, log2(47) + 2.2)):
+                if end - first >= 3:
+                    for start in (first, *range(max(first + 1, end - LONGEST_RUN), end - 2)):
+                        cost = min(cost, best[start] + bits + log2(end - start))
+            for start, bits in dates.get(end, ()):
+                cost = min(cost, best[start] + bits)
+            best[end] = cost
+        return best[n]
+
+
+USUAL = Guesser()
 
 
 def _word(value: str) -> bool:
@@ -107,8 +137,8 @@ def _word(value: str) -> bool:
 
 
 def _number(kind: int, value: str) -> bool:
-    """What ``hex`` also covers and is not masked: digits alone, or letters alone."""
-    return KINDS[kind] == "hex" and (value.isdigit() or value.isalpha())
+    """What ``hex`` also covers and is not masked: digits alone."""
+    return KINDS[kind] == "hex" and value.isdigit()
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,7 +152,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(text: str | None) -> list[tuple[int, str, int, int, int, float]]:
+def find(text: str | None, guesser: Guesser = USUAL) -> list[tuple[int, str, int, int, int, float]]:
     """(start, kind, end, start of the value, end of the value, bits), in order of start and then of kind."""
     text = text or ""
     out = []
@@ -132,26 +162,26 @@ def find(text: str | None) -> list[tuple[int, str, int, int, int, float]]:
     if "AKIA" in text:
         out += [(hit.start(), 1, hit.end(), hit.start(), hit.end()) for hit in ACCESS.finditer(text) if hit.end() - hit.start() >= 18]
     out += [(hit.start(), 2, hit.end(), hit.start(), hit.end()) for hit in HEX.finditer(text)]
-    scored = [(s, k, e, a, b, guess_bits(text[a:b])) for s, k, e, a, b in out]
+    scored = [(s, k, e, a, b, guesser.bits(text[a:b])) for s, k, e, a, b in out]
     taken = _merged([(a, b) for _, k, _, a, b in out if not _number(k, text[a:b])])
     for hit in CONTEXT.finditer(text):
         a, b = hit.span(1)
         at = bisect_left(taken, (a + 1,))
         covered = at > 0 and taken[at - 1][1] >= b
-        if not covered and not _word(hit[1]) and (bits := guess_bits(hit[1])) >= SECRET_BITS:
+        if not covered and not _word(hit[1]) and (bits := guesser.bits(hit[1])) >= SECRET_BITS:
             scored.append((hit.start(), 3, hit.end(), a, b, bits))
     return [(s, KINDS[k], e, a, b, bits) for s, k, e, a, b, bits in sorted(scored)]
 
 
-def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] = ()) -> DataFrame:
     """id, spans: array of (kind, start, end, value_start, value_end, bits), in code points, ends exclusive."""
-    rows = texts_of(df, id_col, text_col)
+    rows, sent = texts_of(df, id_col, text_col), df.sparkSession.sparkContext.broadcast(Guesser(words))  # as large as the vocabulary
     span = "struct<kind:string,start:int,end:int,value_start:int,value_end:int,bits:double>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("value_end", pa.int32()), ("bits", pa.float64())]))
 
     def start():
         return lambda batch: pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array([[dict(kind=k, start=s, end=e, value_start=a, value_end=b, bits=bits) for s, k, e, a, b, bits in find(t.as_py())] for t in batch["text"]], kind)], ["id", "spans"]
+            [batch["id"], pa.array([[dict(kind=k, start=s, end=e, value_start=a, value_end=b, bits=bits) for s, k, e, a, b, bits in find(t.as_py(), sent.value)] for t in batch["text"]], kind)], ["id", "spans"]
         )
 
     return map_rows(rows, start, f"id {rows.schema['id'].dataType.simpleString()}, spans array<{span}>")
@@ -163,12 +193,12 @@ def joined(kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, guesser: Guesser = USUAL, mark: str = "[SECRET]") -> str | None:
     """The text with its secrets' values replaced. Plain long numbers, which ``hex`` also covers, stay."""
     if not text:
         return text
     cuts = []
-    for _, kind, _, a, b, _ in find(text):
+    for _, kind, _, a, b, _ in find(text, guesser):
         if not _number(KINDS.index(kind), text[a:b]):
             cuts.append((a, b))
     out, at = [], 0

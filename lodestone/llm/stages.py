@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import byte_bpe, decontaminate, langid, secrets, simhash
 from lodestone.llm.common import map_rows, table
-from lodestone.llm.queries import RANKS
+from lodestone.llm.queries import RANKS, VOCABULARIES
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,12 @@ def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with the values of its secrets replaced; n_chars follows where a text changed."""
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars")
+    sent = spark.sparkContext.broadcast(secrets.Guesser(secrets.vocabulary(map(public_tokenizers.path, VOCABULARIES))))  # as large as the vocabularies
 
     def start():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, sizes = batch.column(at).to_pylist(), batch.column(chars).to_pylist()
-            clean = [secrets.redacted(t) for t in texts]
+            clean = [secrets.redacted(t, sent.value) for t in texts]
             sizes = [n if new == old else len(new) for n, old, new in zip(sizes, texts, clean, strict=True)]
             columns = list(batch.columns)
             columns[at], columns[chars] = pa.array(clean, pa.string()), pa.array(sizes, batch.column(chars).type)
