@@ -5,9 +5,14 @@ learning text also has. Parsing a text into such pieces needs few of them in its
 length) / length estimates the cross entropy, and the least wins.
 
 Texts are lower-cased, runs of what is no letter become one blank, and letters that no learning text has end a phrase.
-The automata are walked in step by many segments of whole texts at once; a segment boundary adds one phrase at most to
-either language alike. Transitions by the most frequent letters are dense tables, those by all other letters of the
-learning texts a hash table.
+The automata are walked in step by many segments of whole texts at once. Every segment is first walked as if it began
+the text; then those that follow another are walked again from the state in which that one ended, only until both walks
+begin a phrase at the same place, from where on they are the same. So the phrases are those of the whole text, however
+it is cut. Transitions by the most frequent letters are dense tables, those by all other letters of the learning texts a
+hash table.
+
+The learning sample is whole documents, picked by a hash of id and text, as many as its documented bounds let in; a
+language whose documents are all longer than the bound has its shortest one.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from. Ties
 go to the first language by name. Repeated rows give repeated results; other columns are not read.
@@ -20,13 +25,16 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_bucket, map_rows
 
-#: Bounds of the learning sample: characters a language, characters in all, documents a language.
+#: Bounds of the learning sample, in whole documents: characters a language, characters in all, documents a language.
 LANGUAGE_CHARS, ALL_CHARS, LANGUAGE_DOCS = 24_000, 480_000, 160
+#: Learning texts that are shorter count as so long, as phrases of a few words say nothing.
+LEAST_LENGTH = 1024
 #: Letters with a column of the dense tables; the others' transitions are hashed.
 LETTERS = 120
 #: Code points of a segment, and of the segments walked at once.
@@ -141,7 +149,7 @@ class CrossParser:
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
         self.hashed = Hashed(np.array(keys, np.int64), np.array(values, np.int32))
-        self.bits = np.array([log2(max(2, len(texts[lang]))) for lang in self.languages])
+        self.bits = np.array([log2(max(LEAST_LENGTH, len(texts[lang]))) for lang in self.languages])
 
     def by_rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Twice the next state, plus 1 where a phrase began, by (languages, texts) states and the texts' rare codes."""
@@ -166,6 +174,11 @@ class CrossParser:
         return found
 
 
+def _longer(sizes: np.ndarray) -> np.ndarray:
+    """For each step the number of lanes, which are in falling order of size, that are longer."""
+    return np.searchsorted(-sizes, -np.arange(sizes.max()), side="left")
+
+
 class Predictor:
     def __init__(self, parser: CrossParser):
         self.parser, self.classes = parser, parser.classes()
@@ -176,6 +189,29 @@ class Predictor:
         keep[1:] |= codes[:-1] != 0  # the first of a run of blanks stays
         return codes[keep]
 
+    def walk(self, steps: np.ndarray, active: np.ndarray, state: np.ndarray, began: np.ndarray, until: np.ndarray | None = None) -> int:
+        """Moves the lanes' states over their codes and notes where phrases begin, in (steps, languages, lanes).
+
+        With ``until``, the notes of another walk, it ends once every lane has begun a phrase where the other one did;
+        notes and states from there on are the other's. Gives the number of steps.
+        """
+        parser = self.parser
+        rare = (steps >= parser.rare) & (steps < parser.other)
+        hashed, dense = rare.any(1), np.minimum(steps, parser.rare)
+        apart = None if until is None else np.ones(state.shape, bool)
+        for step, n in enumerate(active):
+            moved = parser.table[state[:, :n] * parser.width + dense[step, :n]]
+            if hashed[step]:
+                lanes = np.flatnonzero(rare[step, :n])
+                moved[:, lanes] = parser.by_rare(state[:, lanes], steps[step, lanes])
+            began[step, :, :n] = moved & 1
+            state[:, :n] = moved >> 1
+            if apart is not None:
+                apart[:, :n] &= ~(began[step, :, :n] & until[step, :, :n])
+                if not apart[:, : active[step + 1] if step + 1 < len(active) else 0].any():
+                    return step + 1
+        return len(active)
+
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases that each text takes."""
         parser, total = self.parser, np.zeros((len(rows), len(self.parser.languages)), np.int64)
@@ -186,26 +222,46 @@ class Predictor:
                 pieces.append(codes[at : at + SEGMENT])
         if not pieces:
             return total
-        sizes = np.array([len(p) for p in pieces])
+        owner, sizes = np.array(owner), np.array([len(p) for p in pieces])
         order = np.argsort(-sizes, kind="stable")
+        lane_of = np.empty(len(order), np.int64)
+        lane_of[order] = np.arange(len(order))
         steps = np.zeros((sizes.max(), len(pieces)), np.int32)
         for lane, i in enumerate(order):
             steps[: sizes[i], lane] = pieces[i]
-        active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # lanes longer than each step
-        rare = (steps >= parser.rare) & (steps < parser.other)
-        hashed, dense = rare.any(1), np.minimum(steps, parser.rare)
+        length = sizes[order]
         state = np.repeat(parser.starts[:, None], len(pieces), axis=1)
-        began = np.zeros(state.shape, np.int32)
-        for step, n in enumerate(active):
-            moved = parser.table[state[:, :n] * parser.width + dense[step, :n]]
-            if hashed[step]:
-                lanes = np.flatnonzero(rare[step, :n])
-                moved[:, lanes] = parser.by_rare(state[:, lanes], steps[step, lanes])
-            began[:, :n] += moved & 1
-            state[:, :n] = moved >> 1
-        np.add.at(total, np.array(owner)[order], began.T)
+        began = np.zeros((len(steps), *state.shape), bool)
+        self.walk(steps, _longer(length), state, began)
+        # Lanes whose segment follows another of the same text, and the lane of that one.
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        after, before = lane_of[later], lane_of[later - 1]
+        entered = np.repeat(parser.starts[:, None], len(pieces), axis=1)  # where each lane's last walk began
+        while len(after):
+            new = (state[:, before] != entered[:, after]).any(0)
+            todo, first = after[new], state[:, before[new]]
+            if not len(todo):
+                break
+            by_size = np.argsort(-length[todo], kind="stable")
+            todo, now = todo[by_size], np.ascontiguousarray(first[:, by_size])
+            entered[:, todo] = now
+            self._again(steps[:, todo], length[todo], todo, now, state, began)
+        np.add.at(total, owner[order], began.sum(0).T)
         return total
 
+    def _again(self, steps: np.ndarray, length: np.ndarray, lanes: np.ndarray, now: np.ndarray, state: np.ndarray, began: np.ndarray) -> None:
+        """Walks the lanes from the states ``now``, and mends their notes, and their last states where the walks stay apart."""
+        old = began[:, :, lanes]
+        new = np.zeros_like(old)
+        done = self.walk(steps, _longer(length), now, new, old)
+        both = np.zeros_like(old)
+        both[:done] = old[:done] & new[:done]
+        met = both.any(0)
+        at = np.where(met, both.argmax(0), length[None, :])  # the step where the walks meet
+        mended = np.where(np.arange(len(steps))[:, None, None] < at[None], new, old)
+        began[:, :, lanes] = mended
+        state[:, lanes] = np.where(met, state[:, lanes], now)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[float]]]:
         """Language, score, and the bits a character of every language."""
         langs, scores, costs = ["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts)
@@ -235,23 +291,34 @@ class Predictor:
 
 
 def learning_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> dict[str, str]:
-    """A bounded sample of labelled text outside the held-out fold: the first documents by a hash of their id."""
+    """A bounded sample of labelled documents outside the held-out fold: whole ones, in order of a hash, as long as they fit."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("id"), folds) != 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     if not counts:
         return {}
     docs, chars = max(1, min(LANGUAGE_DOCS, 16 * LANGUAGE_DOCS // len(counts))), max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
-    key = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 3 * docs / n) * (1 << 40)))])
-    near = rows.withColumn("key", key).where(F.col("key") < limits[F.col("lang")])
-    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("place") <= docs)
-    cut = first.select("lang", "place", F.substring("text", 1, chars).alias("text"))
-    samples: dict[str, str] = {}
-    for r in cut.orderBy("lang", "place").toLocalIterator():
-        if len(samples.get(r["lang"], "")) < chars:
-            samples[r["lang"]] = (samples.get(r["lang"], "") + "\n" + r["text"])[: chars + 1]
-    return {lang: text for lang, text in samples.items() if normal(text)}
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 3 * docs / n) * (1 << 62)) * 2 - 1)])
+    near = rows.where(F.col("key") <= limits[F.col("lang")]).groupBy("lang", "key").agg(F.min(F.length("text")).alias("size"))
+    # Some three times as many distinct documents as are wanted, by their hashes and sizes.
+    at_hand: dict[str, list[tuple[int, int]]] = {}
+    for r in near.toLocalIterator():
+        at_hand.setdefault(r["lang"], []).append((r["key"], r["size"]))
+    chosen: dict[int, None] = {}
+    for found in at_hand.values():
+        room, picked = chars, []
+        for key, size in sorted(found):
+            if size <= room and len(picked) < docs:
+                picked.append(key)
+                room -= size
+        chosen |= dict.fromkeys(picked or [min(found, key=lambda x: (x[1], x[0]))[0]])
+    texts = rows.where(F.col("key").isin(list(chosen))).groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key")
+    samples: dict[str, list[str]] = {}
+    for r in texts.toLocalIterator():
+        samples.setdefault(r["lang"], []).append(r["text"])
+    joined = {lang: "\n".join(parts) for lang, parts in samples.items()}
+    return {lang: text for lang, text in joined.items() if normal(text)}
 
 
 def learn(df: DataFrame, **names) -> CrossParser:
@@ -284,12 +351,14 @@ def predict(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col
     return map_rows(rows, start, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits array<double>")
 
 
-def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, whose text has a language; what is ``und`` goes.
+def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text has a language, with it as their label where they have none; what is ``und`` goes.
 
-    With nothing to learn from no text has one, and those with a letter stay.
+    Labels that are there stay, and so do all other columns. With nothing to learn from no text has a language, and
+    those with a letter stay as they are.
     """
     sent, model = df.sparkSession.sparkContext.broadcast(parser), uuid4().hex
+    at = df.columns.index(lang_col)
 
     def start():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,7 +366,9 @@ def keep_identified(df: DataFrame, parser: CrossParser, text_col: str = "text")
             if not sent.value.languages:
                 return batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
             langs, _, _ = _predictor(model, sent).predict(texts)
-            return batch.filter(pa.array([lang != "und" for lang in langs]))
+            columns = list(batch.columns)
+            columns[at] = pc.coalesce(columns[at], pa.array(langs, columns[at].type))
+            return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array([lang != "und" for lang in langs], pa.bool_()))
 
         return apply
 

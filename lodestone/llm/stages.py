@@ -12,7 +12,7 @@ from lodestone.llm.queries import RANKS, VOCABULARIES
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language; null texts and texts without a letter go."""
+    """Keeps documents that have a language, and labels those that had no label; null texts and texts without a letter go."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 

@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,47 @@ def test_context_moves_the_score_of_what_is_confirmed(spark):
              7: "account GB82 WEST 1234 5698 7654 32", 8: "GB82 WEST 1234 5698 7654 32", 9: "GB82 WEST 1234 5698 7654 33 iban", 10: "123-45-6789 (SSN)", 11: "123-45-6789"}
     found = {r["id"]: [(s["kind"], round(s["score"], 1)) for s in r["spans"]] for r in pii.pii_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
     assert found == {1: [("ip", 0.9)], 2: [("ip", 0.3)], 3: [("ip", 0.6)], 4: [("card", 1.0)], 5: [("card", 0.7)], 6: [], 7: [("iban", 1.0)], 8: [("iban", 0.9)], 9: [], 10: [("ssn", 0.7)], 11: []}
+
+
+def test_parsing_does_not_depend_on_segments(monkeypatch):
+    """Phrases of whole texts, however they are cut, are those of a plain walk from the beginning."""
+    rng = random.Random(8)
+    samples = {"a": words(rng, 900), "b": words(random.Random(9), 900), "c": "une autre langue avec d'autres mots " * 20}
+    predictor = langid.Predictor(langid.CrossParser(samples))
+    parser = predictor.parser
+    texts = [samples["a"][500:3500], words(rng, 700), samples["a"] + samples["b"], "ab" * 900, "the " * 900, "\u65e5\u672c" * 700, "x", samples["b"][:40] * 30]
+    rows = [predictor.codes(t) for t in texts]
+    plain = []
+    for codes in rows:
+        counts = []
+        for lang in parser.languages:
+            edges, at, n = langid.suffix_automaton([parser.code[ch] for ch in langid.normal(samples[lang])]), 0, 0
+            for c in codes.tolist():
+                n, at = (n, edges[at][c]) if at and c in edges[at] else (n + 1, edges[0].get(c, 0))
+            counts.append(n)
+        plain.append(counts)
+    for size in (1, 3, 17, 256, 1024):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert predictor.phrases(rows).tolist() == plain
+    bits = np.array(plain) * parser.bits
+    assert predictor.predict(texts)[0] == [parser.languages[i] for i in bits.argmin(1)]
+    weights = np.exp2((bits.min(1, keepdims=True) - bits) / 8)
+    assert np.allclose(predictor.predict(texts)[1], (weights.max(1) / weights.sum(1)))
+
+
+def test_the_learning_sample_is_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGE_CHARS", 100)
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"kurzer text {i}", "de") for i in free[:60]] + [(i, f"much longer text {i} " * 20, "en") for i in free[60:90]]
+    rows += [(free[0], "el mismo texto", "es")] * 50 + [(i, "held out", "xx") for i in range(400) if i not in free] + [(None, None, "fr"), (free[1], "12 3", "it"), (None, "texte sans nom", "fr")]
+    found = langid.learning_sample(put(spark, rows))
+    assert set(found) == {"de", "en", "es", "fr"} and found["es"] == "el mismo texto" and found["fr"] == "texte sans nom"
+    texts = {t for _, t, _ in rows}
+    assert found["en"] in texts and len(found["de"]) > 60 and set(found["de"].split("\n")) <= texts
+
+
+def test_missing_labels_are_filled(spark):
+    rows = [(i, f"the words of this {i}", "en") for i in range(30)] + [(50 + i, f"die wörter von dem {i}", "de") for i in range(30)] + [(100, "wörter von die", None), (101, "these words of the", None), (102, "the words", "xx"), (103, "12", None), (104, None, "en")]
+    docs = put(spark, rows)
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(docs, langid.learn(docs)).collect()}
+    assert kept == {i: lang for i, _, lang in rows[:60]} | {100: "de", 101: "en", 102: "xx"}
