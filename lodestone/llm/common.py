@@ -21,9 +21,11 @@ _folders: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a temporary one of this machine."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one of this machine, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/lodestone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"

@@ -22,9 +22,9 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from lodestone.llm.common import free_name, map_rows, stored, texts_of
 from lodestone.llm.components import components
@@ -59,13 +59,15 @@ def signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """All columns and the fingerprint, as a signed long."""
+def prints_of(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The other columns, and the fingerprint of the text as a signed long, ``print``."""
+    at = df.columns.index(text_col)
+    schema = StructType([*(f for f in df.schema.fields if f.name != text_col), StructField("print", LongType())])
 
     def start():
-        return lambda batch: batch.append_column(name, pa.array([signed(fingerprint(t.as_py())) for t in batch[text_col]], pa.int64()))
+        return lambda batch: batch.append_column("print", pa.array([signed(fingerprint(t.as_py())) for t in batch.column(at)], pa.int64())).select(schema.names)
 
-    return map_rows(df, start, StructType([*df.schema.fields, StructField(name, LongType())]))
+    return map_rows(df, start, schema)
 
 
 class Grid:
@@ -217,48 +219,38 @@ def links(prints: DataFrame, column: str = "print", radius: int = RADIUS) -> Dat
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id, for every row."""
-    rows = with_fingerprint(texts_of(df, id_col, text_col), "text", "print").select("id", "print")
-    rows = stored(rows)
-    return _joined(rows, "id", "print", radius).select("id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    """id, fingerprint (16 hex digits), component_id, for every row; only distinct fingerprints are compared."""
+    rows = stored(prints_of(texts_of(df, id_col, text_col)))
+    prints = stored(rows.groupBy("print").agg(F.min("id").alias("least")))
+    linked = prints.join(_roots(prints, radius), "print")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    found = prints.join(linked.select("print", "root"), "print", "left").join(least, "root", "left")
+    told = found.select("print", F.coalesce("component", "least").alias("component_id"))
+    return rows.join(told, "print", "left").select("id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _joined(rows: DataFrame, id_col: str, print_col: str, radius: int) -> DataFrame:
-    """The rows with component_id; only distinct fingerprints are compared, with the smallest id of each."""
-    told = _told(rows.select(F.col(id_col).alias("id"), F.col(print_col).alias("print")), radius)
-    return rows.join(told.select(F.col("print").alias(print_col), "component_id"), print_col, "left")
-
-
-def _told(keys: DataFrame, radius: int) -> DataFrame:
-    """print, least (its smallest id), root (the fingerprint that stands for its component), component_id."""
-    prints = stored(keys.groupBy("print").agg(F.min("id").alias("least")))
-    roots = components(links(prints, "print", radius)).withColumnRenamed("node", "print")
-    # Of linked fingerprints the smallest id of each root; the others are their own component.
-    linked = roots.select("print", "root").unionByName(roots.select(F.col("root").alias("print"), "root").distinct())
-    named = linked.join(prints, "print")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    found = prints.join(linked, "print", "left").join(least, "root", "left")
-    return found.select("print", "least", F.coalesce("root", "print").alias("root"), F.coalesce("component", "least").alias("component_id"))
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """print, root (the fingerprint that stands for its component) of those fingerprints that have links."""
+    found = components(links(prints, "print", radius)).withColumnRenamed("node", "print")
+    return found.select("print", "root").unionByName(found.select(F.col("root").alias("print"), "root").distinct())
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Of every component one row, with all columns unchanged: that of its smallest id, nulls last, then by text.
+    """Of every component one row, with all columns unchanged: one of its smallest id, nulls last.
 
-    Components are told apart by their root fingerprint, so null and repeated ids of unrelated texts all stay.
+    Components are told apart by their root fingerprint and rows by 128 bits of id and text, so null and repeated ids of
+    unrelated texts all stay. Fingerprints are made once; texts are exchanged once, after copies of a row within a task.
     """
-    name = free_name(df, "print")
-    rows = with_fingerprint(df, text_col, name)
-    keys = stored(rows.select(F.col(f"`{id_col}`").alias("id"), F.col(name).alias("print")))
-    own, own_print, root = free_name(df, "own"), free_name(df, "own_print"), free_name(df, "root")
-    kept = _told(keys, radius).where(F.col("least").eqNullSafe(F.col("component_id")))
-    mine = kept.select(F.col("least").alias(own), F.col("print").alias(own_print), F.col("root").alias(root))
-    found = rows.join(mine, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(name) == F.col(own_print))).drop(name, own, own_print)
-    return _first_of_each(found, root, text_col).drop(root)
-
-
-def _first_of_each(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = free_name(df, "place")
-    order = Window.partitionBy(F.col(key)).orderBy(F.col(f"`{text_col}`"))
-    return df.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    one, two, place, order = (free_name(df, c) for c in ("key_one", "key_two", "key_place", "key_order"))
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    keys = F.xxhash64(id_, text), F.xxhash64(text, F.lit(1), id_)
+    rows = prints_of(df.select(id_.alias("id"), keys[0].alias("one"), keys[1].alias("two"), text.alias("text")))
+    # Of every fingerprint its first row, and of every component the first of these.
+    firsts = stored(rows.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "one", "two")).alias("first")))
+    rooted = firsts.join(_roots(firsts.select("print"), radius), "print", "left")
+    chosen = rooted.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.one").alias(one), F.col("first.two").alias(two)).distinct()
+    own = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    copies = Window.partitionBy(one, two).orderBy(order)
+    keyed = df.withColumns({one: keys[0], two: keys[1], order: F.xxhash64(*own)})
+    return keyed.withColumn(place, F.row_number().over(copies)).where(F.col(place) == 1).join(chosen, [one, two], "left_semi").drop(one, two, place, order)
