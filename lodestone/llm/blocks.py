@@ -118,6 +118,6 @@ def slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every block with the answers to it, in order of their buckets. A block has a bounded number of them."""
+    """Every block with the answers to it, in order of their buckets: at most as many as the block has distinct entries, which its size bounds."""
     told = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
     return blocks.join(told, "block", "left")

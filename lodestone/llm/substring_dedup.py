@@ -3,13 +3,14 @@
 Positions p of a document with p mod 13 in {0, 1, 3, 9} form a difference cover: for any two starts there is one shift
 below 13 that takes both to cover positions. So of two equal windows of 20 words, the anchors of 8 words at some common
 shift are equal too, and only anchors at cover positions need be hashed and exchanged. Windows around anchors that the
-corpus has twice are then extended to 20 words and settled by a 96-bit key of all of them: the first occurrence, by
-document id and position, stays, and the words of every later one go.
+corpus has twice are then extended to 20 words and settled by a 128-bit key of all of them (two sums of 64-bit hashes of
+the words): the first occurrence, by document id and position, stays, and the words of every later one go.
 
 Exchanges carry each anchor and each window once a block, so a passage that a third of all documents share puts one
-entry a block into its bucket, not one a document; nothing is paired within a group.
+entry a block into its bucket, not one a document; nothing is paired within a group. Sorting aside, the work is linear
+in words and entries.
 
-Nulls and texts of fewer than 20 words lose nothing. Null ids count as one document behind all others. Rows that repeat
+Ids are integers. Nulls and texts of fewer than 20 words lose nothing. Null ids count as one document behind all others. Rows that repeat
 an id count as one document: windows at the same position of both don't remove each other. Words are kept unchanged.
 """
 
@@ -71,7 +72,7 @@ class Passages(B.Block):
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = rolling(np.ascontiguousarray(self.hash[:, 0]), WINDOW, MULTIPLIERS[0])[starts]
         two = rolling(np.ascontiguousarray(self.hash[:, 1]), WINDOW, MULTIPLIERS[1])[starts]
-        return one, (two >> np.uint64(32)).astype("<u4")
+        return one, two
 
 
 def _ask_anchors(row: dict, buckets: int):
@@ -137,7 +138,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     """For every block the starts of its windows that are not the first of the corpus."""
     asked = table["asked"].to_pylist()
     one = np.concatenate([np.frombuffer(x["one"], "<u8") for x in asked])
-    two = np.concatenate([np.frombuffer(x["two"], "<u4") for x in asked])
+    two = np.concatenate([np.frombuffer(x["two"], "<u8") for x in asked])
     doc, pos, flat, block = [], [], [], []
     for i, x in enumerate(asked):
         f, begins, docs = B.widen(x["flat"]).astype(np.int64), B.widen(x["begins"]).astype(np.int64), np.frombuffer(x["docs"], np.int64)
@@ -150,9 +151,9 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     order = np.lexsort((pos, doc, two, one))
     _, lost = _later(one[order], two[order], doc[order], pos[order])
     flat, block = flat[order][lost], block[order][lost]
-    answers = []
-    for i, x in enumerate(asked):
-        answers.append(B.narrow(np.sort(np.concatenate([flat[block == i], B.widen(x["lost"]).astype(np.int64)]))))
+    by_block = np.lexsort((flat, block))
+    each = np.split(flat[by_block], np.cumsum(np.bincount(block, minlength=len(asked)))[:-1])
+    answers = [B.narrow(np.sort(np.concatenate([own, B.widen(x["lost"]).astype(np.int64)]))) for own, x in zip(each, asked, strict=True)]
     return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
 
 
