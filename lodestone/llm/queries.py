@@ -48,7 +48,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = token_counts.prefix_counts(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, MAX_TOKENS)
+    found = token_counts.prefix_counts(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, MAX_TOKENS, differences=False)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 

@@ -194,16 +194,16 @@ def longest_prefix(differences: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
-def prefix_counts(df: DataFrame, path: str, pattern: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens, cut (code points of the longest prefix within the budget), differences (binary)."""
+def prefix_counts(df: DataFrame, path: str, pattern: str, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text", differences: bool = True) -> DataFrame:
+    """id, n_bytes, n_tokens, cut (code points of the longest prefix within the budget), and, if wanted, differences (binary)."""
     spec = read_merges(path)
 
     def start():
         counter = _counter(spec, pattern)
-        return lambda batch: _counted(counter, batch, budget)
+        return lambda batch: _counted(counter, batch, budget, differences)
 
     rows = texts_of(df, id_col, text_col)
-    return map_rows(rows, start, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, cut bigint, differences binary")
+    return map_rows(rows, start, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, cut bigint" + ", differences binary" * differences)
 
 
 _counters: dict[tuple, PrefixCounts] = {}
@@ -218,7 +218,7 @@ def _counter(spec: dict, pattern: str) -> PrefixCounts:
     return _counters[key]
 
 
-def _counted(counter: PrefixCounts, batch: pa.RecordBatch, budget: int) -> pa.RecordBatch:
+def _counted(counter: PrefixCounts, batch: pa.RecordBatch, budget: int, differences: bool) -> pa.RecordBatch:
     sizes, totals, cuts, kept = [], [], [], []
     for value in batch["text"]:
         text = value.as_py() or ""
@@ -226,5 +226,7 @@ def _counted(counter: PrefixCounts, batch: pa.RecordBatch, budget: int) -> pa.Re
         sizes.append(len(text.encode()))
         totals.append(total(steps))
         cuts.append(len(text) if len(text) <= budget // 4 else longest_prefix(steps, budget))
-        kept.append(steps)
-    return pa.RecordBatch.from_arrays([batch["id"], pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(cuts, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_tokens", "cut", "differences"])
+        if differences:
+            kept.append(steps)
+    columns = [batch["id"], *(pa.array(x, pa.int64()) for x in (sizes, totals, cuts)), *([pa.array(kept, pa.binary())] if differences else [])]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "cut", "differences"][: len(columns)])
