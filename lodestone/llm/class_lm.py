@@ -13,7 +13,7 @@ exact count of every word over all training text; a class's unseen words share t
 Texts are lower-cased (A-Z), words are runs other than blank and \\t to \\r, and each text ends in an end token, which
 is also the context of its first word. Word counts are exchanged once for each distinct word of a block of documents.
 
-Nulls are empty texts, of one token. A null id is never held out. Without training text every probability is that of
+Ids are integers. Nulls are empty texts, of one token. A null id is never held out. Without training text every probability is that of
 unseen words in one class. Repeated rows are counted and scored as often as they occur.
 """
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestone.session import importable, table
 
-__all__ = ["crc_bucket", "free_name", "give_back", "map_rows", "shared_folder", "stored", "table", "texts_of"]
+__all__ = ["crc_bucket", "discard", "folders_since", "free_name", "give_back", "map_rows", "shared_folder", "stored", "table", "texts_of"]
 
-_folders: list[tuple[SparkSession, str]] = []
+#: Folders of tables that are still there, by path, oldest first.
+_folders: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,16 +30,29 @@ def shared_folder(spark: SparkSession) -> str:
         root = f"file://{tempfile.gettempdir()}/lodestone-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    _folders.append((spark, path))
+    _folders[path] = spark
     return path
 
 
+def folders_since(count: int = 0) -> list[str]:
+    """The folders of stored tables beyond the first so many."""
+    return list(_folders)[count:]
+
+
+def discard(*paths: str) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for path in paths:
+        spark = _folders.pop(path, None)
+        if spark is not None:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @atexit.register
 def _remove_folders() -> None:
-    for spark, path in _folders:
+    for path in folders_since():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            discard(path)
         except Exception:  # noqa: BLE001, S110  the session may be gone
             pass
 

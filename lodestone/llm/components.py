@@ -2,7 +2,7 @@
 
 Each round is two grouped minima and two joins, none of which gathers a node's neighbours. Rounds go on until the
 links no longer change; every round's links are written to the shared folder, so lineage stays short and lost executors
-cost one round.
+cost one round. Those of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import discard, folders_since, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while True:
+        had = folders_since()[-1]
         now = stored(_small_star(_large_star(now)))
+        discard(had)
         new = _mark(now)
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,7 +3,7 @@
 Every rule is a predicate on a text that says why it should go. On a bounded sample each rule is run on its own, its
 cost and its share of rejections are measured, and the rules are put in order of rejections per cost; the cascade then
 stops at the first rule that rejects. A rejected text is rejected in any order, so the verdict does not depend on the
-measurement; only the time does.
+measurement; the time does, and which of several failed rules is named.
 
 Nulls and empty texts have no words and are rejected as too short. Repeated rows give repeated results; other columns
 are not read.
