@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULT
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import top
+from lodestone.session import is_small
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # term, doc_id, tf
+    postings: DataFrame  # term, doc_id, tf, dl
     docs: DataFrame  # doc_id, dl
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # n, avgdl
 
     def save(self, path: str) -> None:
-        """Postings lie sorted by term, so a query's terms skip row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("docs", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Postings lie sorted by term, so a query's terms skip row groups; a term's are spread over as many files as they fill.
+
+        Each table is made from those that are written already, so documents are read for lengths and for postings only.
+        """
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+        write(self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+        write(self.docs, "docs")
+        spark = self.docs.sparkSession
+        again = of_tables(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+        write(again.terms, "terms")
+        write(again.stats, "stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
@@ -35,10 +43,14 @@ def idf(n, df):
 
 
 def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """Documents without words count in n and avgdl with length 0."""
+    """Documents without words count in n and avgdl with length 0. Postings carry the length of their document."""
     words = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
     docs = words.select("doc_id", F.size("words").cast("long").alias("dl"))
-    postings = words.select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    return of_tables(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), docs)
+
+
+def of_tables(postings: DataFrame, docs: DataFrame) -> Bm25Index:
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return Bm25Index(postings, docs, terms, stats)
@@ -50,8 +62,10 @@ def query_terms(queries: DataFrame, id_col: str = "q_id", text_col: str = "text"
 
 def scores(index: Bm25Index, queries: DataFrame, k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
     """q_id, id, score > 0. A query's repeated terms count as often; only its own terms' postings are read."""
-    asked = query_terms(queries).join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = query_terms(queries)
+    # Queries of a bounded number of terms go to the index, not the index to them; a term has one row there.
+    sent = F.broadcast if is_small(asked) else lambda df: df
+    hits = index.postings.join(sent(index.terms.join(sent(asked), "term")), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("score"))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +18,20 @@ QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 METRICS = ("cosine", "dot", "euclidean", "manhattan")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of a list column as doubles. All must have the same width, or the one that is given."""
+    if not len(column):
+        return np.zeros((0, width or 0))
+    widths = pc.min_max(column.value_lengths()).as_py()
+    if widths["min"] != widths["max"] or widths["min"] != (widths["min"] if width is None else width):
+        raise ValueError(f"expected vectors of width {widths['min'] if width is None else width}, got {widths['min']} to {widths['max']}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer, whatever the metric."""
+    if a.shape[1] != b.shape[1]:
+        raise ValueError(f"queries of width {a.shape[1]}, vectors of width {b.shape[1]}")
     if metric == "dot":
         return a @ b.T
     if metric == "cosine":
@@ -37,16 +44,20 @@ def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _packed(df: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
-    """Blocks of vectors, one row each. Rows with null vectors are left out."""
+    """Blocks of at most so many vectors, one row each. Rows with null vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = [], []
         for batch in batches:
-            ids += batch["id"].to_pylist()
-            rows.append(matrix(batch["v"]))
-            if len(ids) >= size:
-                yield _block(ids, rows)
-                ids, rows = [], []
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - len(ids))
+                at += part.num_rows
+                ids += part["id"].to_pylist()
+                rows.append(matrix(part["v"]))
+                if len(ids) == size:
+                    yield _block(ids, rows)
+                    ids, rows = [], []
         if ids:
             yield _block(ids, rows)
 
@@ -56,6 +67,23 @@ def _packed(df: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
     return df.where("v IS NOT NULL").mapInArrow(run, f"{names[0]} array<bigint>, {names[1]} binary")
 
 
+def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k greatest entries at nine places, ties by id; what isn't finite is left out.
+
+    Only entries that reach the k-th greatest are sorted, those equal to it included.
+    """
+    keep = np.isfinite(s)
+    rounded = np.where(keep, np.round(s, 9), -np.inf)
+    if k < s.shape[1]:
+        keep &= rounded >= np.partition(rounded, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    row, at = np.nonzero(keep)
+    order = np.lexsort((ids[at], -rounded[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, row)
+    within = np.arange(len(row)) - first < k
+    return row[within], at[within]
+
+
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """q_id, id, score, rank: queries (q_id, embedding) against vectors (id, embedding). score is the similarity, or minus the distance.
 
@@ -74,10 +102,8 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "co
                 s = similarity(np.frombuffer(q.as_py()).reshape(len(asked), -1), np.frombuffer(m.as_py()).reshape(len(known), -1), metric)
                 if exclude_self:
                     s[asked[:, None] == known[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(known, s.shape), -np.round(s, 9)))[:, :k]
-                best = np.take_along_axis(s, order, 1).ravel()
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])[keep]), pa.array(known[order].ravel()[keep]), pa.array(best[keep])], ["q_id", "id", "score"])
+                row, at = best(s, known, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(known[at]), pa.array(s[row, at])], ["q_id", "id", "score"])
 
     return top(ask.crossJoin(have).mapInArrow(run, "q_id bigint, id bigint, score double"), k)
 

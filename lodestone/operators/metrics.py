@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KS = (1, 5, 10)
+from lodestone.config import DEFAULT
+
+KS = DEFAULT.ks
 
 
 def judged(preds: DataFrame, gold: DataFrame) -> DataFrame:
@@ -46,5 +48,11 @@ def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "n", "mean_ms", "std_ms", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), F.col("p")[2].alias("p99_ms"), "min_ms", "max_ms")
 
 
+def throughput_by(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """n and calls a second of groups of calls one after the other, from their milliseconds; 0 where none took time."""
+    spent = F.sum(value) / 1000
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.when(spent > 0, F.count(value) / spent).otherwise(0.0).alias("qps"))
+
+
 def throughput(n_queries: int, seconds: float) -> float:
     return n_queries / seconds if seconds > 0 else 0.0

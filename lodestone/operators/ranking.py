@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import stored
+
 
 def top(df: DataFrame, k: int, by: str = "score", group: tuple[str, ...] = ("q_id",), tie: str = "id") -> DataFrame:
     """The k best rows of each group with their rank from 1. The limit is pushed below the shuffle.
@@ -16,14 +18,25 @@ def top(df: DataFrame, k: int, by: str = "score", group: tuple[str, ...] = ("q_i
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Sorted distinct keys numbered from 0. Numbers come from sizes of sorted ranges, not from one global window."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    local = keys.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(key)))
+    """Sorted distinct keys numbered from 0. Numbers come from sizes of sorted ranges, not from one global window.
+
+    The ranges are stored, so that both readings of them have the same edges.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    local = stored(keys).withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(key)))
     sizes = local.groupBy("part").agg(F.max("n").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.select("part", "before")), "part").select(key, (F.col("before") + F.col("n") - 1).alias(name))
 
 
+def positional_split(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
+    """Adds ``split``: train for the first floor(share * n) rows in order of distinct keys, test for the others."""
+    numbered = df.join(dense_index(df, key, "_place"), key, "left")
+    total = df.select(key).where(F.col(key).isNotNull()).distinct().agg(F.count("*").alias("_total"))
+    told = numbered.crossJoin(F.broadcast(total))  # one row
+    return told.withColumn("split", F.when(F.col("_place") < F.floor(F.col("_total") * share), "train").otherwise("test")).drop("_place", "_total")
+
+
 def hash_share(key: Column, seed: int) -> Column:
     """A number in [0, 1) of each key, the same in any engine with md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parent.parent)
 
@@ -39,3 +43,76 @@ def importable(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Folders of tables that are still there, by path, oldest first.
+_folders: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one of this machine, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/lodestone-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    _folders[path] = spark
+    return path
+
+
+def folders_since(count: int = 0) -> list[str]:
+    """The shared folders made so far that are still there, beyond the first so many."""
+    return list(_folders)[count:]
+
+
+def discard(*paths: str) -> None:
+    """Deletes stored tables that nothing will read any more."""
+    for path in paths:
+        spark = _folders.pop(path, None)
+        if spark is not None:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _remove_folders() -> None:
+    for path in folders_since():
+        try:
+            discard(path)
+        except Exception:  # noqa: BLE001, S110  the session may be gone
+            pass
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder. It outlives executors and cuts the lineage."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_filled: dict[tuple, bool] = {}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows, dealt anew where fewer of its tasks have rows than can run at once, as with a file of one row group."""
+    context = df.sparkSession.sparkContext
+    key = (context.applicationId, *sorted(df.inputFiles()))
+    if key not in _filled:
+        tasks = df.select(F.spark_partition_id().alias("task")).distinct().limit(context.defaultParallelism).count()
+        _filled[key] = tasks >= context.defaultParallelism
+    return df if _filled[key] else df.repartition(context.defaultParallelism)
+
+
+#: Rows up to which a side of a join is sent to every executor.
+SMALL = 200_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Marked to be sent to every executor if it is counted to have at most so many rows, else as it is."""
+    return F.broadcast(df) if is_small(df, rows) else df
