@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators.ranking import top
+from lodestone.session import stored
 
 #: Vectors on which centroids, codebooks and split planes are fitted, at most.
 SAMPLE = 20_000
@@ -39,21 +40,32 @@ def ranked(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int
     return top(pairs.select("q_id", "id", _SCORES[metric](F.col("q_vector"), F.col("embedding")).alias("score")), k)
 
 
-def timed(action: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
-    """The result, kept, and the seconds that it took: plans are lazy, so counting forces it."""
+def clocked(action: Callable):
+    """The result and the seconds that it took, of what is not lazy."""
     began = time.perf_counter()
-    df = action().persist()
-    df.count()
-    return df, time.perf_counter() - began
+    return action(), time.perf_counter() - began
+
+
+def timed(action: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """The result, stored, and the seconds that it took: plans are lazy, so only writing forces them."""
+    return clocked(lambda: stored(action()))
 
 
-def save(tables: dict[str, DataFrame], path: str, **parameters) -> None:
-    for name, df in tables.items():
+def save(tables: dict[str, DataFrame], path: str, arrays: dict[str, np.ndarray] | None = None, spark: SparkSession | None = None, **parameters) -> None:
+    """Tables, the arrays of a fitted model, and a manifest of parameters; the last is written last."""
+    spark = spark or next(iter(tables.values())).sparkSession
+    rows = [(name, list(a.shape), a.dtype.str, np.ascontiguousarray(a).tobytes()) for name, a in (arrays or {}).items()]
+    model = spark.createDataFrame(rows, "name string, shape array<bigint>, kind string, data binary").coalesce(1)
+    for name, df in {**tables, "model": model}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(json.dumps({"tables": sorted(tables), **parameters}),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def arrays_of(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The arrays that were saved; their sizes are those of a model, not of the data."""
+    return {r["name"]: np.frombuffer(bytes(r["data"]), r["kind"]).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/model").collect()}
+
+
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}, manifest

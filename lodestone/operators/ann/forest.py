@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
-from lodestone.operators.ann.base import ranked, sample
+from lodestone.operators.ann.base import arrays_of, load, ranked, sample, save
 from lodestone.operators.dense import matrix
 from lodestone.session import importable
 
@@ -75,6 +75,22 @@ class Forest:
         x = sample(vectors)
         return cls([grow(x, leaf, seed + t) for t in range(trees)])
 
+    def save(self, path: str, leaves: DataFrame) -> None:
+        save({"leaves": leaves}, path, self.arrays(), kind="forest", trees=len(self.trees))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {f"{name}_{t}": getattr(tree, name) for t, tree in enumerate(self.trees) for name in ("normal", "offset", "children")}
+
+    @classmethod
+    def of_arrays(cls, arrays: dict[str, np.ndarray], trees: int) -> Forest:
+        return cls([Tree(*(arrays[f"{name}_{t}"] for name in ("normal", "offset", "children"))) for t in range(trees)])
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[Forest, DataFrame]:
+        """The trees and their leaves, ready to be searched."""
+        tables, manifest = load(spark, path)
+        return cls.of_arrays(arrays_of(spark, path), manifest["trees"]), tables["leaves"]
+
     def leaves(self, vectors: DataFrame, key: str = "id") -> DataFrame:
         """key, tree, leaf of every vector."""
         importable(vectors.sparkSession)

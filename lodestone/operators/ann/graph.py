@@ -1,7 +1,8 @@
 """A navigable small-world graph in shards: nodes and edges as tables, one hierarchical graph a shard, results merged.
 
 Each shard holds a bounded number of vectors, so building and searching are tasks of bounded memory; recall is that of
-the shards, and the work of a search grows with their number.
+the shards, and the work of a search grows with their number. A whole shard is filled at once: a node's candidates are
+the exact nearest of those before it, from blocks of distances, where single insertion finds them by a beam.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
+from lodestone.operators.ann.ivf import distances
 from lodestone.operators.dense import matrix
 from lodestone.operators.ranking import top
-from lodestone.session import importable
+from lodestone.session import importable, small
 
-#: Vectors of a shard, about.
-SHARD = 20_000
+#: Vectors of a shard, about, and of a block of distances.
+SHARD, FILL = 20_000, 512
 
 
 def level_of(number: int, scale: float, seed: int = 42) -> int:
@@ -64,12 +66,53 @@ class Graph:
         return sorted((-d, -n) for d, n in best)
 
     def chosen(self, q: np.ndarray, found: list[tuple[float, int]], m: int) -> list[int]:
-        """Neighbours nearer to the new node than to those already chosen, filled up with the nearest others."""
-        keep: list[int] = []
-        for d, n in found:
-            if len(keep) < m and (not keep or (self.far(self.x[n], keep) > d).all()):
-                keep.append(n)
-        return keep + [n for _, n in found if n not in keep][: m - len(keep)]
+        """Neighbours nearer to the new node than to those already chosen, filled up with the nearest others. ``found`` is in order."""
+        nodes = np.array([n for _, n in found], np.int64)
+        return self.diverse(nodes, np.array([d for d, _ in found]), m)
+
+    def diverse(self, nodes: np.ndarray, far: np.ndarray, m: int) -> list[int]:
+        if len(nodes) <= 1:
+            return nodes.tolist()
+        keep, open_ = [], np.ones(len(nodes), bool)
+        while len(keep) < m and open_.any():
+            at = int(open_.argmax())
+            keep.append(at)
+            open_[at] = False
+            open_ &= self.far(self.x[nodes[at]], nodes) > far
+        rest = np.setdiff1d(np.arange(len(nodes)), keep)[: m - len(keep)]
+        return nodes[[*keep, *rest.tolist()]].tolist()
+
+    def fill(self, levels: list[int], beam: int) -> None:
+        """Inserts all nodes in order into an empty graph. Lists are cut when half as long again as they may be, and at the end."""
+        levels = np.array(levels)
+        for level in range(int(levels.max()) + 1):
+            nodes = np.flatnonzero(levels >= level)
+            links, most = {int(n): [] for n in nodes}, 2 * self.m if level == 0 else self.m
+
+            def cut(n: int, links=links, most=most) -> None:
+                own = np.array(links[n], np.int64)
+                far = self.far(self.x[n], own)
+                order = np.lexsort((own, far))
+                links[n] = self.diverse(own[order], far[order], most)
+
+            for first in range(0, len(nodes), FILL):
+                block, before = nodes[first : first + FILL], nodes[: first + FILL]
+                far = 1.0 - self.x[block] @ self.x[before].T if self.cosine else np.sqrt(distances(self.x[block], self.x[before]))
+                for i, node in enumerate(block.tolist()):
+                    row = far[i, : first + i]
+                    near = np.argpartition(row, beam)[:beam] if len(row) > beam else np.arange(len(row))
+                    near = near[np.lexsort((near, row[near]))]
+                    links[node] = self.diverse(before[near], row[near], self.m)
+                    for n in links[node]:
+                        links[n].append(node)
+                        if len(links[n]) > most + most // 2:
+                            cut(n)
+            for n, own in links.items():
+                if len(own) > most:
+                    cut(n)
+            self.links.append(links)
+        self.top = int(levels.max())
+        self.start = int(np.flatnonzero(levels == self.top)[0])
 
     def insert(self, node: int, level: int, beam: int) -> None:
         while len(self.links) <= level:
@@ -121,8 +164,7 @@ def build(vectors: DataFrame, links: int = DEFAULT.graph_links, beam: int = DEFA
         ids = table["id"].to_numpy()
         graph = Graph(matrix(table["embedding"].chunk(0)), links, metric)
         levels = [level_of(int(n), scale) for n in ids]
-        for node, level in enumerate(levels):
-            graph.insert(node, level, beam)
+        graph.fill(levels, beam)
         out = [[{"level": at, "to": ids[graph.links[at][n]].tolist()} for at in range(levels[n] + 1)] for n in range(len(ids))]
         return pa.table({"shard": table["shard"], "id": table["id"], "level": pa.array(levels, pa.int32()), "embedding": table["embedding"], "links": pa.array(out, kind)})
 
@@ -130,10 +172,14 @@ def build(vectors: DataFrame, links: int = DEFAULT.graph_links, beam: int = DEFA
     return dealt.groupBy("shard").applyInArrow(run, "shard int, id bigint, level int, embedding array<float>, links array<struct<level:int,to:array<bigint>>>")
 
 
-def search(queries: DataFrame, nodes: DataFrame, k: int, beam: int = DEFAULT.graph_search_beam, links: int = DEFAULT.graph_links, metric: str = "cosine") -> DataFrame:
-    """q_id, id, score, rank: every shard's nearest, merged. Queries are sent to each shard."""
+def search(queries: DataFrame, nodes: DataFrame, k: int, shards: int | None = None, beam: int = DEFAULT.graph_search_beam, links: int = DEFAULT.graph_links, metric: str = "cosine") -> DataFrame:
+    """q_id, id, score, rank: every shard's nearest, merged. Queries are sent to each shard.
+
+    ``nodes`` should be a stored table; its shards are looked up unless their number is given.
+    """
     asked = queries.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), F.col("embedding"))
-    sent = asked.crossJoin(F.broadcast(nodes.select(F.col("shard").alias("to_shard")).distinct()))
+    known = nodes.select(F.col("shard").alias("to_shard")).distinct() if shards is None else queries.sparkSession.range(shards).select(F.col("id").cast("int").alias("to_shard"))
+    sent = asked.crossJoin(small(known))
 
     def run(own: pa.Table, ask: pa.Table) -> pa.Table:
         empty = pa.table({"q_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

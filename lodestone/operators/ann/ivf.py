@@ -6,17 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, lists_for
-from lodestone.operators.ann.base import ranked, sample
-from lodestone.operators.dense import matrix
+from lodestone.operators.ann.base import arrays_of, load, ranked, sample, save
+from lodestone.operators.dense import best, matrix
 from lodestone.operators.ranking import top
 from lodestone.session import importable
 
-#: Rows of a cell that one query block meets at once.
-CELL_BLOCK = 4096
+#: Rows of a cell, about, and queries that meet at once.
+CELL_BLOCK, QUERY_BLOCK = 4096, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 42) -> np.ndarray:
@@ -24,9 +24,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 42) -> np.ndarra
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         near = nearest(x, centres)
-        for c in range(len(centres)):
-            own = x[near == c]
-            centres[c] = own.mean(0) if len(own) else x[rng.integers(len(x))]
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.stack([np.bincount(near, x[:, d], len(centres)) for d in range(x.shape[1])], 1)
+        centres = sums / np.maximum(n, 1)[:, None]
+        centres[n == 0] = x[rng.integers(len(x), size=int((n == 0).sum()))]
     return centres
 
 
@@ -61,6 +62,15 @@ class IvfPq:
             raise ValueError(f"{parts} parts don't divide width {x.shape[1]}")
         return cls(centres, np.stack([kmeans(rest[:, i * width : (i + 1) * width].copy(), codes) for i in range(parts)]))
 
+    def save(self, path: str, cells: DataFrame) -> None:
+        save({"cells": cells}, path, {"centres": self.centres, "books": self.books}, kind="ivfpq")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[IvfPq, DataFrame]:
+        """The index and its cells, ready to be searched."""
+        arrays = arrays_of(spark, path)
+        return cls(arrays["centres"], arrays["books"]), load(spark, path)[0]["cells"]
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(x, self.centres)
         rest = x - self.centres[cell]
@@ -73,7 +83,7 @@ class IvfPq:
 
         def run(batches):
             for batch in batches:
-                cell, codes = self.encode(_unit(matrix(batch["v"])))
+                cell, codes = self.encode(_unit(matrix(batch["v"], self.centres.shape[1])))
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "cell", "codes"])
 
         return vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("v")).mapInArrow(run, "id bigint, cell int, codes binary")
@@ -87,26 +97,34 @@ class IvfPq:
 
         def probes(batches):
             for batch in batches:
-                x = _unit(matrix(batch["v"]))
+                x = _unit(matrix(batch["v"], self.centres.shape[1]))
                 near = np.argsort(distances(x, self.centres), axis=1, kind="stable")[:, :probe]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["q_id"].to_numpy(), probe)), pa.array(near.ravel().astype(np.int32)), pa.array([r.tobytes() for r in np.repeat(x, probe, axis=0)], pa.binary())], ["q_id", "cell", "q"])
 
         asked = queries.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), F.col("embedding").alias("v")).mapInArrow(probes, "q_id bigint, cell int, q binary")
-        # Lists are cut into blocks of bounded size, so a cell that holds much of the data is spread over tasks.
-        size = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("parts"))
-        dealt = cells.join(F.broadcast(size), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        blocks = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "codes")).alias("rows"))
+        # Lists are cut into parts of bounded size, so a cell that holds much of the data is spread over tasks; its queries go to each.
+        size = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("parts"))  # a row for each list
+        size = F.broadcast(size)
+        dealt = cells.join(size, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        sent = asked.join(size, "cell").select("q_id", "cell", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         centres, books = self.centres, self.books
 
-        def scan(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    rows, cell = batch["rows"][i].as_py(), batch["cell"][i].as_py()
-                    rest = (np.frombuffer(batch["q"][i].as_py()) - centres[cell]).reshape(len(books), -1)
-                    table = ((books - rest[:, None, :]) ** 2).sum(2)
-                    codes = np.frombuffer(b"".join(r["codes"] for r in rows), np.uint8).reshape(len(rows), -1)
-                    far = table[np.arange(len(books))[None, :], codes].sum(1)
-                    best = np.argsort(far, kind="stable")[:n]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch["q_id"][i].as_py()] * len(best), pa.int64()), pa.array([rows[j]["id"] for j in best], pa.int64()), pa.array(-far[best])], ["q_id", "id", "score"])
-
-        return top(asked.join(blocks, "cell").mapInArrow(scan, "q_id bigint, id bigint, score double"), n)
+        def scan(own: pa.Table, ask: pa.Table) -> pa.Table:
+            found = {"q_id": [np.zeros(0, np.int64)], "id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+            if own.num_rows and ask.num_rows:
+                ids, q_ids = own["id"].to_numpy(), ask["q_id"].to_numpy()
+                codes = np.frombuffer(b"".join(own["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+                asked = np.frombuffer(b"".join(ask["q"].to_pylist())).reshape(len(q_ids), -1) - centres[own["cell"][0].as_py()]
+                for at in range(0, len(q_ids), QUERY_BLOCK):
+                    rest = asked[at : at + QUERY_BLOCK].reshape(-1, len(books), books.shape[2])
+                    far = np.zeros((len(rest), len(ids)))
+                    for part, book in enumerate(books):
+                        far += distances(rest[:, part], book)[:, codes[:, part]]
+                    row, place = best(-far, ids, n)
+                    found["q_id"].append(q_ids[at + row])
+                    found["id"].append(ids[place])
+                    found["score"].append(-far[row, place])
+            return pa.table({name: np.concatenate(parts) for name, parts in found.items()})
+
+        met = dealt.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part"))
+        return top(met.applyInArrow(scan, "q_id bigint, id bigint, score double"), n)

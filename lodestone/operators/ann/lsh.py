@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import hashlib
+from math import cos, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
+from lodestone.operators.ann import base
 from lodestone.operators.ann.base import ranked
 from lodestone.operators.dense import matrix
 from lodestone.session import importable
 
 
 def planes(dim: int, tables: int = DEFAULT.lsh_tables, bits: int = DEFAULT.lsh_bits, seed: int = 42) -> np.ndarray:
-    """(tables, bits, dim) coordinates from -0.5 to 0.5, drawn from md5, so that any engine can draw them too."""
-    draw = lambda t, b, d: int(hashlib.md5(f"{t}:{b}:{d}:{seed}".encode()).hexdigest()[:8], 16) / 4294967296.0 - 0.5  # noqa: E731, S324
+    """(tables, bits, dim) Gaussian coordinates, drawn from md5 by the polar form, so that any engine can draw them too."""
+
+    def draw(t: int, b: int, d: int) -> float:
+        digest = hashlib.md5(f"{t}:{b}:{d}:{seed}".encode()).hexdigest()  # noqa: S324
+        u, v = ((int(digest[i : i + 8], 16) + 0.5) / 4294967296.0 for i in (0, 8))
+        return sqrt(-2 * log(u)) * cos(2 * pi * v)
+
     return np.array([[[draw(t, b, d) for d in range(dim)] for b in range(bits)] for t in range(tables)])
 
 
@@ -29,7 +36,7 @@ def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id") -> Data
 
     def run(batches):
         for batch in batches:
-            signs = (matrix(batch["v"]) @ flat.T > 0).reshape(-1, tables, bits)
+            signs = (matrix(batch["v"], dim) @ flat.T > 0).reshape(-1, tables, bits)
             text = [["".join("1" if b else "0" for b in t) for t in row] for row in signs]
             n = len(text)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["key"].to_numpy(), tables)), pa.array(np.tile(np.arange(tables), n), pa.int32()), pa.array([s for row in text for s in row])], [key, "table_id", "signature"])
@@ -37,11 +44,21 @@ def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id") -> Data
     return vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.col("embedding").alias("v")).mapInArrow(run, f"{key} bigint, table_id int, signature string")
 
 
+def save(path: str, buckets: DataFrame, normals: np.ndarray) -> None:
+    base.save({"buckets": buckets}, path, {"normals": normals}, kind="lsh")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """The buckets and the planes, ready to be searched."""
+    return base.load(spark, path)[0]["buckets"], base.arrays_of(spark, path)["normals"]
+
+
 def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10) -> DataFrame:
-    """q_id, id, score, rank. A query that meets no bucket gets ``fallback`` * k vectors by a seeded hash instead."""
+    """q_id, id, score, rank. A query that meets no bucket gets a sample of its own of about ``fallback`` * k vectors instead."""
     asked = signatures(queries, normals, "q_id")
     met = asked.join(buckets, ["table_id", "signature"]).select("q_id", "id").distinct()
-    # The same few vectors serve every query without a bucket; their number is bounded by k.
-    spare = vectors.orderBy(F.xxhash64("id", F.lit(42))).limit(fallback * k).select("id")
-    lonely = queries.select("q_id").join(met.select("q_id").distinct(), "q_id", "left_anti").crossJoin(F.broadcast(spare))
+    # Vectors are dealt by a hash into sets of that size, and a query's own hash picks one of them.
+    sets = F.lit(max(1, vectors.count() // (fallback * k)))
+    dealt = lambda df, key: df.select(key, F.pmod(F.xxhash64(key, F.lit(42)), sets).alias("dealt"))
+    lonely = dealt(queries.join(met.select("q_id").distinct(), "q_id", "left_anti"), "q_id").join(dealt(vectors, "id"), "dealt").select("q_id", "id")
     return ranked(queries, met.unionByName(lonely), vectors, k, metric)
