@@ -19,7 +19,6 @@ class Config:
     experiment_candidates: int = 200
     stages: tuple[int, int, int] = (500, 200, 50)
     ks: tuple[int, ...] = (1, 5, 10, 50)
-    ivf_lists: int = 100
     ivf_probe: int = 16
     pq_parts: int = 8
     pq_bits: int = 8

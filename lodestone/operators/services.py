@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -11,8 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.config import DEFAULT, Config
+from lodestone.functions.images import black_png, is_image
 from lodestone.functions.text import has_chinese, without_label
-from lodestone.operators.context import judgement
+from lodestone.operators.context import SYSTEM, judgement
 from lodestone.session import importable
 
 
@@ -22,6 +26,12 @@ class Embedder(Protocol):
     def encode_texts(self, texts: list[str | None]) -> np.ndarray: ...
 
 
+class ImageEmbedder(Protocol):
+    dim: int
+
+    def encode_images(self, contents: list[bytes]) -> np.ndarray: ...
+
+
 class TextGenerator(Protocol):
     def generate(self, prompts: list[str]) -> list[tuple[str, str]]: ...
 
@@ -56,6 +66,70 @@ class HashingEmbedder:
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-10)
 
 
+class HashingImageEmbedder:
+    """Feature hashing of runs of four bytes, unit length: equal files have equal vectors, and that is all it knows."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode_images(self, contents: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(contents), self.dim), np.float32)
+        for row, content in zip(out, contents, strict=True):
+            raw = np.frombuffer(content + bytes(-len(content) % 4), "<u4").astype(np.uint64)
+            mixed = raw * np.uint64(0x9E3779B97F4A7C15)
+            slots, signs = (mixed >> np.uint64(32)) % np.uint64(self.dim), np.where(mixed >> np.uint64(63), 1.0, -1.0)
+            row += np.bincount(slots.astype(np.int64), signs, self.dim)
+        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-10)
+
+
+def encoder(config: Config = DEFAULT) -> HashingEmbedder:
+    """The encoder that the settings name; only the one that needs no model is built in."""
+    if config.encoder_model != "hashing":
+        raise ValueError(f"no encoder {config.encoder_model!r} is built in: pass an Embedder")
+    return HashingEmbedder()
+
+
+class HttpGenerator:
+    """A chat endpoint of the usual form. A failure is a status of its own with its reason, never an answer."""
+
+    def __init__(self, url: str, model: str, system: str = SYSTEM, timeout: float = 60.0, attempts: int = 2, max_tokens: int = 512, temperature: float = 0.7):
+        self.url, self.model, self.system = url.rstrip("/"), model, system
+        self.timeout, self.attempts, self.max_tokens, self.temperature = timeout, attempts, max_tokens, temperature
+
+    def _call(self, path: str, body: dict | None = None) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(f"{self.url}/{path}", data, {"Content-Type": "application/json"})  # noqa: S310
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:  # noqa: S310
+            return json.load(reply)
+
+    def connected(self) -> bool:
+        """Whether the endpoint answers and knows the model."""
+        try:
+            return self.model in [m.get("id") for m in self._call("models").get("data", [])]
+        except (OSError, ValueError):
+            return False
+
+    def generate(self, prompts: list[str]) -> list[tuple[str, str]]:
+        return [self._one(p) for p in prompts]
+
+    def _one(self, prompt: str) -> tuple[str, str]:
+        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+        reason = ""
+        for _ in range(self.attempts):
+            try:
+                reply = self._call("chat/completions", {"model": self.model, "messages": messages, "max_tokens": self.max_tokens, "temperature": self.temperature})
+                said = (reply["choices"][0]["message"]["content"] or "").strip()
+                return ("ok", said) if said else ("empty", "")
+            except (OSError, ValueError, KeyError, IndexError, TypeError) as e:
+                reason = f"{type(e).__name__}: {e}"
+        return "error", reason
+
+
+def generator(config: Config = DEFAULT):
+    """The endpoint that the settings name, or the template where they name none."""
+    return HttpGenerator(config.generator_url, config.generator_model) if config.generator_url else TemplateGenerator()
+
+
 class TemplateGenerator:
     """Answers with the first line of the context. Every answer has a status, so a failure is never taken for one."""
 
@@ -64,6 +138,24 @@ class TemplateGenerator:
         return [("ok", f"Best match: {line}") if line else ("empty", "") for line in found]
 
 
+def embedded_images(df: DataFrame, embedder: ImageEmbedder, key: str, content_col: str = "content", batch: int = 64) -> DataFrame:
+    """key, embedding, replaced: of every picture; one that is null or no picture is replaced by a black one."""
+    importable(df.sparkSession)
+    rows = df.select(F.col(key).alias("key"), F.col(content_col).alias("content"))
+    black = black_png()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                contents = part["content"].to_pylist()
+                bad = [not is_image(c) for c in contents]
+                found = embedder.encode_images([black if gone else c for gone, c in zip(bad, contents, strict=True)])
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array(list(found), pa.list_(pa.float32())), pa.array(bad, pa.bool_())], ["key", "embedding", "replaced"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, embedding array<float>, replaced boolean").withColumnRenamed("key", key)
+
+
 def embedded(df: DataFrame, embedder: Embedder, text_col: str, key: str, batch: int = 64) -> DataFrame:
     """key, embedding of every row, in batches on the executors."""
     importable(df.sparkSession)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lodestone.config import DEFAULT
 from lodestone.functions.text import basename, cleaned, path_of
 from lodestone.operators.ranking import group_split, hash_sample
 from lodestone.schemas import CAPTION_JSON, DEMO
+from lodestone.session import importable
 
 
 def nested_json(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +64,26 @@ def caption_table(spark: SparkSession, path: str, image_dir: str, sample: int |
     return rows if sample is None else hash_sample(rows, "image_path", sample, seed)
 
 
+def batches(df: DataFrame, size: int = 64) -> DataFrame:
+    """One row for each batch of at most so many rows: every column as an array, in order of the rows."""
+    importable(df.sparkSession)
+    schema = StructType([StructField(f.name, ArrayType(f.dataType)) for f in df.schema.fields])
+
+    def run(found):
+        for batch in found:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(lists, part.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def listed(spark: SparkSession, path: str, key: str, captions: str, form: str = "parquet") -> DataFrame:
+    """One row for each item and caption of a table of items that hold lists of captions, in any of Spark's formats."""
+    return exploded(spark.read.format(form).load(path), key, captions)
+
+
 def exploded(rows: DataFrame, key: str, captions: str) -> DataFrame:
     """One row for each item and place of its captions."""
     return rows.select(key, F.posexplode(captions).alias("caption_pos", "caption"))
@@ -93,7 +116,7 @@ def demo(spark: SparkSession, per_scene: int = 10) -> DataFrame:
 def load(spark: SparkSession, source: str = "demo", **options) -> DataFrame:
     """A corpus by name; a source that can't be read falls back to the demo set only if asked to."""
     fallback = options.pop("fallback", False)
-    readers = {"demo": demo, "json": nested_json, "delimited": delimited, "csv": caption_table, "parquet": parquet}
+    readers = {"demo": demo, "json": nested_json, "delimited": delimited, "csv": caption_table, "parquet": parquet, "listed": listed}
     if source not in readers:
         raise ValueError(f"unknown source {source!r}; one of {', '.join(readers)}")
     try:

@@ -9,7 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.services import Embedder, embedded
+from lodestone.operators.services import Embedder, ImageEmbedder, embedded, embedded_images
+from lodestone.sources.captions import with_images
 
 
 def save(df: DataFrame, path: str) -> None:
@@ -24,6 +25,11 @@ def extract(captions: DataFrame, embedder: Embedder, caption_col: str = "caption
     return embedded(captions, embedder, caption_col, key, batch)
 
 
+def extract_images(captions: DataFrame, found: DataFrame, embedder: ImageEmbedder, image_col: str = "image_path", batch: int = 64) -> DataFrame:
+    """image path, embedding, replaced: of every distinct image of the captions, by its file's content among ``found``."""
+    return embedded_images(with_images(distinct_images(captions, image_col), found, image_col), embedder, image_col, "content", batch)
+
+
 def distinct_images(captions: DataFrame, image_col: str = "image_path") -> DataFrame:
     return captions.select(image_col).where(F.col(image_col).isNotNull()).distinct()
 
