@@ -14,7 +14,7 @@ from lodestone.operators import reduce as reduction
 from lodestone.operators.ann import forest, graph, ivf, lsh
 from lodestone.operators.retrieve import Retriever
 from lodestone.plans import sql as S
-from lodestone.session import table
+from lodestone.session import shared_folder, spread, stored, table
 from lodestone.sources import captions, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +31,22 @@ def query(sql: str | None = None):
     return register
 
 
+def oracle_of(name: str) -> str:
+    return _SQL[name]
+
+
+def _all() -> None:
+    """The other modules' queries register when they are imported."""
+    from lodestone.plans import catalog_requests, catalog_sources  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -52,7 +63,7 @@ def _places(digits: int, *names: str) -> list:
 
 @query(S.CLEAN)
 def clean_captions(spark, d):
-    return captions.clean(table(spark, d, "documents").select("doc_id", F.col("text").alias("caption")))
+    return captions.clean(_documents(spark, d).select("doc_id", F.col("text").alias("caption")))
 
 
 @query("SELECT doc_id, 'images/' || doc_id || '.jpg' AS image_path FROM documents")
@@ -103,7 +114,7 @@ def hash_sample(spark, d):
 
 @query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS chinese FROM documents")
 def chinese_flag(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.has_chinese(F.col("text")).alias("chinese"))
+    return _documents(spark, d).select("doc_id", T.has_chinese(F.col("text")).alias("chinese"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages")
@@ -114,8 +125,27 @@ def path_basename(spark, d):
 # BM25.
 
 
+def _documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
+#: Folders of the indexes that a session has built, by what they were built from.
+_built: dict[tuple, str] = {}
+
+
+def _kept(spark, d, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The folder of an index, which is built once in a session for each state of its table."""
+    state = table(spark, d, source).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("t"))
+    key = (spark.sparkContext.applicationId, d, name, *state.agg(F.max("t"), F.count("*"), F.max("path")).first())
+    if key not in _built:
+        path = shared_folder(spark)
+        write(path)
+        _built[key] = path
+    return _built[key]
+
+
 def _index(spark, d) -> bm25.Bm25Index:
-    return bm25.build(table(spark, d, "documents"))
+    return bm25.Bm25Index.load(spark, _kept(spark, d, "bm25", "documents", lambda path: bm25.build(_documents(spark, d)).save(path)))
 
 
 def _asked(spark, d) -> DataFrame:
@@ -129,7 +159,7 @@ def _repeats(spark) -> DataFrame:
 @query(f"WITH {S.TOKENS} SELECT d.doc_id, count(term) AS n_tokens, count(DISTINCT term) AS n_distinct FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id")
 def token_stats(spark, d):
     words = F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))
-    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+    return _documents(spark, d).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {S.INDEX} SELECT term, df FROM df")
@@ -144,7 +174,7 @@ def idf_table(spark, d):
 
 @query(f"WITH {S.INDEX} SELECT term, doc_id, tf FROM tf")
 def postings(spark, d):
-    return _index(spark, d).postings.select("term", "doc_id", "tf")
+    return bm25.build(_documents(spark, d)).postings.select("term", "doc_id", "tf")
 
 
 @query(f"WITH {S.INDEX}, {S.BENCHMARK_TERMS}, {S.BM25} SELECT q_id, id, round(score, 6) AS score FROM bm")
@@ -405,8 +435,7 @@ def strategy_ablation(spark, d):
     from lodestone.plans import experiments
 
     asked = _hybrid_queries(spark, d)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    gold = docs.join(F.broadcast(asked), F.contains("body", "text")).select("q_id", "id")
+    gold = experiments.verbatim_gold(_documents(spark, d).withColumnRenamed("doc_id", "id"), asked)
     return experiments.strategy_ablation(_retriever(spark, d), asked, gold).select("strategy", "n_queries", *_places(6, "recall_1", "recall_10", "mrr"))
 
 
@@ -418,7 +447,7 @@ def _results(spark, d) -> DataFrame:
 
 
 def _captions(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 150).alias("caption"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("caption"))
 
 
 @query(f"WITH {S.CONTEXT} SELECT q_id, context FROM ctx")
@@ -513,7 +542,7 @@ def forest_topk(spark, d):
 
 @query()
 def graph_topk(spark, d):
-    return graph.search(_vector_queries(spark, d), graph.build(_vectors(spark, d)), 10)
+    return graph.search(_vector_queries(spark, d), stored(graph.build(_vectors(spark, d))), 10)
 
 
 @query()

@@ -153,7 +153,7 @@ ABLATION = _ablation()
 
 # Context and judgements.
 CONTEXT = f"""{INDEX}, {BENCHMARK_TERMS}, {BM25}, hits AS (SELECT * FROM ({ranked('bm')}) WHERE rank <= 5),
-lines AS (SELECT q_id, rank, '[' || rank || '] (Score: ' || printf('%.3f', score) || ')' || coalesce(' Caption: ' || substr(text, 1, 150), '') AS line FROM hits LEFT JOIN documents ON doc_id = id),
+lines AS (SELECT q_id, rank, '[' || rank || '] (Score: ' || printf('%.3f', score) || ')' || coalesce(' Caption: ' || text, '') AS line FROM hits LEFT JOIN documents ON doc_id = id),
 ctx AS (SELECT q_id, string_agg(line, chr(10) ORDER BY rank) AS context FROM lines GROUP BY q_id)"""
 JUDGED = "judged AS (SELECT doc_id, quality, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE 1 + doc_id % 5 END AS relevance, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE 1 + (doc_id + 1) % 5 END AS accuracy, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE 1 + (doc_id + 2) % 5 END AS usefulness FROM labels)"
 _GRADES = ("relevance", "accuracy", "usefulness")
@@ -166,7 +166,46 @@ JUDGE_SUMMARY = (
 )
 
 
+def filled(template: str, **values: str) -> str:
+    out = quoted(template)
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+FILLED = f"""WITH {INDEX}, {terms_of(REPEATS)}, {BM25}, every AS (SELECT CAST(t.q_id AS BIGINT) AS q_id, d.doc_id AS id FROM {REPEATS} CROSS JOIN documents d),
+bz AS (SELECT q_id, id, coalesce(score, 0) AS score FROM every LEFT JOIN bm USING (q_id, id)) {top('bz', 10)}"""
+HYBRID_FILLED = f"""WITH {INDEX}, {BENCHMARK_TERMS}, {BM25.replace('bm AS', 'hit AS')}, bm AS (SELECT item_id AS q_id, doc_id AS id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN hit ON hit.q_id = item_id AND hit.id = doc_id),
+{HYBRID}, {aligned(200)}, {NORMAL}, s AS (SELECT q_id, id, 0.6 * nd + 0.25 * ns AS score FROM nm) {top('s', 10)}"""
+
+
+def _summaries(name: str, **prefixes: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{value}' AS {name}, n_queries, round(recall_1, 6) AS recall_1, round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr FROM {prefix}_summary" for prefix, value in prefixes.items())
+
+
+DIRECTIONS = f"""WITH {_VV}, met AS (SELECT a.id AS text_id, b.id AS image_id, {_COSINE} AS score, a.label = b.label AS pair FROM vv a JOIN vv b ON a.id % 2 = 0 AND b.id % 2 = 1),
+t AS (SELECT text_id AS q_id, image_id AS id, score FROM met), i AS (SELECT image_id AS q_id, text_id AS id, score FROM met),
+tg AS (SELECT text_id AS q_id, image_id AS id FROM met WHERE pair), ig AS (SELECT image_id AS q_id, text_id AS id FROM met WHERE pair),
+tp AS (SELECT * FROM ({ranked('t')}) WHERE rank <= 10), ip AS (SELECT * FROM ({ranked('i')}) WHERE rank <= 10), {_measures('tp', 'tg', 'x_')}, {_measures('ip', 'ig', 'y_')}
+{_summaries('direction', x='text_to_image', y='image_to_text')}"""
+_BEST = f"s AS (SELECT q_id, id, w_dense * nd + w_sparse * ns AS score FROM nm JOIN routed USING (q_id)), best AS (SELECT * FROM ({ranked('s')}) WHERE rank = 1)"
+ANSWERS = f"""WITH {INDEX}, {BENCHMARK_TERMS}, {BM25}, {HYBRID}, {aligned(100)}, {BENCHMARK_ASKED}, {ROUTER}, {NORMAL}, {_BEST}
+SELECT q_id, 'ok' AS status, 'Best match: [1] (Score: ' || printf('%.3f', score) || ')' || coalesce(' Caption: ' || string_split(text, chr(10))[1], '') AS answer FROM best LEFT JOIN documents ON doc_id = id"""
+DEMO = """SELECT n AS image_id, 'images/' || lpad(CAST(n AS VARCHAR), 5, '0') || '.jpg' AS image_path, caption, scene, 2021 + n % 4 AS year, ['flickr', 'unsplash', 'pexels'][n % 3 + 1] AS source FROM (
+SELECT row_number() OVER (ORDER BY s, p, i) - 1 AS n, scene, subjects[i] || ' ' || places[p] AS caption FROM (VALUES
+(1, 'outdoor', ['a runner', 'a red bus', 'two dogs', 'a market', 'a kite'], ['in the park', 'by the street']),
+(2, 'indoor', ['a reader', 'a laptop', 'a sleeping cat', 'a guitar', 'a lamp'], ['in the kitchen', 'near the window']),
+(3, 'nature', ['a heron', 'a waterfall', 'a pine forest', 'a fox', 'a storm'], ['in the hills', 'at the lake'])) t(s, scene, subjects, places), range(1, 3) a(p), range(1, 6) b(i))"""
+
+
 def lsh(tables: int, bits: int) -> str:
-    return f"""planes AS (SELECT t, b, list(CAST('0x' || substr(md5(t || ':' || b || ':' || d || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5 ORDER BY d) AS p
+    part = lambda at: f"(CAST('0x' || substr(md5(t || ':' || b || ':' || d || ':42'), {at}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    return f"""planes AS (SELECT t, b, list(sqrt(-2 * ln({part(1)})) * cos(2 * pi() * ({part(9)})) ORDER BY d) AS p
 FROM range({tables}) a(t), range({bits}) c(b), range(64) e(d) GROUP BY t, b),
 sig AS (SELECT vec_id AS id, t AS table_id, string_agg(CASE WHEN list_inner_product({V}, p) > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS signature FROM embeddings, planes GROUP BY vec_id, t)"""
+
+
+COMPARISON = f"""WITH {lsh(16, 6)}, {VECTORS}, {_LABELS}, ex AS (SELECT q_id, id, cosine AS score FROM sims),
+met AS (SELECT DISTINCT a.id AS q_id, b.id FROM sig a JOIN sig b USING (table_id, signature) WHERE a.id % 20 = 0), lh AS (SELECT q_id, id, cosine AS score FROM met JOIN sims USING (q_id, id)),
+pe AS (SELECT * FROM ({ranked('ex')}) WHERE rank <= 10), pl AS (SELECT * FROM ({ranked('lh')}) WHERE rank <= 10), {_measures('pe', 'gold', 'x_')}, {_measures('pl', 'gold', 'y_')}
+{_summaries('index', x='exact', y='lsh')}"""
