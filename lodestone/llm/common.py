@@ -2,69 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import importable, table
+from lodestone.session import discard, folders_since, importable, shared_folder, stored, table
 
 __all__ = ["crc_bucket", "discard", "folders_since", "free_name", "give_back", "map_rows", "shared_folder", "stored", "table", "texts_of"]
 
-#: Folders of tables that are still there, by path, oldest first.
-_folders: dict[str, SparkSession] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one of this machine, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/lodestone-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    _folders[path] = spark
-    return path
-
-
-def folders_since(count: int = 0) -> list[str]:
-    """The folders of stored tables beyond the first so many."""
-    return list(_folders)[count:]
-
-
-def discard(*paths: str) -> None:
-    """Deletes stored tables that nothing will read any more."""
-    for path in paths:
-        spark = _folders.pop(path, None)
-        if spark is not None:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _remove_folders() -> None:
-    for path in folders_since():
-        try:
-            discard(path)
-        except Exception:  # noqa: BLE001, S110  the session may be gone
-            pass
-
-
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """The rows as a table in the shared folder. It outlives executors and cuts the lineage."""
-    path = shared_folder(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that the input doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
