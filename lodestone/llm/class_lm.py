@@ -54,7 +54,7 @@ def best_class(m: np.ndarray, old: int, right: np.ndarray, left: np.ndarray, own
     m[old] -= right
     m[:, old] -= left
     m[old, old] -= own
-    rows, cols, d = m.sum(1), m.sum(0), np.diag(m)
+    rows, cols, d = m.sum(1) + left, m.sum(0) + right, np.diag(m)  # what stands beside the unit counts in its own class's margins
     a, b = np.flatnonzero(right), np.flatnonzero(left)
     gain = (xlogx(m[:, a] + right[a]) - xlogx(m[:, a])).sum(1) + (xlogx(m[b] + left[b, None]) - xlogx(m[b])).sum(0)
     gain += xlogx(d + right + left + own) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
@@ -315,8 +315,8 @@ def _score(row: dict, model: Model, buckets: int):
         yield block.ids[i], bool(block.flags[i]), int(block.sizes[i]) + 1, int(known[i]), model.train_tokens, float(base[i]), float(score[i])
 
 
-def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, trained, n_tokens, n_known, train_tokens, base_score, score (both log10), of every row; learns where ``train`` holds."""
+def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, int]:
+    """Blocks of all rows with the training count and class of each word, the model of those rows where ``train`` holds, and the number of buckets."""
     importable(df.sparkSession)
     blocks = B.pack(df, id_col, text_col, train, lower=True)
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
@@ -341,7 +341,12 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     )
     assigned = stored(near.groupBy("bucket").applyInArrow(lambda table: _assign(table, frequent, of, moves), "block bigint, bucket int, answer binary"))
     answered = stored(B.with_answers(blocks, assigned.where(F.col("block").isNotNull())))
-    model = learn(blocks, answered, assigned.where(F.col("block").isNull()), frequent, of, buckets)
+    return answered, learn(blocks, answered, assigned.where(F.col("block").isNull()), frequent, of, buckets), buckets
+
+
+def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, trained, n_tokens, n_known, train_tokens, base_score, score (both log10), of every row; learns where ``train`` holds."""
+    answered, model, buckets = fit(df, train, id_col, text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
