@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What cleaning keeps: Latin letters, digits, common ideographs, white space and a few marks.
+#: Fixed value: all but what cleaning keeps, which is Latin letters, digits, common ideographs, white space and a few marks.
 KEPT = r"[^a-zA-Z0-9一-鿿\s.,!?']"
 
+#: Fixed value: labels that may stand before a translation.
+LABEL = r"(?i)^(english translation:|translation:|english:)\s*"
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words between white space; null gives null."""
@@ -34,7 +37,7 @@ def has_chinese(text: Column) -> Column:
 
 def without_label(text: Column) -> Column:
     """A translation without the label that a generator may put before it."""
-    return F.trim(F.regexp_replace(F.trim(text), r"(?i)^(english translation:|translation:|english:)\s*", ""))
+    return F.trim(F.regexp_replace(F.trim(text), LABEL, ""))
 
 
 def filled(template: str, **values: Column) -> Column:

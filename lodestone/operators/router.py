@@ -9,7 +9,7 @@ from lodestone.config import DEFAULT
 from lodestone.functions.text import tokens
 
 # The words that the flags look for.
-TEMPORAL = [str(year) for year in range(2020, 2027)] + """january february march april may june july august september october november
+TEMPORAL = """2020 2021 2022 2023 2024 2025 2026 january february march april may june july august september october november
 december spring summer autumn winter fall morning afternoon evening night today yesterday tomorrow last recent
 一 二 三 四 五 六 七 八 九 十""".split()
 LOCATION = "indoor outdoor inside outside street beach mountain forest city park garden kitchen living room office restaurant airport".split()

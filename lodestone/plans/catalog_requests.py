@@ -92,7 +92,7 @@ def e1_comparison(spark, d):
 
 @query()
 def e2_reduction(spark, d):
-    return _summary(experiments.reduction_comparison(C._vector_queries(spark, d), C._vectors(spark, d), C._label_gold(spark, d), (8, 16, 32)), "dim", "explained")
+    return _summary(experiments.reduction_comparison(C._vector_queries(spark, d), C._vectors(spark, d), C._label_gold(spark, d), (8, 16, 32), methods=("pca", "umap")), "method", "dim", "explained")
 
 
 @query(S.DIRECTIONS)

@@ -59,10 +59,20 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_without_the_training_data_operators(tmp_path):
-    """The entry module imports and keeps its other queries where the subpackage and the pipeline are gone."""
-    for p in ("lodestone", "__spark_entry__.py"):
+    """The entry module imports and keeps its other queries where the subpackage, its tests and the pipeline are gone, and the other tests are found."""
+    for p in ("lodestone", "tests", "__spark_entry__.py", "bench.py"):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-rf", str(tmp_path / "lodestone/llm")], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "lodestone/llm"), str(tmp_path / "tests/llm")], check=True)
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(said[-2]) == len(catalog.queries()) and said[-1] == "False"
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert "test_entry.py" in found and "llm" not in found.replace("test_without_the_training_data_operators", "")
+
+
+def test_an_operator_that_lacks_a_library_is_not_hidden(tmp_path):
+    """Only the absence of the subpackage or the pipeline itself leaves their queries out."""
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_library")
+    code = f"import sys; sys.path[:0] = [{str(tmp_path)!r}, {str(ROOT)!r}]; import __spark_entry__"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert said.returncode and "no_such_library" in said.stderr

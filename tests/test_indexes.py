@@ -85,5 +85,23 @@ def test_pca_keeps_inner_products(spark, data):
     x = np.array([r["embedding"] for r in vectors.orderBy("id").collect()])
     x = x - x.mean(0)
     assert np.allclose(got @ got.T, x @ x.T, atol=1e-2)
-    with pytest.raises(NotImplementedError):
-        reduction.Reducer.fit(vectors, 4, "umap")
+    with pytest.raises(ValueError):
+        reduction.fitted(vectors, 4, "other")
+
+
+@pytest.mark.parametrize("method", ["umap", "tsne"])
+def test_maps_keep_neighbours(spark, method, monkeypatch):
+    """Vectors of one group lie together, also those that the map was not laid out for."""
+    monkeypatch.setitem(reduction.SAMPLES, method, 250)
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 6, 400)
+    x = 4 * rng.normal(size=(6, 24))[group] + rng.normal(size=(400, 24))
+    rows = [(i, int(g), v.tolist()) for i, (g, v) in enumerate(zip(group, x, strict=True))] + [(400, 0, None)]
+    vectors = spark.createDataFrame(rows, "id bigint, label int, embedding array<float>").repartition(3)
+    found = reduction.fitted(vectors, 2, method).transform(vectors).orderBy("id").collect()
+    assert len(found) == 401 and found[400]["embedding"] is None and [r["label"] for r in found[:400]] == group.tolist()
+    y = np.array([r["embedding"] for r in found[:400]])
+    far = ((y[:, None] - y[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1)[:, :5]
+    assert (group[near] == group[:, None]).mean() > 0.9

@@ -85,6 +85,7 @@ def test_parsed_ranges(spark):
     assert got == {"before 1999": [("year", "lt", "1999")], "outdoor since 2020": [("year", "gte", "2020"), ("scene", "eq", "outdoor")], None: []}
 
 
+# Fixed values of this and the next test: sentences and scores whose weights and sums are worked out by hand.
 def test_router_goldens(spark):
     got = {r["q_id"]: r for r in router.routed(asked(spark, "outdoor photos from 2023", "a peaceful sunset over the ocean", "")).collect()}
     assert [got[0][c] for c in ("w_dense", "w_sparse", "w_meta")] == pytest.approx([0.5, 0.15, 0.35]) and got[0]["query_type"] == "metadata"
@@ -105,6 +106,7 @@ def test_router_lattice(spark):
 
 
 def test_fusion_goldens(spark):
+    # Scores and ranks of four items.
     df = spark.createDataFrame([(0, i, d, s) for i, (d, s) in enumerate(zip([0.8, 0.3, 0.1, 0.9], [0.2, 0.9, 0.1, 0.3]))], "q_id bigint, id bigint, dense double, sparse double")
     got = [r["score"] for r in fusion.weighted(df, 0.7, 0.3).orderBy("id").collect()]
     assert got == pytest.approx([0.65, 0.475, 0, 0.775])
