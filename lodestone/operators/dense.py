@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import top
-from lodestone.session import importable
+from lodestone.session import importable, is_small
 
-#: Vectors of a block.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Vectors of a block, and queries up to which their blocks are sent to every executor.
+QUERY_BLOCK, VECTOR_BLOCK, SENT_QUERIES = 1024, 4096, 10_000
 METRICS = ("cosine", "dot", "euclidean", "manhattan")
 
 
@@ -105,7 +105,9 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "co
                 row, at = best(s, known, k)
                 yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(known[at]), pa.array(s[row, at])], ["q_id", "id", "score"])
 
-    return top(ask.crossJoin(have).mapInArrow(run, "q_id bigint, id bigint, score double"), k)
+    # Blocks of queries go to the vectors if they are counted to be few; else every pair of partitions meets.
+    pairs = have.crossJoin(F.broadcast(ask) if is_small(queries, SENT_QUERIES) else ask.hint("shuffle_replicate_nl"))
+    return top(pairs.mapInArrow(run, "q_id bigint, id bigint, score double"), k)
 
 
 def memory_mb(n: int, width: int) -> float:

@@ -171,6 +171,14 @@ def test_blocks_keep_their_bounds(spark, monkeypatch):
     assert sizes == [100] * 10 + [50]
 
 
+def test_many_queries_are_not_sent(spark, vectors, monkeypatch):
+    asked = vectors.where("id % 10 = 0").withColumnRenamed("id", "q_id")
+    few = dense.exact_topk(asked, vectors, 5).orderBy("q_id", "rank").collect()
+    monkeypatch.setattr(dense, "SENT_QUERIES", 3)
+    many = dense.exact_topk(asked, vectors, 5)
+    assert "CartesianProduct" in many._jdf.queryExecution().toString() and many.orderBy("q_id", "rank").collect() == few
+
+
 def test_ties_at_the_cut_go_by_id():
     s = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [0.0, -np.inf, np.nan, 5.0, 0.0]])
     ids = np.array([5, 9, 3, 7, 1])
