@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: all but what cleaning keeps, which is Latin letters, digits, common ideographs, white space and a few marks.
-KEPT = r"[^a-zA-Z0-9一-鿿\s.,!?']"
+#: What cleaning keeps, which is Latin letters, digits, white space, a few marks and common ideographs.
+KEPT_MARKS, KEPT_RANGE = ".,!?'", "一-鿿"
+#: All else. Java looks single Latin characters of a class up in one set, but tries ranges one after the other.
+LEFT_OUT = f"[^{ascii_letters}{digits} \t\n\x0b\f\r{KEPT_MARKS}{KEPT_RANGE}]"
 
 #: Fixed value: labels that may stand before a translation.
 LABEL = r"(?i)^(english translation:|translation:|english:)\s*"
@@ -18,7 +22,7 @@ def tokens(text: Column) -> Column:
 
 
 def cleaned(caption: Column) -> Column:
-    return F.regexp_replace(F.lower(caption), KEPT, "")
+    return F.regexp_replace(F.lower(caption), LEFT_OUT, "")
 
 
 def path_of(directory: str, key: Column, extension: str = ".jpg", pad: int = 0) -> Column:

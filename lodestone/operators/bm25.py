@@ -46,7 +46,8 @@ def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Documents without words count in n and avgdl with length 0. Postings carry the length of their document."""
     words = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
     docs = words.select("doc_id", F.size("words").cast("long").alias("dl"))
-    each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    # explode would put a filter on the words below them, which would split texts twice.
+    each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).where(F.col("term").isNotNull())
     return of_tables(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), docs)
 
 

@@ -91,7 +91,9 @@ def exploded(rows: DataFrame, key: str, captions: str) -> DataFrame:
 
 def clean(captions: DataFrame, caption_col: str = "caption", min_length: int = DEFAULT.min_caption_chars) -> DataFrame:
     """Lower case, kept characters only, and more than ``min_length`` of them."""
-    return captions.withColumn(caption_col, cleaned(F.col(caption_col))).where(F.length(caption_col) > min_length)
+    # A filter on a generated column stays above it, so captions are cleaned once.
+    out = [F.explode(F.array(cleaned(F.col(c)))).alias(c) if c == caption_col else F.col(c) for c in captions.columns]
+    return captions.select(*out).where(F.length(caption_col) > min_length)
 
 
 def prepare(captions: DataFrame, image_dir: str, path: str, key: str = "image_id", config=DEFAULT) -> dict[str, int]:
