@@ -43,16 +43,23 @@ def _line(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
-def _with_shingles(df: DataFrame, name: str = "shingles", step: int = 0) -> DataFrame:
-    """From ``line`` every run of five words, in order and with repeats; a shorter text as a whole.
+def _once(column: Column) -> Column:
+    """Made in a generator, so that neither a filter nor another expression on it makes it again."""
+    return F.explode(F.array(column))
+
+
+def _with_shingles(df: DataFrame, step: int = 0) -> DataFrame:
+    """In place of ``text``, ``shingles``: every run of five words, in order and with repeats; a shorter text as a whole.
 
     Zero-width matches at the starts of words capture what follows, which is cheaper than slices of an array of words.
     With a step a match takes up so many words, which leaves the runs at places 0, step, 2 * step and so on.
     """
+    others = [c for c in df.columns if c != "text"]
     on = rf"[^ ]++(?: [^ ]++){{{step - 1}}}" if step else ""
     runs = F.regexp_extract_all("line", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{SHINGLE - 1}}})){on}"), F.lit(1))
-    short = F.when(F.col("line") != "", F.array("line")).otherwise(F.array().cast("array<string>"))
-    return df.withColumn(name, runs).withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(short)).drop("line")
+    long = F.col("line").rlike(rf"^[^ ]++(?: [^ ]++){{{SHINGLE - 1}}}")
+    shingles = F.when(long, runs).when(F.col("line") != "", F.array("line")).otherwise(F.array().cast("array<string>"))
+    return df.select(*others, _once(_line(F.col("text"))).alias("line")).select(*others, _once(shingles).alias("shingles"))
 
 
 def _hashes(shingles: str) -> Column:
@@ -78,8 +85,8 @@ def _blocks(print_: Column, flips: list[int]) -> Column:
 
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, item (hashes of its shingles), m (their number), told (the hash of them all, which stands for the text)."""
-    lines = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _line(F.col(f"`{text_col}`").cast("string")).alias("line"))
-    return _with_shingles(lines).select("item_id", _hashes("shingles").alias("item")).withColumn("m", F.size("item")).where(F.col("m") > 0).withColumn("told", F.xxhash64("item"))
+    texts = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _with_shingles(texts).select("item_id", _hashes("shingles").alias("item")).withColumn("m", F.size("item")).where(F.col("m") > 0).withColumn("told", F.xxhash64("item"))
 
 
 def _bounded(df: DataFrame, size: int) -> DataFrame:
@@ -97,7 +104,7 @@ def _near(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     run = items.agg(F.min(F.ceil(SIMILARITY * F.col("m") / (misses + 1) - 1e-6))).first()[0]
     step = max(1, min(MOST_STEP, int(run or 1)))
     wanted = items.select(F.explode("item").alias("h")).distinct()
-    tried = _with_shingles(docs.select("row", _line(F.col("text")).alias("line")), step=step).select("row", F.explode("shingles").alias("shingle"))
+    tried = _with_shingles(docs.select("row", "text"), step).select("row", F.explode("shingles").alias("shingle"))
     rows = tried.select("row", F.xxhash64("shingle").alias("h")).join(_bounded(wanted, size), "h", "left_semi").select("row").distinct()
     return stored(docs.join(stored(rows), "row", "left_semi"))
 
@@ -108,8 +115,7 @@ def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     Of multisets of m and w shingles, similarity s needs s (m + w) / (1 + s) in common.
     """
     wanted = _bounded(items.select("m", F.explode("item").alias("h")).distinct(), size)
-    texts = _with_shingles(docs.select("row", _line(F.col("text")).alias("line"))).where(F.size("shingles") > 0)
-    every = texts.select("row", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "shingle"))
+    every = _with_shingles(docs.select("row", "text")).select("row", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "shingle"))
     hits = every.select("row", "n", "place", F.xxhash64("shingle").alias("h")).join(wanted, "h").drop("h")
     sized = Window.partitionBy("row", "m")
     # The hits of the window that begins at each hit: places up to m - 1 on, that is less than UNIT in units of m / UNIT.
@@ -161,7 +167,8 @@ def _leaking(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     size = items.agg(F.sum("m")).first()[0] or 0
     docs = _near(docs, items, size)
     asked = _windows(docs, items, size).groupBy("row").agg(F.collect_list(F.struct("m", "start", "tail")).alias("windows"))
-    cut = _with_shingles(docs.join(asked, "row").select("id", "row", "windows", _line(F.col("text")).alias("line"))).select("id", "row", _hashes("shingles").alias("h"), F.explode("windows").alias("w"))
+    cut = _with_shingles(docs.join(asked, "row").select("id", "row", "windows", "text")).select("id", "row", "windows", _once(_hashes("shingles")).alias("h"))
+    cut = cut.select("id", "row", "h", F.explode("windows").alias("w"))
     cut = cut.select("id", "row", "w.*", F.slice("h", F.col("w.start") + 1, F.col("w.m")).alias("h")).withColumn("key", F.xxhash64("h"))
     cut = stored(cut.withColumn("print", _simhash("h")))
     windows = stored(cut.groupBy("m", "key", "print").agg(F.first("h").alias("h")))
