@@ -37,6 +37,8 @@ FREQUENT, ENDINGS, ENDING_BYTES = 1000, 500, 3
 CLASSES = 48
 #: Moves must gain this share of the sum of n log n at least, which is above what rounding gives.
 LEAST_GAIN = 1e-12
+#: Words that are weighed at once.
+AT_ONCE = 2048
 #: Weight of a class's own share in its transition probabilities.
 TRANSITION_PRIOR = 2.0
 
@@ -64,6 +66,34 @@ def best_class(m: np.ndarray, old: int, right: np.ndarray, left: np.ndarray, own
     return old if gain[new] <= gain[old] + least else new
 
 
+def best_classes(m: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """best_class of many units at once, each for itself against the same ``m``: rows of ``right`` and ``left`` are units."""
+    k, at = len(old), np.arange(len(old))
+    rs, ls = right.sum(1) + own, left.sum(1) + own
+    gain = np.zeros((k, len(m)))
+    for side, pairs, other in ((right, m.T, left), (left, m, right)):
+        unit, place = np.nonzero(side)  # what stands on this side, by classes
+        n = side[unit, place]
+        beside = pairs[place].astype(np.float64)  # what every class has beside it, and then without the unit itself
+        self_ = place == old[unit]
+        beside[self_] -= other[unit[self_]]
+        beside[np.arange(len(unit)), old[unit]] -= n + self_ * own[unit]
+        starts = np.searchsorted(unit, at)
+        some = np.flatnonzero(np.bincount(unit, minlength=k))
+        if len(some):
+            gain[some] += np.add.reduceat(xlogx(beside + n[:, None]) - xlogx(beside), starts[some])
+    d = np.repeat(np.diag(m)[None], k, 0)
+    rows, cols = np.repeat(m.sum(1)[None], k, 0), np.repeat(m.sum(0)[None], k, 0)
+    d[at, old] -= right[at, old] + left[at, old] + own
+    rows[at, old] -= rs
+    cols[at, old] -= ls
+    gain += xlogx(d + right + left + own[:, None]) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
+    gain -= xlogx(rows + rs[:, None]) - xlogx(rows) + xlogx(cols + ls[:, None]) - xlogx(cols)
+    gain[:, 0] = -np.inf
+    new = gain.argmax(1)
+    return np.where(gain[at, new] <= gain[at, old] + least, old, new)
+
+
 def put(m: np.ndarray, new: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
     m[new] += right
     m[:, new] += left
@@ -206,16 +236,24 @@ def _assign(table: pa.Table, frequent: dict[bytes, int], of: np.ndarray, moves:
     ends = np.searchsorted(word, np.arange(len(numbers) + 1))
     counts = np.zeros(len(numbers), np.int64)
     np.add.at(counts, word[(cell < CLASSES) | (cell == 2 * CLASSES)], n[(cell < CLASSES) | (cell == 2 * CLASSES)])
-    classes, known, least = np.zeros(len(numbers), np.int64), {}, 1e-9 + LEAST_GAIN * float(xlogx(moves.sum()))
+    classes, least = np.fromiter((of[unit_of(w, frequent)] for w in numbers), np.int64, len(numbers)), 1e-9 + LEAST_GAIN * float(xlogx(moves.sum()))
+    # Words with the same neighbours are weighed once.
+    kinds: dict[tuple, list[int]] = {}
     for i, w in enumerate(numbers):
-        old = classes[i] = int(of[unit_of(w, frequent)])
         if counts[i] and w not in frequent:
             a, b = ends[i], ends[i + 1]
-            key = (old, cell[a:b].tobytes(), n[a:b].tobytes())
-            if key not in known:
-                line = np.bincount(cell[a:b], n[a:b], width)
-                known[key] = best_class(moves.copy(), old, line[CLASSES:-1], line[:CLASSES], line[-1], least)
-            classes[i] = known[key]
+            kinds.setdefault((int(classes[i]), cell[a:b].tobytes(), n[a:b].tobytes()), []).append(i)
+    told = list(kinds.values())
+    for at in range(0, len(told), AT_ONCE):
+        part = told[at : at + AT_ONCE]
+        first = np.array([same[0] for same in part])
+        sizes = ends[first + 1] - ends[first]
+        which = np.repeat(ends[first] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        lines = np.zeros((len(part), width))
+        lines[np.repeat(np.arange(len(part)), sizes), cell[which]] = n[which]
+        new = best_classes(moves, classes[first], lines[:, CLASSES:-1], lines[:, :CLASSES], lines[:, -1], least)
+        for same, c in zip(part, new.tolist(), strict=True):
+            classes[same] = c
     answers = [B.narrow(counts[own] * 256 + classes[own]) if counts.max() < 1 << 24 else b"\0" + (counts[own] * 256 + classes[own]).tobytes() for own in asked]
     sums = [np.bincount(classes, counts, CLASSES).astype(np.int64), np.bincount(classes[counts == 1], minlength=CLASSES), [int((counts > 0).sum())]]
     return pa.table(

@@ -45,6 +45,22 @@ def test_a_move_gains_most_of_all_classes():
         assert new == of[u] or gains[new] > gains[of[u]]
 
 
+def test_many_words_are_weighed_as_one_by_one():
+    rng = np.random.default_rng(7)
+    classes, k = 7, 300
+    right, left = (rng.integers(0, 4, (k, classes)) * (rng.random((k, classes)) < 0.3) for _ in range(2))
+    right[:5] = left[3:8] = 0
+    own, old = rng.integers(0, 3, k), rng.integers(1, classes, k)
+    m = rng.integers(0, 50, (classes, classes)).astype(float)
+    for i in range(k):  # what a word has is in the sums of its class
+        m[old[i]] += right[i]
+        m[:, old[i]] += left[i]
+        m[old[i], old[i]] += own[i]
+    got = class_lm.best_classes(m, old, right.astype(float), left.astype(float), own.astype(float), 1e-9)
+    one = [class_lm.best_class(m.copy(), int(old[i]), right[i].astype(float), left[i].astype(float), float(own[i]), 1e-9) for i in range(k)]
+    assert got.tolist() == one and len(set(one)) > 2 and (got != old).any()
+
+
 def test_exchange_ends_where_no_move_gains():
     rng = np.random.default_rng(6)
     bigrams = rng.integers(0, 5, (30, 30)).astype(float)
