@@ -37,8 +37,8 @@ LANGUAGE_CHARS, ALL_CHARS, LANGUAGE_DOCS = 24_000, 480_000, 160
 LEAST_LENGTH = 1024
 #: Letters with a column of the dense tables; the others' transitions are hashed.
 LETTERS = 120
-#: Code points of a segment, and of the segments walked at once.
-SEGMENT, AT_ONCE = 1024, 1_500_000
+#: Code points of a segment, of the segments walked at once, and of a stride of those that are walked again.
+SEGMENT, AT_ONCE, STRIDE = 1024, 1_500_000, 32
 
 
 def normal(text: str) -> str:
@@ -174,9 +174,9 @@ class CrossParser:
         return found
 
 
-def _longer(sizes: np.ndarray) -> np.ndarray:
-    """For each step the number of lanes, which are in falling order of size, that are longer."""
-    return np.searchsorted(-sizes, -np.arange(sizes.max()), side="left")
+def _longer(sizes: np.ndarray, most: int) -> np.ndarray:
+    """For each of so many steps the number of lanes, which are in falling order of size, that are longer."""
+    return np.searchsorted(-sizes, -np.arange(min(int(sizes.max()), most)), side="left")
 
 
 class Predictor:
@@ -189,16 +189,11 @@ class Predictor:
         keep[1:] |= codes[:-1] != 0  # the first of a run of blanks stays
         return codes[keep]
 
-    def walk(self, steps: np.ndarray, active: np.ndarray, state: np.ndarray, began: np.ndarray, until: np.ndarray | None = None) -> int:
-        """Moves the lanes' states over their codes and notes where phrases begin, in (steps, languages, lanes).
-
-        With ``until``, the notes of another walk, it ends once every lane has begun a phrase where the other one did;
-        notes and states from there on are the other's. Gives the number of steps.
-        """
+    def walk(self, steps: np.ndarray, active: np.ndarray, state: np.ndarray, began: np.ndarray) -> None:
+        """Moves the lanes' states over their codes and notes where phrases begin, in (steps, languages, lanes)."""
         parser = self.parser
         rare = (steps >= parser.rare) & (steps < parser.other)
         hashed, dense = rare.any(1), np.minimum(steps, parser.rare)
-        apart = None if until is None else np.ones(state.shape, bool)
         for step, n in enumerate(active):
             moved = parser.table[state[:, :n] * parser.width + dense[step, :n]]
             if hashed[step]:
@@ -206,11 +201,6 @@ class Predictor:
                 moved[:, lanes] = parser.by_rare(state[:, lanes], steps[step, lanes])
             began[step, :, :n] = moved & 1
             state[:, :n] = moved >> 1
-            if apart is not None:
-                apart[:, :n] &= ~(began[step, :, :n] & until[step, :, :n])
-                if not apart[:, : active[step + 1] if step + 1 < len(active) else 0].any():
-                    return step + 1
-        return len(active)
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases that each text takes."""
@@ -232,7 +222,7 @@ class Predictor:
         length = sizes[order]
         state = np.repeat(parser.starts[:, None], len(pieces), axis=1)
         began = np.zeros((len(steps), *state.shape), bool)
-        self.walk(steps, _longer(length), state, began)
+        self.walk(steps, _longer(length, len(steps)), state, began)
         # Lanes whose segment follows another of the same text, and the lane of that one.
         later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
         after, before = lane_of[later], lane_of[later - 1]
@@ -245,22 +235,31 @@ class Predictor:
             by_size = np.argsort(-length[todo], kind="stable")
             todo, now = todo[by_size], np.ascontiguousarray(first[:, by_size])
             entered[:, todo] = now
-            self._again(steps[:, todo], length[todo], todo, now, state, began)
+            self._again(steps, length, todo, now, state, began)
         np.add.at(total, owner[order], began.sum(0).T)
         return total
 
     def _again(self, steps: np.ndarray, length: np.ndarray, lanes: np.ndarray, now: np.ndarray, state: np.ndarray, began: np.ndarray) -> None:
-        """Walks the lanes from the states ``now``, and mends their notes, and their last states where the walks stay apart."""
-        old = began[:, :, lanes]
-        new = np.zeros_like(old)
-        done = self.walk(steps, _longer(length), now, new, old)
-        both = np.zeros_like(old)
-        both[:done] = old[:done] & new[:done]
-        met = both.any(0)
-        at = np.where(met, both.argmax(0), length[None, :])  # the step where the walks meet
-        mended = np.where(np.arange(len(steps))[:, None, None] < at[None], new, old)
-        began[:, :, lanes] = mended
-        state[:, lanes] = np.where(met, state[:, lanes], now)
+        """Walks the lanes from the states ``now``, some steps at a time and each until it meets its last walk, and mends their notes.
+
+        Last states are mended where the walks stay apart to the end.
+        """
+        apart, at = np.ones(now.shape, bool), 0
+        while len(lanes):
+            part = np.ascontiguousarray(steps[at : at + STRIDE, lanes])
+            new = np.zeros((len(part), *now.shape), bool)
+            self.walk(part, _longer(length[lanes] - at, len(part)), now, new)
+            old = began[at : at + STRIDE, :, lanes]
+            both = old & new
+            met = both.any(0)
+            upto = np.where(apart, np.where(met, both.argmax(0), len(part)), 0)  # what is new
+            began[at : at + STRIDE, :, lanes] = np.where(np.arange(len(part))[:, None, None] < upto, new, old)
+            apart &= ~met
+            at += STRIDE
+            ended = length[lanes] <= at
+            state[:, lanes[ended]] = np.where(apart[:, ended], now[:, ended], state[:, lanes[ended]])
+            left = apart.any(0) & ~ended
+            lanes, now, apart = lanes[left], np.ascontiguousarray(now[:, left]), apart[:, left]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[float]]]:
         """Language, score, and the bits a character of every language."""
