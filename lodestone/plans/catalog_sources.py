@@ -154,7 +154,7 @@ def csv_sink(spark, d):
     return _labels(spark.read.csv(path, header=True))
 
 
-@query("SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def json_sink(spark, d):
     path = f"{shared_folder(spark)}/summary"
     sinks.to_json(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)

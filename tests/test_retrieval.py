@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, lists_for, trees_for
 from lodestone.operators import bm25, dense, fusion, metadata, ranking, router
-from lodestone.operators.retrieve import STRATEGIES, Retriever
+from lodestone.operators.retrieve import STRATEGIES, Held, Retriever
 
 DOCS = [(0, "The cat sat on the mat"), (1, "the dog sat on the log"), (2, "cats and dogs are great pets"), (3, "a bird flew over the house")]
 
@@ -141,6 +141,15 @@ def test_strategies(spark, retriever, strategy):
         assert got[0]["query_type"] == "metadata" and sum(got[0]["weights"]) == pytest.approx(1)
 
 
+def test_held_candidates_change_nothing(spark, retriever):
+    q = spark.createDataFrame([(0, "outdoor cat from 2023", [1.0, 0.1, 0.0, 0.0]), (1, "the dog", [0.0, 1.0, 0.0, 0.0]), (2, "nothing", None)], "q_id bigint, text string, embedding array<float>")
+    held = Held.of(retriever, q, 3)
+    for strategy in STRATEGIES:  # multi_stage wants more than is held
+        for n in (3, 4):
+            asked = lambda r, strategy=strategy, n=n: r.search(q, 2, strategy, n).orderBy("q_id", "rank").collect()
+            assert asked(held) == asked(retriever)
+
+
 def test_unknown_strategy(spark, retriever):
     with pytest.raises(ValueError):
         retriever.search(asked(spark, "x"), strategy="other")
