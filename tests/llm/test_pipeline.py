@@ -5,6 +5,7 @@ import sys
 
 import corpus_pipeline
 from lodestone.llm import secrets
+from lodestone.llm.common import folders_since
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_brute_force import fingerprint  # noqa: E402
@@ -28,4 +29,7 @@ def test_stages(spark, sf_dir, rows):
 
 
 def test_run(spark, sf_dir):
+    """Of all that is stored on the way only the stages' rows are left."""
+    had = len(folders_since())
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
+    assert len(folders_since(had)) == len(corpus_pipeline.STAGES) - 1
