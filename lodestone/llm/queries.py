@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, class_lm, decontaminate, langid, pii, quality, secrets, simhash, sql, substring_dedup, token_counts
+from lodestone.llm import byte_bpe, class_lm, decontaminate, dual_tree, importance, langid, pii, quality, secrets, simhash, sql, substring_dedup, token_counts, word_bpe
 from lodestone.llm.common import crc_bucket, table
 
-RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, TOKENIZER, WORDS = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"
 MAX_TOKENS = 1024
 #: Whose words count as easy to guess.
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
@@ -74,9 +74,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "similarity", "n_windows")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS)).withColumnRenamed("id", "doc_id")
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op4_pii, op5_quality_rules, op6_token_counts, op7_substring_dedup, op8_simhash, op9_secret_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_class_lm, op2_language_id, op3_byte_bpe, op4_pii, op5_quality_rules, op6_token_counts, op7_substring_dedup, op8_simhash, op9_secret_scan, op10_decontamination, op11_importance, op12_word_bpe, op13_dual_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": sql.OP4, "op5_quality_rules": sql.OP5, "op7_substring_dedup": sql.OP7, "op10_decontamination": sql.OP10}
+    return {"op4_pii": sql.OP4, "op5_quality_rules": sql.OP5, "op7_substring_dedup": sql.OP7, "op10_decontamination": sql.OP10, "op11_importance": sql.OP11, "op13_dual_tree": sql.op13()}

@@ -99,3 +99,53 @@ SELECT doc_id, {", ".join(f"count(CASE WHEN kind = '{k[0]}' THEN 1 END) AS n_{k[
   sha256({_joined("k < 4")}) AS base_sha256, {_joined("k IS NOT NULL")} AS spans
 FROM rows LEFT JOIN spans USING (r) GROUP BY r, doc_id
 """
+
+
+def _crc(crc: str, byte: str) -> str:
+    """CRC-32 after one more byte, in two steps of four bits by the polynomial 0xEDB88320."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    entry = lambda x: f"list_extract({table}::BIGINT[], (({x}) & 15) + 1)"
+    once = f"xor({crc}, {byte})"
+    twice = f"xor(({once}) >> 4, {entry(once)})"
+    return f"xor(({twice}) >> 4, {entry(twice)})"
+
+
+OP11 = rf"""
+WITH texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS MATERIALIZED (SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+bytes AS (SELECT word, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM spelt),
+buckets AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: {_crc("c", "x")}), 4294967295) % 10000 AS bucket FROM bytes),
+counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words JOIN buckets USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+means AS (SELECT r, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN means USING (r) WHERE side = 0),
+ranked AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) // 10 FROM scored WHERE n_features >= 20) THEN place END AS "rank" FROM ranked
+"""
+
+
+def op13(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """Every round spelt out: distances to all centroids, the least of them, floored means."""
+    nearest = lambda c: f"""(SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM
+  (SELECT r, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, {c}) GROUP BY r)"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED {nearest(f"c{i}")},
+m{i} AS (SELECT cluster, pos, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM kept JOIN a{i} USING (r)) GROUP BY cluster, pos),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(new.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS c FROM m{i} GROUP BY cluster) AS new USING (cluster))""")
+    return f"""
+WITH fine AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dim}),
+kept AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM fine),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept) QUALIFY row_number() OVER (ORDER BY h, v) <= {k}),
+{", ".join(steps)},
+last AS MATERIALIZED {nearest(f"c{rounds}")}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM last JOIN kept USING (r) JOIN c{rounds} USING (cluster)
+"""

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+VECTORS = "vec_id bigint, embedding array<float>, label int"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -10,6 +11,17 @@ def words(rng: random.Random, n: int, lang: str = "en") -> str:
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n))
 
 
+def write_vectors(spark, path, data, schema=VECTORS):
+    spark.createDataFrame(data, schema).repartition(2).write.parquet(f"{path}/embeddings.parquet")
+
+
+def vectors(rng: random.Random, n: int, groups: int = 5) -> list[tuple]:
+    """Around some centres, with copies of each third vector."""
+    centres = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(groups)]
+    out = [(i, [x + rng.gauss(0, 0.1) for x in centres[i % groups]], i % groups) for i in range(n)]
+    return out + [(n + i, v, label) for i, v, label in out[::3]]
+
+
 @pytest.fixture(scope="session")
 def rows():
     """Documents with copies, near copies, shared passages, benchmark text, personal data, secrets and junk."""
@@ -35,6 +47,7 @@ def sf_dir(spark, rows, tmp_path_factory):
     data, item = rows
     spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(7, item), (8, "short one"), (9, None), (10, "")], "item_id bigint, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    write_vectors(spark, path, vectors(random.Random(3), 300))
     return str(path)
 
 
@@ -51,6 +64,9 @@ def odd_dir(spark, tmp_path_factory):
     names = f"{SCHEMA}, print bigint, ID string, block bigint, row string, spans array<int>, id2 string, Answers string"
     spark.createDataFrame(extra, names).repartition(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, same), (1, same), (None, None), (2, "")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    one = [0.5] * 64
+    odd = [(None, one), (None, one), (1, one), (1, one), (2, one[:-1]), (3, None), (4, [None, *one[1:]]), (5, [float("nan"), *one[1:]]), (6, [float("inf"), *one[1:]]), (7, []), (8, [-0.001] * 64), (9, [0.0] * 64)]
+    write_vectors(spark, path, [(*r, None, "x", [1], 0, "k") for r in odd], f"{VECTORS}, Vector string, ids array<int>, cluster int, KEY string")
     return str(path)
 
 
@@ -59,4 +75,5 @@ def empty_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    write_vectors(spark, path, [])
     return str(path)

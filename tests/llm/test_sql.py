@@ -13,7 +13,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet/*.parquet'")
     df, found = Q.queries()[name](spark, sf_dir), con.sql(Q.oracle_sql()[name])
     columns = sorted(df.columns)
