@@ -25,9 +25,9 @@ _SCORES = {
 }
 
 
-def sample(vectors: DataFrame, n: int = SAMPLE, seed: int = 42) -> np.ndarray:
-    """The first n vectors by a hash of their id, as a matrix on the driver."""
-    rows = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed))).limit(n).select("embedding").collect()
+def sample(vectors: DataFrame, n: int | None = None, seed: int = 42) -> np.ndarray:
+    """The first n vectors, SAMPLE where it isn't given, by a hash of their id, as a matrix on the driver."""
+    rows = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed))).limit(n or SAMPLE).select("embedding").collect()
     return np.array([r[0] for r in rows], np.float64)
 
 
@@ -58,7 +58,12 @@ def save(tables: dict[str, DataFrame], path: str, arrays: dict[str, np.ndarray]
     model = spark.createDataFrame(rows, "name string, shape array<bigint>, kind string, data binary").coalesce(1)
     for name, df in {**tables, "model": model}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps({"tables": sorted(tables), **parameters}),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    tell(spark, path, {"tables": {name: name for name in sorted(tables)}, **parameters})
+
+
+def tell(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Writes the manifest, which says what each table's folder is: a table that is replaced lies in a new one."""
+    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
 def arrays_of(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
@@ -68,4 +73,4 @@ def arrays_of(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
 
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}, manifest
+    return {name: spark.read.parquet(f"{path}/{folder}") for name, folder in manifest["tables"].items()}, manifest

@@ -1,8 +1,12 @@
-"""A navigable small-world graph in shards: nodes and edges as tables, one hierarchical graph a shard, results merged.
+"""A navigable small-world graph in shards: nodes and edges as one table, a hierarchical graph a shard, results merged.
 
-Each shard holds a bounded number of vectors, so building and searching are tasks of bounded memory; recall is that of
-the shards, and the work of a search grows with their number. A whole shard is filled at once: a node's candidates are
-the exact nearest of those before it, from blocks of distances, where single insertion finds them by a beam.
+Vectors are dealt to shards by the nearest of as many centres as there are shards, found by rounds over all of them, and a
+centre with too many is several shards. So building and searching are tasks of bounded memory, and a query visits only
+the shards whose centres are nearest. A shard's centre lies on one of its rows, so the nodes are the routing table too.
+
+A whole shard is filled at once: a node's candidates are the exact nearest of those before it, from blocks of distances,
+where single insertion finds them by a beam. Later vectors come as shards of their own (``later``); ``compacted`` inserts
+them one by one into the shards nearest to them, and deals those that have grown too large anew.
 """
 
 from __future__ import annotations
@@ -17,13 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
-from lodestone.operators.ann.ivf import distances
+from lodestone.operators.ann.kmeans import Lists, assigned, distances, first_centres, lloyd, scaled
 from lodestone.operators.dense import matrix
 from lodestone.operators.ranking import top
-from lodestone.session import importable, small
+from lodestone.session import importable, stored
 
 #: Vectors of a shard, about, and of a block of distances.
 SHARD, FILL = 20_000, 512
+#: Rounds over all vectors that place the centres; shards that a query visits; its queries that a shard answers at once.
+ROUNDS, VISIT, QUERIES = 3, 8, 20_000
+#: Shards up to which they are looked for in the row groups of the stored nodes.
+FEW_SHARDS = 1000
+
+NODES = "shard int, id bigint, level int, embedding array<float>, links array<struct<level:int,to:array<bigint>>>, centre array<float>"
+KIND = pa.list_(pa.struct([("level", pa.int32()), ("to", pa.list_(pa.int64()))]))
 
 
 def level_of(number: int, scale: float, seed: int = 42) -> int:
@@ -152,12 +163,54 @@ class Graph:
         return self.beam(q, entry, max(beam, k), 0)[:k]
 
 
-def build(vectors: DataFrame, links: int = DEFAULT.graph_links, beam: int = DEFAULT.graph_build_beam, scale: float = DEFAULT.graph_level_scale, metric: str = "cosine", shard: int = SHARD) -> DataFrame:
-    """shard, id, level, embedding, links: array of (level, neighbours) of every vector."""
+def _table(graph: Graph, shard: pa.Array, ids: np.ndarray, levels: list[int], vectors: pa.Array) -> pa.Table:
+    """The rows of one shard. The first has the mean of the shard's vectors, as the graph scales them."""
+    links = [[{"level": at, "to": ids[graph.links[at][n]].tolist()} for at in range(levels[n] + 1)] for n in range(len(ids))]
+    centre = [graph.x.mean(0).tolist(), *[None] * (len(ids) - 1)]
+    columns = [shard, pa.array(ids), pa.array(levels, pa.int32()), vectors, pa.array(links, KIND), pa.array(centre, pa.list_(pa.float32()))]
+    return pa.table(columns, ["shard", "id", "level", "embedding", "links", "centre"])
+
+
+def _restored(own: pa.Table, links: int, metric: str, more: np.ndarray | None = None) -> tuple[Graph, np.ndarray, list[int]]:
+    """The graph of a shard's rows, its ids and levels; ``more`` vectors are room for later nodes."""
+    own = own.sort_by("id").combine_chunks()
+    ids, levels = own["id"].to_numpy(), own["level"].to_pylist()
+    x = matrix(own["embedding"].chunk(0))
+    graph = Graph(x if more is None else np.concatenate([x, more]), links, metric)
+    graph.top = max(levels)
+    graph.start = levels.index(graph.top)
+    graph.links = [{} for _ in range(graph.top + 1)]
+    each = own["links"].chunk(0)
+    node = np.repeat(np.arange(len(ids)), each.value_lengths().to_numpy()).tolist()
+    level, to = (each.flatten().field(name) for name in ("level", "to"))
+    ends = np.concatenate([[0], to.value_lengths().to_numpy().cumsum()]).tolist()
+    flat = np.searchsorted(ids, to.flatten().to_numpy()).tolist()
+    for i, (n, at) in enumerate(zip(node, level.to_pylist(), strict=True)):
+        graph.links[at][n] = flat[ends[i] : ends[i + 1]]
+    return graph, ids, levels
+
+
+def _dealt(rows: DataFrame, shard: int, metric: str, first: int) -> DataFrame:
+    """id, embedding, shard: by nearest centre, and by a hash of the id where a centre has more than a shard's vectors."""
+    n = rows.count()
+    if n <= shard:
+        return rows.withColumn("shard", F.lit(first))
+    unit = metric == "cosine"
+    centres = first_centres(rows, -(-n // shard))
+    near = assigned(rows, lloyd(rows, scaled(centres) if unit else centres, ROUNDS, unit), unit, keep=True)
+    at, deal = first, []
+    for r in near.groupBy("list").count().orderBy("list").collect():  # a row for each centre
+        parts = -(-r["count"] // shard)
+        deal.append((r["list"], at, parts))
+        at += parts
+    known = rows.sparkSession.createDataFrame(deal, "list int, first int, parts int")
+    return near.join(F.broadcast(known), "list").select("id", "embedding", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("shard"))
+
+
+def build(vectors: DataFrame, links: int = DEFAULT.graph_links, beam: int = DEFAULT.graph_build_beam, scale: float = DEFAULT.graph_level_scale, metric: str = "cosine", shard: int = SHARD, first: int = 0) -> DataFrame:
+    """shard, id, level, embedding, links: array of (level, neighbours) of every vector, and on one row a shard its centre. Shards count from ``first``."""
     importable(vectors.sparkSession)
-    rows = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
-    shards = max(1, -(-rows.count() // shard))
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("to", pa.list_(pa.int64()))]))
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
@@ -165,37 +218,93 @@ def build(vectors: DataFrame, links: int = DEFAULT.graph_links, beam: int = DEFA
         graph = Graph(matrix(table["embedding"].chunk(0)), links, metric)
         levels = [level_of(int(n), scale) for n in ids]
         graph.fill(levels, beam)
-        out = [[{"level": at, "to": ids[graph.links[at][n]].tolist()} for at in range(levels[n] + 1)] for n in range(len(ids))]
-        return pa.table({"shard": table["shard"], "id": table["id"], "level": pa.array(levels, pa.int32()), "embedding": table["embedding"], "links": pa.array(out, kind)})
+        return _table(graph, table["shard"], ids, levels, table["embedding"])
+
+    return _dealt(rows, shard, metric, first).groupBy("shard").applyInArrow(run, NODES)
+
+
+def centres_of(nodes: DataFrame) -> tuple[np.ndarray, Lists]:
+    """The numbers of the shards and their centres: a row for some 20,000 vectors."""
+    rows = nodes.where(F.col("centre").isNotNull()).select("shard", "centre").orderBy("shard").collect()
+    return np.array([r["shard"] for r in rows], np.int32), Lists(np.array([r["centre"] for r in rows], np.float64))
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(run, "shard int, id bigint, level int, embedding array<float>, links array<struct<level:int,to:array<bigint>>>")
 
+def routed(queries: DataFrame, nodes: DataFrame, visit: int = VISIT, metric: str = "cosine", key: str = "q_id") -> DataFrame:
+    """key, shard, embedding: each vector with the shards whose centres are nearest to it, ``visit`` at most."""
+    shards, lists = centres_of(nodes)
+    rows = queries.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<float>").alias("embedding"))
+    if len(shards) <= visit:
+        return rows.select(key, F.explode(F.array(*map(F.lit, shards.tolist())).cast("array<int>")).alias("shard"), "embedding")
 
-def search(queries: DataFrame, nodes: DataFrame, k: int, shards: int | None = None, beam: int = DEFAULT.graph_search_beam, links: int = DEFAULT.graph_links, metric: str = "cosine") -> DataFrame:
-    """q_id, id, score, rank: every shard's nearest, merged. Queries are sent to each shard.
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch["embedding"], lists.centres.shape[1])
+            near = lists.probes(scaled(x) if metric == "cosine" else x, visit)
+            row = pa.array(np.repeat(np.arange(len(x)), visit))
+            yield pa.RecordBatch.from_arrays([batch[key].take(row), pa.array(shards[near.ravel()]), batch["embedding"].take(row)], [key, "shard", "embedding"])
 
-    ``nodes`` should be a stored table; its shards are looked up unless their number is given.
+    return rows.mapInArrow(run, f"{key} bigint, shard int, embedding array<float>")
+
+
+def search(queries: DataFrame, nodes: DataFrame, k: int, visit: int = VISIT, beam: int = DEFAULT.graph_search_beam, links: int = DEFAULT.graph_links, metric: str = "cosine") -> DataFrame:
+    """q_id, id, score, rank: the nearest of the visited shards, merged. ``nodes`` should be a stored table.
+
+    Only visited shards move, once for every QUERIES of their queries, so that no task answers more.
     """
-    asked = queries.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), F.col("embedding"))
-    known = nodes.select(F.col("shard").alias("to_shard")).distinct() if shards is None else queries.sparkSession.range(shards).select(F.col("id").cast("int").alias("to_shard"))
-    sent = asked.crossJoin(small(known))
+    importable(queries.sparkSession)
+    sent = routed(queries, nodes, visit, metric)
+    asked = {r["shard"]: -(-r["count"] // QUERIES) for r in sent.groupBy("shard").count().collect()}  # a row for each shard
+    empty = queries.sparkSession.createDataFrame(sorted(asked.items()), "shard int, parts int")
+    visited = nodes.where(F.col("shard").isin(sorted(asked))) if len(asked) <= FEW_SHARDS else nodes
+    parts = F.broadcast(empty)
+    held = visited.select("shard", "id", "level", "embedding", "links").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = sent.join(parts, "shard").select("q_id", "shard", "embedding", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int").alias("part"))
 
     def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        empty = pa.table({"q_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not own.num_rows or not ask.num_rows:
-            return empty
-        own = own.sort_by("id").combine_chunks()
-        ids = own["id"].to_numpy()
-        graph = Graph(matrix(own["embedding"].chunk(0)), links, metric)
-        levels = own["level"].to_numpy()
-        graph.top = int(levels.max())
-        graph.start = int(np.flatnonzero(levels == graph.top)[0])
-        graph.links = [{} for _ in range(graph.top + 1)]
-        for n, each in enumerate(own["links"].to_pylist()):
-            for x in each:
-                graph.links[x["level"]][n] = np.searchsorted(ids, x["to"]).tolist()
-        found = [(q, int(ids[n]), 1.0 - d if metric == "cosine" else -d) for q, v in zip(ask["q_id"].to_pylist(), ask["embedding"].to_pylist(), strict=True) for d, n in graph.search(np.array(v, np.float64), k, beam)]
+        found = []
+        if own.num_rows and ask.num_rows:
+            graph, ids, _ = _restored(own, links, metric)
+            asked = matrix(ask["embedding"].combine_chunks())
+            found = [(q, int(ids[n]), 1.0 - d if metric == "cosine" else -d) for q, v in zip(ask["q_id"].to_pylist(), asked, strict=True) for d, n in graph.search(v, k, beam)]
         return pa.table({"q_id": pa.array([f[0] for f in found], pa.int64()), "id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
 
-    return top(nodes.groupBy("shard").cogroup(sent.groupBy("to_shard")).applyInArrow(run, "q_id bigint, id bigint, score double"), k)
+    return top(held.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(run, "q_id bigint, id bigint, score double"), k)
+
+
+def later(vectors: DataFrame, nodes: DataFrame, **parameters) -> DataFrame:
+    """Nodes of further vectors, in shards of their own behind those there are. Ids that are there already keep their vectors."""
+    new = vectors.join(nodes.select("id"), "id", "left_anti")
+    return build(stored(new), first=(nodes.agg(F.max("shard")).first()[0] or 0) + 1, **parameters)
+
+
+def compacted(nodes: DataFrame, first_late: int, links: int = DEFAULT.graph_links, beam: int = DEFAULT.graph_build_beam, scale: float = DEFAULT.graph_level_scale, metric: str = "cosine", shard: int = SHARD) -> DataFrame:
+    """Nodes in which the shards from ``first_late`` on are dissolved. ``nodes`` should be a stored table.
+
+    Each of their vectors is inserted by a beam into the shard whose centre is nearest. Shards that would hold more than
+    twice what they should are dealt anew with what came to them, others that nothing comes to stay as they are.
+    """
+    importable(nodes.sparkSession)
+    main, late = nodes.where(F.col("shard") < first_late), nodes.where(F.col("shard") >= first_late)
+    to = routed(late.select("id", "embedding"), main, 1, metric, key="id")
+    had = {r["shard"]: r["count"] for r in main.groupBy("shard").count().collect()}  # a row for each shard
+    come = {r["shard"]: r["count"] for r in to.groupBy("shard").count().collect()}
+    grown = [s for s, n in come.items() if had[s] + n > 2 * shard]
+    few = [s for s in come if s not in set(grown)]
+    both = lambda some: main.where(F.col("shard").isin(some)).select("id", "embedding").unionByName(to.where(F.col("shard").isin(some)).select("id", "embedding"))
+
+    def run(own: pa.Table, new: pa.Table) -> pa.Table:
+        new = new.sort_by("id").combine_chunks()
+        graph, ids, levels = _restored(own, links, metric, matrix(new["embedding"].chunk(0)))
+        for i, number in enumerate(new["id"].to_pylist()):
+            levels.append(level_of(number, scale))
+            graph.insert(len(ids) + i, levels[-1], beam)
+        vectors = pa.concat_arrays([own.sort_by("id")["embedding"].combine_chunks(), new["embedding"].combine_chunks()])
+        ids = np.concatenate([ids, new["id"].to_numpy()])
+        return _table(graph, pa.array(np.full(len(ids), own["shard"][0].as_py()), pa.int32()), ids, levels, vectors)
+
+    out = main.where(~F.col("shard").isin([*few, *grown])) if come else main
+    if few:
+        out = out.unionByName(main.where(F.col("shard").isin(few)).groupBy("shard").cogroup(to.where(F.col("shard").isin(few)).groupBy("shard")).applyInArrow(run, NODES))
+    if grown:
+        out = out.unionByName(build(stored(both(grown)), links, beam, scale, metric, shard, first=max(had) + 1))
+    return out

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import lists_for, trees_for
+from lodestone.config import trees_for
 from lodestone.functions.vectors import checked
 from lodestone.operators import dense
 from lodestone.operators.ann import base, forest, graph, ivf, lsh
-from lodestone.session import shared_folder
+from lodestone.session import shared_folder, stored
 
 KINDS = {"flat": "flat", "ivfpq": "ivfpq", "graph": "graph", "hnsw": "graph", "lsh": "lsh", "forest": "forest", "annoy": "forest"}
 
@@ -39,8 +41,8 @@ class VectorIndex:
         n = have.count()
         tables, arrays, told = {}, {}, {}
         if kind == "ivfpq":
-            model = ivf.IvfPq.fit(have, parameters.get("lists") or lists_for(n), n_total=n, **{k: v for k, v in parameters.items() if k in ("parts", "bits")})
-            tables, arrays = {"cells": model.cells(have)}, {"centres": model.centres, "books": model.books}
+            model = ivf.IvfPq.fit(have, parameters.get("lists"), n_total=n, **{k: v for k, v in parameters.items() if k in ("parts", "bits")})
+            tables, arrays = {"cells": model.cells(have)}, model.arrays()
         elif kind == "lsh":
             normals = lsh.planes(width, **parameters)
             tables, arrays = {"buckets": lsh.signatures(have, normals)}, {"normals": normals}
@@ -52,6 +54,42 @@ class VectorIndex:
         base.save(tables, path, arrays, spark=spark, kind=kind, width=width, n=n, **told)
         return cls(spark, path)
 
+    def add(self, vectors: DataFrame, **parameters) -> VectorIndex:
+        """The index with further vectors; ids that it has already keep theirs. A graph's come in shards of their own until ``compact``."""
+        have = self.spark.read.parquet(f"{self.path}/vectors")
+        new = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), checked(F.col("embedding"), self.manifest["width"]).alias("embedding"))
+        new = stored(new.join(have.select("id"), "id", "left_anti"))
+        told = {**self.manifest, "n": self.manifest["n"] + new.count()}
+        if self.kind == "graph":
+            told.setdefault("first_late", self.tables["nodes"].agg(F.max("shard")).first()[0] + 1)
+            rows = {"nodes": graph.later(new, self.tables["nodes"], **parameters)}
+        else:
+            rows = self._rows(new)
+        for name, df in rows.items():
+            df.write.mode("append").parquet(f"{self.path}/{self.manifest['tables'][name]}")
+        new.write.mode("append").parquet(f"{self.path}/vectors")
+        base.tell(self.spark, self.path, told)
+        return VectorIndex(self.spark, self.path)
+
+    def _rows(self, vectors: DataFrame) -> dict[str, DataFrame]:
+        """What the tables of an index hold for vectors, by the model that it has."""
+        if self.kind == "ivfpq":
+            return {"cells": ivf.IvfPq.of_arrays(self.arrays).cells(vectors)}
+        if self.kind == "lsh":
+            return {"buckets": lsh.signatures(vectors, self.arrays["normals"])}
+        if self.kind == "forest":
+            return {"leaves": forest.Forest.of_arrays(self.arrays, self.manifest["trees"]).leaves(vectors)}
+        return {}
+
+    def compact(self, **parameters) -> VectorIndex:
+        """A graph whose later vectors have been inserted into the shards nearest to them. Until the manifest names the new nodes, the old ones hold."""
+        if self.kind != "graph" or "first_late" not in self.manifest:
+            return self
+        told = {**self.manifest, "tables": {**self.manifest["tables"], "nodes": f"nodes-{uuid.uuid4().hex[:8]}"}}
+        graph.compacted(self.tables["nodes"], told.pop("first_late"), **parameters).write.parquet(f"{self.path}/{told['tables']['nodes']}")
+        base.tell(self.spark, self.path, told)
+        return VectorIndex(self.spark, self.path)
+
     @property
     def kind(self) -> str:
         return self.manifest["kind"]
@@ -66,7 +104,7 @@ class VectorIndex:
         if self.kind == "flat":
             return dense.exact_topk(asked, have, k, **parameters)
         if self.kind == "ivfpq":
-            return ivf.IvfPq(self.arrays["centres"], self.arrays["books"]).search(asked, have, self.tables["cells"], k, **parameters)
+            return ivf.IvfPq.of_arrays(self.arrays).search(asked, have, self.tables["cells"], k, **parameters)
         if self.kind == "lsh":
             return lsh.search(asked, have, self.tables["buckets"], self.arrays["normals"], k, **parameters)
         if self.kind == "forest":

@@ -1,4 +1,8 @@
-"""Inverted lists with product quantisation: cells(cell, id, codes), searched in the nearest cells by table look-ups."""
+"""Inverted lists with product quantisation: cells(cell, id, codes), searched in the nearest cells by table look-ups.
+
+Lists are those of ``kmeans``: fitted on a sample where that is all there is, else moved by rounds over all vectors, in
+two levels where there are many. Codebooks are of a size that parameters fix, and are fitted on the sample.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import DEFAULT, lists_for
+from lodestone.config import DEFAULT
+from lodestone.operators.ann import base
 from lodestone.operators.ann.base import arrays_of, load, ranked, sample, save
+from lodestone.operators.ann.kmeans import FLAT, Lists, distances, lists_of, lloyd, scaled, two_levels
 from lodestone.operators.dense import best, matrix
 from lodestone.operators.ranking import top
 from lodestone.session import importable
@@ -31,18 +37,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 42) -> np.ndarra
     return centres
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :])
-
-
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return distances(x, centres).argmin(1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
-
-
 @dataclass
 class IvfPq:
     """Unit vectors, so distance order is cosine order. Sizes are those of the parameters, not of the data."""
@@ -50,29 +48,46 @@ class IvfPq:
     centres: np.ndarray
     books: np.ndarray  # parts, codes, width of a part
 
+    groups: np.ndarray | None = None  # centres of the upper level, where there are two
+
+    @property
+    def lists(self) -> Lists:
+        return Lists(self.centres, self.groups)
+
     @classmethod
-    def fit(cls, vectors: DataFrame, lists: int | None = None, parts: int = DEFAULT.pq_parts, bits: int = DEFAULT.pq_bits, n_total: int | None = None) -> IvfPq:
-        x = _unit(sample(vectors))
-        n = n_total or len(x)
-        centres = kmeans(x.copy(), lists or lists_for(n))
-        rest = x - centres[nearest(x, centres)]
-        codes = max(1, min(1 << bits, len(x) // 4))
-        width = x.shape[1] // parts
+    def fit(cls, vectors: DataFrame, lists: int | None = None, parts: int = DEFAULT.pq_parts, bits: int = DEFAULT.pq_bits, n_total: int | None = None, rounds: int = 4) -> IvfPq:
+        x = scaled(sample(vectors))
+        n = n_total or (len(x) if len(x) < base.SAMPLE else vectors.where("embedding IS NOT NULL").count())
+        k, width = lists or lists_of(n, x.shape[1]), x.shape[1] // parts
         if width * parts != x.shape[1]:
             raise ValueError(f"{parts} parts don't divide width {x.shape[1]}")
-        return cls(centres, np.stack([kmeans(rest[:, i * width : (i + 1) * width].copy(), codes) for i in range(parts)]))
+        if n <= len(x):  # the sample is everything
+            found = Lists(kmeans(x.copy(), k))
+        elif k <= FLAT:
+            found = lloyd(vectors, kmeans(x.copy(), k), rounds, unit=True)
+        else:
+            found = two_levels(vectors, k, rounds, unit=True)
+        rest = x - found.centres[found.nearest(x)[0]]
+        codes = max(1, min(1 << bits, len(x) // 4))
+        return cls(found.centres, np.stack([kmeans(rest[:, i * width : (i + 1) * width].copy(), codes) for i in range(parts)]), found.groups)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"centres": self.centres, "books": self.books, **({} if self.groups is None else {"groups": self.groups})}
+
+    @classmethod
+    def of_arrays(cls, arrays: dict[str, np.ndarray]) -> IvfPq:
+        return cls(arrays["centres"], arrays["books"], arrays.get("groups"))
 
     def save(self, path: str, cells: DataFrame) -> None:
-        save({"cells": cells}, path, {"centres": self.centres, "books": self.books}, kind="ivfpq")
+        save({"cells": cells}, path, self.arrays(), kind="ivfpq")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> tuple[IvfPq, DataFrame]:
         """The index and its cells, ready to be searched."""
-        arrays = arrays_of(spark, path)
-        return cls(arrays["centres"], arrays["books"]), load(spark, path)[0]["cells"]
+        return cls.of_arrays(arrays_of(spark, path)), load(spark, path)[0]["cells"]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = nearest(x, self.centres)
+        cell = self.lists.nearest(x)[0]
         rest = x - self.centres[cell]
         width = self.books.shape[2]
         return cell, np.stack([nearest(rest[:, i * width : (i + 1) * width], book) for i, book in enumerate(self.books)], 1).astype(np.uint8)
@@ -83,7 +98,7 @@ class IvfPq:
 
         def run(batches):
             for batch in batches:
-                cell, codes = self.encode(_unit(matrix(batch["v"], self.centres.shape[1])))
+                cell, codes = self.encode(scaled(matrix(batch["v"], self.centres.shape[1])))
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "cell", "codes"])
 
         return vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("v")).mapInArrow(run, "id bigint, cell int, codes binary")
@@ -97,8 +112,8 @@ class IvfPq:
 
         def probes(batches):
             for batch in batches:
-                x = _unit(matrix(batch["v"], self.centres.shape[1]))
-                near = np.argsort(distances(x, self.centres), axis=1, kind="stable")[:, :probe]
+                x = scaled(matrix(batch["v"], self.centres.shape[1]))
+                near = self.lists.probes(x, probe)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["q_id"].to_numpy(), probe)), pa.array(near.ravel().astype(np.int32)), pa.array([r.tobytes() for r in np.repeat(x, probe, axis=0)], pa.binary())], ["q_id", "cell", "q"])
 
         asked = queries.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), F.col("embedding").alias("v")).mapInArrow(probes, "q_id bigint, cell int, q binary")

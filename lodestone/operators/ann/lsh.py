@@ -1,9 +1,13 @@
-"""Random-hyperplane hashing: buckets(table_id, signature, id), searched by equality in any table."""
+"""Random-hyperplane hashing: buckets(table_id, signature, id), searched by equality in any table.
+
+A query may also ask for signatures with one bit turned, those first whose planes are nearest to it, so that longer
+signatures find as much: their number of bits follows the table, a bucket's size and a query's candidates don't.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from math import cos, log, pi, sqrt
+from math import ceil, cos, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,30 @@ def planes(dim: int, tables: int = DEFAULT.lsh_tables, bits: int = DEFAULT.lsh_b
     return np.array([[[draw(t, b, d) for d in range(dim)] for b in range(bits)] for t in range(tables)])
 
 
-def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id") -> DataFrame:
-    """key, table_id, signature: a bit is 1 where the projection is above 0."""
+def bits_for(n: int, each: int = 64) -> int:
+    """Bits of a signature, so that a bucket has some ``each`` of n vectors where the planes cut them evenly."""
+    return max(4, ceil(log2(max(n, 1) / each)) if n > each else 4)
+
+
+def signatures(vectors: DataFrame, normals: np.ndarray, key: str = "id", flips: int = 0) -> DataFrame:
+    """key, table_id, signature: a bit is 1 where the projection is above 0; also with each of the ``flips`` bits turned whose planes are nearest."""
     importable(vectors.sparkSession)
     tables, bits, dim = normals.shape
     flat = normals.reshape(tables * bits, dim)
+    flips = min(flips, bits)
 
     def run(batches):
         for batch in batches:
-            signs = (matrix(batch["v"], dim) @ flat.T > 0).reshape(-1, tables, bits)
-            text = [["".join("1" if b else "0" for b in t) for t in row] for row in signs]
-            n = len(text)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["key"].to_numpy(), tables)), pa.array(np.tile(np.arange(tables), n), pa.int32()), pa.array([s for row in text for s in row])], [key, "table_id", "signature"])
+            sides = (matrix(batch["v"], dim) @ flat.T).reshape(-1, tables, bits)
+            signs = np.repeat((sides > 0)[:, :, None], flips + 1, axis=2)  # vectors, tables, probes, bits
+            near = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :flips]
+            turned = np.take_along_axis(~(sides > 0), near, axis=2)
+            for i in range(flips):
+                np.put_along_axis(signs[:, :, i + 1], near[:, :, i : i + 1], turned[:, :, i : i + 1], axis=2)
+            text = (signs.reshape(-1, bits) + np.uint8(48)).view(f"S{bits}").ravel()
+            each = tables * (flips + 1)
+            numbers = np.tile(np.repeat(np.arange(tables), flips + 1), len(sides))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["key"].to_numpy(), each)), pa.array(numbers, pa.int32()), pa.array(text).cast(pa.string())], [key, "table_id", "signature"])
 
     return vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.col("embedding").alias("v")).mapInArrow(run, f"{key} bigint, table_id int, signature string")
 
@@ -53,12 +69,16 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     return base.load(spark, path)[0]["buckets"], base.arrays_of(spark, path)["normals"]
 
 
-def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10, flips: int = 0) -> DataFrame:
     """q_id, id, score, rank. A query that meets no bucket gets a sample of its own of about ``fallback`` * k vectors instead."""
-    asked = signatures(queries, normals, "q_id")
-    met = asked.join(buckets, ["table_id", "signature"]).select("q_id", "id").distinct()
+    met = candidates(queries, buckets, normals, flips)
     # Vectors are dealt by a hash into sets of that size, and a query's own hash picks one of them.
     sets = F.lit(max(1, vectors.count() // (fallback * k)))
     dealt = lambda df, key: df.select(key, F.pmod(F.xxhash64(key, F.lit(42)), sets).alias("dealt"))
     lonely = dealt(queries.join(met.select("q_id").distinct(), "q_id", "left_anti"), "q_id").join(dealt(vectors, "id"), "dealt").select("q_id", "id")
     return ranked(queries, met.unionByName(lonely), vectors, k, metric)
+
+
+def candidates(queries: DataFrame, buckets: DataFrame, normals: np.ndarray, flips: int = 0) -> DataFrame:
+    """q_id, id: what shares a bucket with a query or with one of its probes in any table."""
+    return signatures(queries, normals, "q_id", flips).join(buckets, ["table_id", "signature"]).select("q_id", "id").distinct()

@@ -1,41 +1,83 @@
-"""BM25 over an inverted index kept as tables: postings, documents, terms, and one row of corpus figures."""
+"""BM25 over an inverted index kept as tables: postings, documents, terms, and one row of corpus figures.
+
+Stored postings and terms lie in buckets by a hash of the term, one folder each, sorted by term within. A search reads the
+buckets of the asked terms only, and where few terms are asked, only the row groups that may hold them.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import top
-from lodestone.session import is_small
+from lodestone.session import SMALL
+
+#: Words of a bucket and of a task that writes one, about; most buckets.
+BUCKET_WORDS, TASK_WORDS, BUCKETS = 250_000, 4_000_000, 4096
+#: Asked terms up to which they are looked for in the row groups of their buckets.
+FEW_TERMS = 200
+
+
+def layout(words: int) -> tuple[int, int]:
+    """Buckets, and the parts that each is dealt to by document when it is written, so that one very frequent term is many tasks' work."""
+    buckets = min(BUCKETS, max(16, 1 << (words // BUCKET_WORDS).bit_length()))
+    return buckets, max(1, -(-words // (buckets * TASK_WORDS)))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # term, doc_id, tf, dl
+    postings: DataFrame  # term, doc_id, tf, dl; bucket where they are stored
     docs: DataFrame  # doc_id, dl
-    terms: DataFrame  # term, df, idf
-    stats: DataFrame  # n, avgdl
+    terms: DataFrame  # term, df, idf; bucket where they are stored
+    stats: DataFrame  # n, avgdl; buckets where they are stored
+    words: DataFrame | None = None  # term, doc_id, dl of every word, where the index is not stored yet
+    buckets: int | None = None  # where it is stored
 
     def save(self, path: str) -> None:
-        """Postings lie sorted by term, so a query's terms skip row groups; a term's are spread over as many files as they fill.
-
-        Each table is made from those that are written already, so documents are read for lengths and for postings only.
-        """
-        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-        write(self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-        write(self.docs, "docs")
+        """One exchange by bucket and part both brings equal words together and lays the postings out; terms are counted from what was written."""
         spark = self.docs.sparkSession
-        again = of_tables(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
-        write(again.terms, "terms")
-        write(again.stats, "stats")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        docs = spark.read.parquet(f"{path}/docs")
+        buckets, parts = layout(docs.agg(F.sum("dl")).first()[0] or 0)
+        place = ["bucket", "part"]
+        rows = (self.postings if self.words is None else self.words).withColumn("bucket", bucket_of(F.col("term"), buckets))
+        laid = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(buckets * parts, *place)
+        count = F.count("*") if self.words is not None else F.sum("tf")
+        laid = laid.groupBy(*place, "term", "doc_id", "dl").agg(count.alias("tf")).select("term", "doc_id", "tf", "dl", "bucket")
+        laid.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        schema = laid.schema
+        again = of_tables(spark.read.schema(schema).parquet(f"{path}/postings"), docs)
+        again.terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        again.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")))
+        kind = spark.read.parquet(f"{path}/docs").schema["doc_id"].dataType.simpleString()
+        schemas = {"postings": f"term string, doc_id {kind}, tf bigint, dl bigint, bucket int", "terms": "term string, df bigint, idf double, bucket int"}
+        read = lambda name: (spark.read.schema(schemas[name]) if name in schemas else spark.read).parquet(f"{path}/{name}")
+        tables = dict(zip(("postings", "docs", "terms", "stats"), map(read, ("postings", "docs", "terms", "stats")), strict=True))
+        return cls(**tables, buckets=tables["stats"].first()["buckets"])
+
+    def asked(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Postings and terms as far as the asked terms (term) may be in them, and whether those are few enough to be sent everywhere.
+
+        What is looked at on the driver is bounded: the numbers of buckets, and few terms.
+        """
+        if self.buckets is None:
+            return self.postings, self.terms, asked.limit(SMALL + 1).count() <= SMALL
+        n, found = asked.agg(F.count("*"), F.collect_set(bucket_of(F.col("term"), self.buckets))).first()
+        where = F.lit(True) if len(found) == self.buckets else F.col("bucket").isin(sorted(found)) if found else F.lit(False)
+        if 0 < n <= FEW_TERMS:
+            where &= F.col("term").isin(sorted(r["term"] for r in asked.select("term").distinct().collect()))
+        return self.postings.where(where), self.terms.where(where), n <= SMALL
 
 
 def idf(n, df):
@@ -48,12 +90,16 @@ def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = words.select("doc_id", F.size("words").cast("long").alias("dl"))
     # explode would put a filter on the words below them, which would split texts twice.
     each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).where(F.col("term").isNotNull())
-    return of_tables(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), docs)
+    index = of_tables(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), docs)
+    index.words = each
+    return index
 
 
 def of_tables(postings: DataFrame, docs: DataFrame) -> Bm25Index:
+    """Terms keep the bucket of their postings, if they lie in buckets."""
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    by = [c for c in ("bucket",) if c in postings.columns]
+    terms = postings.groupBy("term", *by).agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"), *by)
     return Bm25Index(postings, docs, terms, stats)
 
 
@@ -64,9 +110,10 @@ def query_terms(queries: DataFrame, id_col: str = "q_id", text_col: str = "text"
 def scores(index: Bm25Index, queries: DataFrame, k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
     """q_id, id, score > 0. A query's repeated terms count as often; only its own terms' postings are read."""
     asked = query_terms(queries)
+    postings, terms, few = index.asked(asked)
     # Queries of a bounded number of terms go to the index, not the index to them; a term has one row there.
-    sent = F.broadcast if is_small(asked) else lambda df: df
-    hits = index.postings.join(sent(index.terms.join(sent(asked), "term")), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    sent = F.broadcast if few else lambda df: df
+    hits = postings.join(sent(terms.select("term", "idf").join(sent(asked), "term")), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("score"))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
+from lodestone.session import small, stored
 
 KS = DEFAULT.ks
 
@@ -41,11 +45,60 @@ def summary(preds: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> Data
     )
 
 
+#: Bins of a group's histogram, and values that a bin may hold when they are sorted.
+BINS, SORTED = 1024, 1_000_000
+
+
+def percentiles(df: DataFrame, value: str, at: tuple[float, ...], *by: str) -> DataFrame:
+    """by, p0, p1, ...: interpolated percentiles of each group, exact, without a buffer of its values.
+
+    A histogram of equal bins between a group's least and greatest value tells which bins hold the wanted ranks; those that
+    hold more than SORTED values are cut into bins again, until they don't or all their values are equal. A pass exchanges
+    counts of bins; only the values of bins with wanted ranks are sorted. Nulls count for nothing; a group of nulls has nulls.
+    Values must be finite.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"))
+    ends = stored(rows.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")))
+    # lower and upper rank of each percentile, from 0, and the weight of the upper
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank"), w.alias("weight")) for i, p in enumerate(at) for r, w in ((F.floor(place(p)), 1 - (place(p) - F.floor(place(p)))), (F.ceil(place(p)), place(p) - F.floor(place(p))))])
+    null = [F.lit(None).cast("double").alias(f"p{i}") for i in range(len(at))]
+    wanted = (ends.where("_n > 0").select(*by, "_low", "_high", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"), F.explode(ranks).alias("r")).select(*by, "_low", "_high", "_below", "_in", "r.*"))
+    sent = small if by else F.broadcast  # bins are at most two for each percentile of a group
+    found = []
+    while True:
+        # a bin is settled where it is one value, or few
+        one = F.col("_low") == F.col("_high")
+        done = wanted.where(one).select(*by, "i", "weight", F.col("_low").alias("_x"))
+        few = wanted.where(~one & (F.col("_in") <= SORTED))
+        bins = few.select(*by, "_low", "_high", "_below").distinct()
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+        within = F.col("a._x").between(F.col("b._low"), F.col("b._high"))
+        join = lambda bins: rows.where("_x IS NOT NULL").alias("a").join(sent(bins).alias("b"), reduce(and_, [*same, within]))
+        order = Window.partitionBy(*by, "_low", "_high", "_below").orderBy("_x")
+        values = join(bins).select(*[F.col(f"b.{c}") for c in by], "b._low", "b._high", "b._below", "a._x").withColumn("rank", F.row_number().over(order) - 1 + F.col("_below"))
+        keyed = values.alias("v").join(few.alias("f"), reduce(and_, [*[F.col(f"v.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by], F.col("v._low") == F.col("f._low"), F.col("v.rank") == F.col("f.rank")]))
+        found += [done, keyed.select(*[F.col(f"f.{c}") for c in by], "f.i", "f.weight", "v._x")]
+        many = wanted.where(~one & (F.col("_in") > SORTED))
+        if many.isEmpty():
+            break
+        cut = join(many.select(*by, "_low", "_high", "_below").distinct()).select(*[F.col(f"b.{c}") for c in by], F.col("b._low").alias("_from"), F.col("b._high").alias("_to"), "b._below", "a._x")
+        cut = cut.withColumn("_bin", F.least(F.floor((F.col("_x") - F.col("_from")) / F.greatest((F.col("_to") - F.col("_from")) / BINS, F.lit(5e-324))), F.lit(BINS - 1)))
+        counts = cut.groupBy(*by, "_from", "_to", "_below", "_bin").agg(F.count("*").alias("_in"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        run = Window.partitionBy(*by, "_from", "_to", "_below").orderBy("_bin")
+        counts = counts.withColumn("_start", F.col("_below") + F.sum("_in").over(run) - F.col("_in"))
+        left = [*[F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by], F.col("m._low") == F.col("c._from"), F.col("m._high") == F.col("c._to"), F.col("m._below") == F.col("c._below"), F.col("m.rank") >= F.col("c._start"), F.col("m.rank") < F.col("c._start") + F.col("c._in")]
+        wanted = stored(many.alias("m").join(counts.alias("c"), reduce(and_, left)).select(*[F.col(f"m.{c}") for c in by], "c._low", "c._high", F.col("c._start").alias("_below"), "c._in", "m.i", "m.rank", "m.weight"))
+    sums = reduce(DataFrame.unionByName, found).groupBy(*by).agg(*[F.sum(F.when(F.col("i") == i, F.col("weight") * F.col("_x"))).alias(f"p{i}") for i in range(len(at))])
+    return sums.unionByName(ends.where("_n = 0").select(*by, *null))
+
+
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, population deviation, interpolated percentiles, least and most."""
-    at = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"), F.stddev_pop(value).alias("std_ms"), at.alias("p"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
-    return out.select(*by, "n", "mean_ms", "std_ms", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), F.col("p")[2].alias("p99_ms"), "min_ms", "max_ms")
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"), F.stddev_pop(value).alias("std_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    ranks = percentiles(df, value, (0.5, 0.95, 0.99), *by)
+    both = out.alias("o").join(ranks.alias("r"), reduce(and_, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])) if by else out.crossJoin(ranks)
+    return both.select(*[F.col(f"o.{c}") for c in by], "n", "mean_ms", "std_ms", F.col("p0").alias("p50_ms"), F.col("p1").alias("p95_ms"), F.col("p2").alias("p99_ms"), "min_ms", "max_ms")
 
 
 def throughput_by(df: DataFrame, value: str, *by: str) -> DataFrame:

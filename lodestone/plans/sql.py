@@ -209,3 +209,22 @@ COMPARISON = f"""WITH {lsh(16, 6)}, {VECTORS}, {_LABELS}, ex AS (SELECT q_id, id
 met AS (SELECT DISTINCT a.id AS q_id, b.id FROM sig a JOIN sig b USING (table_id, signature) WHERE a.id % 20 = 0), lh AS (SELECT q_id, id, cosine AS score FROM met JOIN sims USING (q_id, id)),
 pe AS (SELECT * FROM ({ranked('ex')}) WHERE rank <= 10), pl AS (SELECT * FROM ({ranked('lh')}) WHERE rank <= 10), {_measures('pe', 'gold', 'x_')}, {_measures('pl', 'gold', 'y_')}
 {_summaries('index', x='exact', y='lsh')}"""
+
+
+# Lists whose first centres are the vectors that hash lowest, after rounds over all vectors.
+def lists(k: str, rounds: int) -> str:
+    near = lambda c: f"""(SELECT id, min(far) AS far, arg_min(list, (far, list)) AS list FROM (SELECT vv.id, list, list_sum(list_transform(list_zip(vv.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS far FROM vv, {c} c) GROUP BY id)"""
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS list, v FROM vv QUALIFY row_number() OVER (ORDER BY md5(id || ':42'), id) <= {k})"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED {near(f'c{i}')}, m{i} AS (SELECT list, pos, avg(x) AS x FROM (SELECT list, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vv JOIN a{i} USING (id)) GROUP BY list, pos)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT list, coalesce(n.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT list, list(x ORDER BY pos) AS v FROM m{i} GROUP BY list) n USING (list))")
+    return f"{_VV}, {', '.join(steps)}, near AS MATERIALIZED {near(f'c{rounds}')}"
+
+
+def probed(tables: int, bits: int, flips: int) -> str:
+    """Every query's own signatures and those with one of the bits turned whose planes are nearest to it."""
+    head = lsh(tables, bits)
+    sides = f"sides AS (SELECT vec_id AS id, t, b, list_inner_product({V}, p) AS x FROM embeddings, planes WHERE vec_id % 20 = 0)"
+    turned = f"turned AS (SELECT id, t, b FROM sides QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY abs(x), b) <= {flips})"
+    probes = "probes AS (SELECT id, table_id, signature FROM sig WHERE id % 20 = 0 UNION ALL SELECT id, table_id, substr(signature, 1, CAST(b AS INTEGER)) || CASE WHEN signature[CAST(b AS INTEGER) + 1] = '1' THEN '0' ELSE '1' END || substr(signature, CAST(b AS INTEGER) + 2) FROM sig JOIN turned USING (id) WHERE t = table_id)"
+    return f"{head}, {sides}, {turned}, {probes}, met AS (SELECT DISTINCT p.id AS q_id, s.id FROM probes p JOIN sig s USING (table_id, signature))"
