@@ -6,6 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +50,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Folders of tables that are still there, by path, oldest first.
 _folders: dict[str, SparkSession] = {}
+#: Lists that take note of the folders which the present thread makes, outermost first.
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
+
+
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """The folders that the block makes in this thread, in order, so that whoever called for them can ``discard`` them.
+
+    What other threads store meanwhile is not among them. Blocks may lie within each other.
+    """
+    folders: list[str] = []
+    mark = _noted.set((*_noted.get(), folders))
+    try:
+        yield folders
+    finally:
+        _noted.reset(mark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +78,8 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     _folders[path] = spark
+    for folders in _noted.get():
+        folders.append(path)
     return path
 
 
