@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import discard, folders_since, importable, shared_folder, stored, table
+from lodestone.session import discard, folders_since, importable, made, shared_folder, stored, table
 
-__all__ = ["crc_bucket", "discard", "folders_since", "free_name", "give_back", "map_rows", "shared_folder", "stored", "table", "texts_of"]
+__all__ = ["crc_bucket", "discard", "folders_since", "free_name", "give_back", "made", "map_rows", "shared_folder", "stored", "table", "texts_of"]
 
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that the input doesn't have, in any case of its letters."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, folders_since, stored
+from lodestone.llm.common import discard, made, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,12 +29,14 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that can be reached, for every node of the links (a, b); empty links give no rows."""
-    now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    with made() as had:
+        now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while True:
-        had = folders_since()[-1]
-        now = stored(_small_star(_large_star(now)))
-        discard(had)
+        with made() as new_folders:
+            now = stored(_small_star(_large_star(now)))
+        discard(*had)
+        had = new_folders
         new = _mark(now)
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
