@@ -3,8 +3,9 @@
 The cost of a value is that of its cheapest segmentation, in bits: a dynamic program over its prefixes takes the least
 of words, dates, repeats, sequences and keyboard walks, and characters guessed one by one. A repeat, sequence or walk is
 a span of up to 64 characters from anywhere, or one of any length from where its run begins. A value behind a
-credential's name that the fixed forms don't cover as a whole is reported as ``guess`` when its cost reaches a threshold.
-Only plain words, that is letters alone in the case of a word, are left out, as prose behind a colon has them.
+credential's name, behind the name of a scheme, or between a user and a host, that the fixed forms don't cover as a whole is
+reported as ``guess`` when its cost reaches a threshold. Left out are words that can be spoken, as prose behind a colon has
+them, and sentences in quotes; any other value in quotes is taken whole.
 
 Words are guessed in order: those that people put into passwords, then a vocabulary's, which is a parameter; a word of
 rank r costs log2(r + 1) bits, another one in its place that differs in case or by usual signs for letters a bit more.
@@ -16,6 +17,7 @@ of characters. Repeated rows give repeated results; other columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable
 from math import log2
@@ -36,10 +38,16 @@ LONGEST_WORD, LONGEST_RUN = 20, 64
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|bearer|credentials?|api[-_]?key|(?:access|private|account)[-_]key)["']?\x20{0,8}(?::|=>?)\x20{0,8}["']?([^\s"'<>,;|]{8,})""",
-    re.IGNORECASE | re.ASCII,
-)
+#: A credential's name and what stands between it and its value, which may begin on the next line or behind a scheme's name.
+_NAME = r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[-_]?key|(?:access|private|account|signing|encryption)[-_]?key|(?<![a-z])(?:pass|key|auth(?:orization)?))"""
+_BETWEEN = r"""["']?\x20{0,8}(?::|=>?)[\x20\t]{0,8}(?:\r?\n[\x20\t]{0,8})?(?:(?:bearer|basic)\x20{1,8})?"""
+#: A value in quotes reaches to the matching quote, another one to white space, a quote or a sign that ends values.
+CONTEXT = re.compile(rf"""{_NAME}{_BETWEEN}(?:"((?:[^"\\\n]|\\.){{8,}})"|'((?:[^'\\\n]|\\.){{8,}})'|["']?([^\s"'<>,;|]{{8,}}))""", re.IGNORECASE | re.ASCII)
+#: A value behind the name of a scheme alone, and one between a user and a host.
+BEARER = re.compile(r"bearer\x20{1,8}([\w.~+/=-]{8,})", re.IGNORECASE | re.ASCII)
+LOGIN = re.compile(r"://[^\s:/@]{1,64}:([^\s/@]{4,})@", re.ASCII)
+#: Characters up to which a value of several words is one. Longer ones are sentences in quotes.
+PHRASE = 64
 
 #: Words that people put into passwords, the most usual ones first.
 WORDS = """password admin welcome login letmein dragon monkey master football baseball shadow sunshine princess superman batman
@@ -130,10 +138,18 @@ class Guesser:
 USUAL = Guesser()
 
 
-def _word(value: str) -> bool:
-    """Letters alone, all small, all capital or with a first capital. Signs beyond ASCII may stand between them."""
+def _prose(value: str) -> bool:
+    """A word as texts have it behind a colon, if no list has it: letters alone in the case of a word that can be spoken.
+
+    Signs beyond ASCII may stand between them. Of its Latin letters a quarter are vowels, at most six consonants stand
+    together, and few are of the rare ones, which drawn letters have in plenty.
+    """
     core = value.strip(".!?:)(*_]}")
-    return bool(core) and all(ch.isalpha() or not ch.isascii() and not ch.isnumeric() for ch in core) and core in (core.lower(), core.upper(), core.capitalize())
+    if not core or not all(ch.isalpha() or not ch.isascii() and not ch.isnumeric() for ch in core) or core not in (core.lower(), core.upper(), core.capitalize()):
+        return False
+    latin = [ch for ch in unicodedata.normalize("NFKD", core.lower()) if "a" <= ch <= "z"]
+    consonants = max(map(len, re.split("[aeiouy]", "".join(latin))))
+    return 4 * sum(ch in "aeiouy" for ch in latin) >= len(latin) and consonants <= 6 and sum(ch in "jkqvwxz" for ch in latin) <= max(1, len(latin) // 10)
 
 
 def _number(kind: int, value: str) -> bool:
@@ -152,6 +168,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _places(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, start of the value, end of the value) wherever a credential may stand, in order of the values."""
+    found = []
+    for hit in CONTEXT.finditer(text):
+        a, b = hit.span(hit.lastindex)
+        if b - a <= PHRASE or not any(map(str.isspace, text[a:b])):
+            found.append((hit.start(), hit.end(), a, b))
+    for form, sign in ((BEARER, "earer"), (LOGIN, "://")):
+        if sign in text or sign == "earer" and "EARER" in text:
+            found += [(hit.start(), hit.end(), *hit.span(1)) for hit in form.finditer(text)]
+    return sorted(found, key=lambda x: (x[2], -x[3], x[0]))
+
+
 def find(text: str | None, guesser: Guesser = USUAL) -> list[tuple[int, str, int, int, int, float]]:
     """(start, kind, end, start of the value, end of the value, bits), in order of start and then of kind."""
     text = text or ""
@@ -164,12 +193,13 @@ def find(text: str | None, guesser: Guesser = USUAL) -> list[tuple[int, str, int
     out += [(hit.start(), 2, hit.end(), hit.start(), hit.end()) for hit in HEX.finditer(text)]
     scored = [(s, k, e, a, b, guesser.bits(text[a:b])) for s, k, e, a, b in out]
     taken = _merged([(a, b) for _, k, _, a, b in out if not _number(k, text[a:b])])
-    for hit in CONTEXT.finditer(text):
-        a, b = hit.span(1)
-        at = bisect_left(taken, (a + 1,))
-        covered = at > 0 and taken[at - 1][1] >= b
-        if not covered and not _word(hit[1]) and (bits := guesser.bits(hit[1])) >= SECRET_BITS:
-            scored.append((hit.start(), 3, hit.end(), a, b, bits))
+    at = -1
+    for start, end, a, b in _places(text):
+        before = bisect_left(taken, (a + 1,))
+        covered = before > 0 and taken[before - 1][1] >= b
+        if a >= at and not covered and not _prose(text[a:b]) and (bits := guesser.bits(text[a:b])) >= SECRET_BITS:
+            scored.append((start, 3, end, a, b, bits))
+            at = b
     return [(s, KINDS[k], e, a, b, bits) for s, k, e, a, b, bits in sorted(scored)]
 
 
