@@ -12,7 +12,8 @@ it is cut. Transitions by the most frequent letters are dense tables, those by a
 hash table.
 
 The learning sample is whole documents, picked by a hash of id and text, as many as its documented bounds let in; a
-language whose documents are all longer than the bound has its shortest one.
+language whose documents are all longer than the bound has its shortest one, and no more of it than ALONE times the bound.
+Beyond LANGUAGES labels the most frequent ones are learnt. So the sample has ALONE * ALL_CHARS characters at the very most.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from. Ties
 go to the first language by name. Repeated rows give repeated results; other columns are not read.
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_bucket, map_rows
 
-#: Bounds of the learning sample, in whole documents: characters a language, characters in all, documents a language.
-LANGUAGE_CHARS, ALL_CHARS, LANGUAGE_DOCS = 24_000, 480_000, 160
+#: Bounds of the learning sample: characters a language, characters in all, documents a language, languages.
+LANGUAGE_CHARS, ALL_CHARS, LANGUAGE_DOCS, LANGUAGES = 24_000, 480_000, 160, 400
+#: Times its characters that a language's only document may have.
+ALONE = 5
 #: Learning texts that are shorter count as so long, as phrases of a few words say nothing.
 LEAST_LENGTH = 1024
 #: Letters with a column of the dense tables; the others' transitions are hashed.
@@ -290,11 +293,12 @@ class Predictor:
 
 
 def learning_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> dict[str, str]:
-    """A bounded sample of labelled documents outside the held-out fold: whole ones, in order of a hash, as long as they fit."""
+    """A bounded sample of labelled documents outside the held-out fold: whole ones, in order of a hash, as long as they fit. A language without any has its shortest, up to a bound."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("id"), folds) != 0))
     rows = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
-    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: max(1, r["n"]) for r in counted.collect()}
     if not counts:
         return {}
     docs, chars = max(1, min(LANGUAGE_DOCS, 16 * LANGUAGE_DOCS // len(counts))), max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
@@ -312,7 +316,8 @@ def learning_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 picked.append(key)
                 room -= size
         chosen |= dict.fromkeys(picked or [min(found, key=lambda x: (x[1], x[0]))[0]])
-    texts = rows.where(F.col("key").isin(list(chosen))).groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key")
+    own = rows.where(F.col("key").isin(list(chosen)) & F.col("lang").isin(list(counts))).select("lang", "key", F.substring("text", 1, ALONE * chars).alias("text"))
+    texts = own.groupBy("lang", "key").agg(F.min("text").alias("text")).orderBy("lang", "key")
     samples: dict[str, list[str]] = {}
     for r in texts.toLocalIterator():
         samples.setdefault(r["lang"], []).append(r["text"])

@@ -142,3 +142,14 @@ def test_missing_labels_are_filled(spark):
     docs = put(spark, rows)
     kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(docs, langid.learn(docs)).collect()}
     assert kept == {i: lang for i, _, lang in rows[:60]} | {100: "de", 101: "en", 102: "xx"}
+
+
+def test_the_learning_sample_is_bounded(spark, monkeypatch):
+    """Neither many labels nor long documents make it larger than its bounds."""
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    monkeypatch.setattr(langid, "LANGUAGE_CHARS", 200)
+    monkeypatch.setattr(langid, "ALL_CHARS", 1000)
+    rows = [(i, f"word{i} " * 400 if i % 2 else f"some {i}", f"junk{i}") for i in range(200)] + [(1000 + i, "the cat " * 500, "en") for i in range(30)] + [(2000 + i, f"le chat {i}", "fr") for i in range(20)]
+    sample = langid.learning_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(sample) == 5 and {"en", "fr"} <= set(sample) and max(map(len, sample.values())) <= 1000
+    assert sample["en"] == ("the cat " * 125) and "le chat" in sample["fr"]
