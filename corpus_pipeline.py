@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import stages
-from lodestone.llm.common import discard, folders_since, stored, table
+from lodestone.llm.common import discard, made, stored, table
 
 STAGES = [
     ("language ID", stages.identify),
@@ -19,9 +19,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        had = len(folders_since())
-        docs = stored(stage(spark, docs, sf_dir))
-        discard(*folders_since(had)[:-1])  # what the stage kept on the way to its rows
+        with made() as folders:
+            docs = stored(stage(spark, docs, sf_dir))
+        discard(*folders[:-1], *before)  # what the stage kept on the way to its rows, and what it has read
+        before = folders[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
