@@ -47,8 +47,9 @@ class VectorIndex:
             normals = lsh.planes(width, **parameters)
             tables, arrays = {"buckets": lsh.signatures(have, normals)}, {"normals": normals}
         elif kind == "forest":
-            model = forest.Forest.fit(have, parameters.get("trees") or trees_for(n), parameters.get("leaf", 40))
-            tables, arrays, told = {"leaves": model.leaves(have)}, model.arrays(), {"trees": len(model.trees)}
+            leaf = parameters.get("leaf", 40)
+            model, leaves = forest.Forest.fit(have, parameters.get("trees") or trees_for(n), leaf).split(have, 4 * leaf)
+            tables, arrays, told = model.tables(leaves), model.arrays(), {"trees": len(model.trees), "rounds": model.rounds}
         elif kind == "graph":
             tables = {"nodes": graph.build(have, **parameters)}
         base.save(tables, path, arrays, spark=spark, kind=kind, width=width, n=n, **told)
@@ -71,6 +72,9 @@ class VectorIndex:
         base.tell(self.spark, self.path, told)
         return VectorIndex(self.spark, self.path)
 
+    def _forest(self) -> forest.Forest:
+        return forest.Forest.of_arrays(self.arrays, self.manifest["trees"], self.tables.get("subtrees"), self.manifest["rounds"])
+
     def _rows(self, vectors: DataFrame) -> dict[str, DataFrame]:
         """What the tables of an index hold for vectors, by the model that it has."""
         if self.kind == "ivfpq":
@@ -78,7 +82,7 @@ class VectorIndex:
         if self.kind == "lsh":
             return {"buckets": lsh.signatures(vectors, self.arrays["normals"])}
         if self.kind == "forest":
-            return {"leaves": forest.Forest.of_arrays(self.arrays, self.manifest["trees"]).leaves(vectors)}
+            return {"leaves": self._forest().leaves(vectors)}
         return {}
 
     def compact(self, **parameters) -> VectorIndex:
@@ -108,7 +112,7 @@ class VectorIndex:
         if self.kind == "lsh":
             return lsh.search(asked, have, self.tables["buckets"], self.arrays["normals"], k, **parameters)
         if self.kind == "forest":
-            return forest.Forest.of_arrays(self.arrays, self.manifest["trees"]).search(asked, have, self.tables["leaves"], k, **parameters)
+            return self._forest().search(asked, have, self.tables["leaves"], k, **parameters)
         return graph.search(asked, self.tables["nodes"], k, **parameters)
 
 

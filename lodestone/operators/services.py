@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
@@ -17,7 +19,7 @@ from lodestone.config import DEFAULT, Config
 from lodestone.functions.images import black_png, is_image
 from lodestone.functions.text import has_chinese, without_label
 from lodestone.operators.context import SYSTEM, judgement
-from lodestone.session import importable
+from lodestone.session import importable, stored
 
 
 class Embedder(Protocol):
@@ -90,15 +92,22 @@ def encoder(config: Config = DEFAULT) -> HashingEmbedder:
 
 
 class HttpGenerator:
-    """A chat endpoint of the usual form. A failure is a status of its own with its reason, never an answer."""
+    """A chat endpoint of the usual form. A failure is a status of its own with its reason, never an answer.
 
-    def __init__(self, url: str, model: str, system: str = SYSTEM, timeout: float = 60.0, attempts: int = 2, max_tokens: int = 512, temperature: float = 0.7):
+    The key is sent with every call; where it isn't given, each process takes it from LLM_API_KEY in its own environment, so
+    that it travels in no plan. ``budget`` is how many seconds a batch of prompts may take: what is left then isn't asked.
+    """
+
+    def __init__(self, url: str, model: str, system: str = SYSTEM, timeout: float = 60.0, attempts: int = 2, max_tokens: int = 512, temperature: float = 0.7, key: str | None = None, budget: float = 3600.0):
         self.url, self.model, self.system = url.rstrip("/"), model, system
+        self.key, self.budget = key, budget
         self.timeout, self.attempts, self.max_tokens, self.temperature = timeout, attempts, max_tokens, temperature
 
     def _call(self, path: str, body: dict | None = None) -> dict:
         data = None if body is None else json.dumps(body).encode()
-        request = urllib.request.Request(f"{self.url}/{path}", data, {"Content-Type": "application/json"})  # noqa: S310
+        key = self.key or os.environ.get("LLM_API_KEY", "")
+        headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+        request = urllib.request.Request(f"{self.url}/{path}", data, headers)  # noqa: S310
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:  # noqa: S310
             return json.load(reply)
 
@@ -110,7 +119,10 @@ class HttpGenerator:
             return False
 
     def generate(self, prompts: list[str]) -> list[tuple[str, str]]:
-        return [self._one(p) for p in prompts]
+        until, out = time.monotonic() + self.budget, []
+        for prompt in prompts:
+            out.append(self._one(prompt) if time.monotonic() < until else ("error", "out of time"))
+        return out
 
     def _one(self, prompt: str) -> tuple[str, str]:
         messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
@@ -201,13 +213,43 @@ def graded(answers: DataFrame, judge: Judge, batch: int = 16) -> DataFrame:
 
 def answered(prompts: DataFrame, generator: TextGenerator, batch: int = 16) -> DataFrame:
     """q_id, status, answer for prompts (q_id, prompt)."""
+    return _said(prompts.select(F.col("q_id").cast("long").alias("q_id"), "prompt"), generator, batch)
+
+
+def _said(prompts: DataFrame, generator: TextGenerator, batch: int) -> DataFrame:
+    """The first column with status and answer, for rows of a key and a prompt."""
     importable(prompts.sparkSession)
+    key = prompts.schema[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 said = generator.generate([p or "" for p in part["prompt"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part["q_id"], pa.array([s for s, _ in said]), pa.array([a for _, a in said])], ["q_id", "status", "answer"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in said], pa.string()), pa.array([a for _, a in said], pa.string())], [key.name, "status", "answer"])
+
+    return prompts.mapInArrow(run, f"{key.name} {key.dataType.simpleString()}, status string, answer string")
+
+
+#: Prompts whose replies are written at once.
+CHUNK = 10_000
+REPLIES = "prompt_sha256 string, status string, answer string"
+
+
+def answered_once(prompts: DataFrame, generator: TextGenerator, path: str, batch: int = 16) -> DataFrame:
+    """q_id, status, answer as of ``answered``, from a table of replies at ``path`` that outlives the session.
 
-    return prompts.select(F.col("q_id").cast("long").alias("q_id"), "prompt").mapInArrow(run, "q_id bigint, status string, answer string")
+    Equal prompts are asked once. Replies are written in chunks by a hash of the prompt, so a job that breaks off, or is run
+    again, asks only what no chunk has yet. Failures are written too and asked again by the next call.
+    """
+    spark = prompts.sparkSession
+    spark.createDataFrame([], REPLIES).write.mode("ignore").parquet(path)
+    keyed = prompts.select("q_id", F.coalesce("prompt", F.lit("")).alias("prompt")).withColumn("prompt_sha256", F.sha2("prompt", 256))
+    known = spark.read.schema(REPLIES).parquet(path).where("status <> 'error'").select("prompt_sha256")
+    left = stored(keyed.select("prompt_sha256", "prompt").dropDuplicates(["prompt_sha256"]).join(known, "prompt_sha256", "left_anti"))
+    chunks = -(-left.count() // CHUNK)
+    for i in range(chunks):
+        _said(left.where(F.pmod(F.xxhash64("prompt_sha256"), F.lit(chunks)) == i), generator, batch).write.mode("append").parquet(path)
+    best = F.max_by(F.struct("status", "answer"), F.col("status") != "error").alias("reply")
+    replies = spark.read.schema(REPLIES).parquet(path).groupBy("prompt_sha256").agg(best)
+    return keyed.join(replies, "prompt_sha256").select("q_id", "reply.status", "reply.answer")

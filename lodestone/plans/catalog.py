@@ -425,7 +425,7 @@ def scale_recall(spark, d):
     from lodestone.plans import experiments
 
     gold, have = _label_gold(spark, d), _vectors(spark, d)
-    rows = experiments.scale(_vector_queries(spark, d), have, gold, (100, 250, 500), 10)
+    rows = experiments.scale(_vector_queries(spark, d), have, gold, experiments.sizes_of(have, (100, 250, 500)), 10)
     return rows.select(*_long("size"), "n_queries", *_places(6, "recall_10", "mrr"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.config import lists_for
-from lodestone.operators.ann import graph, kmeans, lsh
+from lodestone.operators.ann import forest, graph, kmeans, lsh
 from lodestone.operators.ann.index import VectorIndex
 from lodestone.plans import catalog as C
 from lodestone.plans import sql as S
@@ -67,3 +67,13 @@ def lsh_probe_candidates(spark, d):
 def lsh_probe_topk(spark, d):
     have, normals, buckets = _probing(spark, d)
     return lsh.search(C._vector_queries(spark, d), have, buckets, normals, 10, flips=_FLIPS).select("q_id", "id", *_places(6, "score"), *_long("rank"))
+
+
+@query("SELECT count(*) * 4 AS n_rows, count(*) AS n_ids, true AS bounded FROM embeddings")
+def forest_leaf_sizes(spark, d):
+    """Trees whose tops are grown for leaves of half the table, split until no leaf has more than 20: every vector once in each tree."""
+    have = C._vectors(spark, d)
+    _, leaves = forest.Forest.fit(have, 4, max(2, have.count() // 2)).split(have, 20)
+    sizes = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+    facts = leaves.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    return facts.crossJoin(sizes.agg((F.max("n") <= 20).alias("bounded")))

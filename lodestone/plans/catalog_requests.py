@@ -15,7 +15,7 @@ from lodestone.plans import catalog as C
 from lodestone.plans import experiments, requests
 from lodestone.plans import sql as S
 from lodestone.plans.catalog import _long, _places, query
-from lodestone.session import table
+from lodestone.session import shared_folder, table
 
 
 # Sparse search whose rows are filled up, alone and as one side of a fusion.
@@ -107,10 +107,27 @@ def e4_directions(spark, d):
 @query()
 def e6_scale(spark, d):
     kinds = {"ivfpq": {}, "graph": {}, "forest": {"trees": 20}}
-    found = experiments.scale(C._vector_queries(spark, d), C._vectors(spark, d), C._label_gold(spark, d), (250, 500), 10, kinds)
+    have = C._vectors(spark, d)
+    found = experiments.scale(C._vector_queries(spark, d), have, C._label_gold(spark, d), experiments.sizes_of(have, (250, 500)), 10, kinds)
     return _summary(found, *_long("size"), "index")
 
 
+@query("SELECT item_id AS q_id, 'ok' AS status, 'Best match: [' || length(text) || ']' AS answer FROM benchmark")
+def answers_kept(spark, d):
+    """Asked twice, once with a generator that fails whatever it is asked: replies that are kept aren't asked for again."""
+    path = shared_folder(spark)
+    prompts = C._asked(spark, d).select("q_id", F.concat(F.lit("["), F.length("text").cast("string"), F.lit("]")).alias("prompt"))
+    services.answered_once(prompts, services.TemplateGenerator(), path).count()
+    return services.answered_once(prompts, Failing(), path)
+
+
+class Failing:
+    """A generator whose endpoint is gone."""
+
+    def generate(self, prompts: list[str]) -> list[tuple[str, str]]:
+        return [("error", "gone")] * len(prompts)
+
+
 @query("SELECT event_type, count(value) AS n, round(count(value) / (sum(value) / 1000), 6) AS qps FROM events GROUP BY event_type")
 def throughput(spark, d):
     """Of calls one after the other, from their milliseconds."""

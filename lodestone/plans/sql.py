@@ -134,8 +134,11 @@ round(quantile_cont(value, 0.99), 6) AS p99_ms, round(min(value), 6) AS min_ms,
 
 
 def scale_recall(sizes: tuple[int, ...]) -> str:
-    parts = [f"s{n} AS (SELECT q_id, id, cosine AS score FROM sims WHERE id < {n}), g{n} AS (SELECT * FROM gold WHERE id < {n}), p{n} AS (SELECT * FROM ({ranked(f's{n}')}) WHERE rank <= 10), {_measures(f'p{n}', f'g{n}', f'm{n}_')}" for n in sizes]
-    rows = " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS size, n_queries, round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr FROM m{n}_summary" for n in sizes)
+    """Each size below the table's, and the table's own, which is one more than its greatest id."""
+    whole = "(SELECT max(id) + 1 FROM vv)"
+    named = {**{f"{n}": f"{n}" for n in sizes}, "all": whole}
+    parts = [f"s{i} AS (SELECT q_id, id, cosine AS score FROM sims WHERE id < {n}), g{i} AS (SELECT * FROM gold WHERE id < {n}), p{i} AS (SELECT * FROM ({ranked(f's{i}')}) WHERE rank <= 10), {_measures(f'p{i}', f'g{i}', f'm{i}_')}" for i, n in named.items()]
+    rows = " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS size, n_queries, round(recall_10, 6) AS recall_10, round(mrr, 6) AS mrr FROM m{i}_summary WHERE {n} < {whole} OR {n == whole}" for i, n in named.items())
     return f"WITH {VECTORS}, {_LABELS}, {', '.join(parts)} {rows}"
 
 

@@ -105,3 +105,25 @@ def test_maps_keep_neighbours(spark, method, monkeypatch):
     np.fill_diagonal(far, np.inf)
     near = np.argsort(far, axis=1)[:, :5]
     assert (group[near] == group[:, None]).mean() > 0.9
+
+
+def test_leaves_follow_the_table(spark, data, monkeypatch, tmp_path):
+    """Tops of three leaves, grown on few vectors, are split until leaves are small; a stored forest finds as much, also with parts."""
+    vectors, queries, exact = data
+    monkeypatch.setattr(base, "SAMPLE", 60)
+    monkeypatch.setattr(forest, "DRAWN", 150)
+    monkeypatch.setattr(forest, "PART", 50)
+    top = forest.Forest.fit(vectors, 20, 30)
+    model, leaves = top.split(vectors, 60)
+    sizes = [r["count"] for r in leaves.groupBy("tree", "leaf").count().collect()]
+    assert sum(sizes) == 900 * 20 and max(sizes) <= 60 and model.rounds >= 1
+    assert {tuple(r) for r in model.leaves(vectors).collect()} == {tuple(r) for r in leaves.select("id", "tree", "leaf").collect()}
+    model.save(str(tmp_path), leaves)
+    again, kept = forest.Forest.load(spark, str(tmp_path))
+    assert recall(again.search(queries, vectors, kept, 10), exact) >= 0.9
+
+
+def test_equal_vectors_stay_together(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i >= 90)]) for i in range(100)], "id bigint, embedding array<float>")
+    model, leaves = forest.Forest.fit(vectors, 2, 10).split(vectors, 20)
+    assert leaves.count() == 200 and max(r["count"] for r in leaves.groupBy("tree", "leaf").count().collect()) >= 90

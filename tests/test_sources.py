@@ -1,6 +1,7 @@
 """Files, pictures, clients, charts, the page, and indexes that another session reads."""
 
 import hashlib
+import io
 import json
 import subprocess
 import sys
@@ -105,6 +106,8 @@ def test_generator_client():
         assert got[:2] == [("ok", "said hello"), ("empty", "")] and [s for s, _ in got[2:]] == ["error", "error"] and "500" in got[2][1]
     finally:
         running.shutdown()
+    late = services.HttpGenerator("http://127.0.0.1:1", "m", timeout=1, attempts=1, budget=0.0)
+    assert late.generate(["x", "y"]) == [("error", "out of time")] * 2
     gone = services.HttpGenerator("http://127.0.0.1:1", "m", timeout=1, attempts=1)
     assert not gone.connected() and gone.generate(["x"])[0][0] == "error"
     assert isinstance(services.generator(Config(generator_url="")), services.TemplateGenerator)
@@ -265,3 +268,48 @@ def test_storage_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Cluster)
+
+
+def test_key_is_sent(monkeypatch):
+    """With every call: the one that is given, else the process's own."""
+    seen = []
+
+    class Reply(io.BytesIO):
+        pass
+
+    def opened(request, timeout):
+        seen.append(request.get_header("Authorization"))
+        return Reply(b'{"choices": [{"message": {"content": "yes"}}]}')
+
+    monkeypatch.setattr(services.urllib.request, "urlopen", opened)
+    monkeypatch.delenv("LLM_API_KEY", raising=False)
+    assert services.HttpGenerator("http://x", "m").generate(["a"]) == [("ok", "yes")]
+    services.HttpGenerator("http://x", "m", key="mine").generate(["a"])
+    monkeypatch.setenv("LLM_API_KEY", "own")
+    services.HttpGenerator("http://x", "m").generate(["a"])
+    assert seen == [None, "Bearer mine", "Bearer own"]
+
+
+def test_replies_are_kept(spark, tmp_path, monkeypatch):
+    class Noting:
+        """Answers with the prompt's length and leaves a file for each call; prompts with an x fail where the path says so."""
+
+        def __init__(self, path, fails=False):
+            self.path, self.fails = str(path), fails
+
+        def generate(self, prompts):
+            for p in prompts:
+                with open(f"{self.path}/calls", "a") as f:
+                    f.write(f"{p}\n")
+            return [("error", "no") if self.fails and "x" in p else ("ok", str(len(p))) for p in prompts]
+
+    monkeypatch.setattr(services, "CHUNK", 3)
+    rows = [(i, ["a", "bb", "x1", "x22", None, "ccc", "dddd", "a"][i]) for i in range(8)]
+    prompts, table = spark.createDataFrame(rows, "q_id bigint, prompt string"), str(tmp_path / "replies")
+    calls = lambda: sorted((tmp_path / "calls").read_text().splitlines())
+    first = {r["q_id"]: (r["status"], r["answer"]) for r in services.answered_once(prompts, Noting(tmp_path, True), table).collect()}
+    assert first == {i: ("error", "no") if "x" in (p or "") else ("ok", str(len(p or ""))) for i, p in rows}
+    assert calls() == sorted({p or "" for _, p in rows})
+    (tmp_path / "calls").unlink()
+    second = {r["q_id"]: (r["status"], r["answer"]) for r in services.answered_once(prompts, Noting(tmp_path), table).collect()}
+    assert second == {i: ("ok", str(len(p or ""))) for i, p in rows} and calls() == ["x1", "x22"]
