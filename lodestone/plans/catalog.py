@@ -144,8 +144,15 @@ def _kept(spark, d, name: str, source: str, write: Callable[[str], None]) -> str
     return _built[key]
 
 
+#: The BM25 indexes of the session that were read again, by folder.
+_read: dict[str, bm25.Bm25Index] = {}
+
+
 def _index(spark, d) -> bm25.Bm25Index:
-    return bm25.Bm25Index.load(spark, _kept(spark, d, "bm25", "documents", lambda path: bm25.build(_documents(spark, d)).save(path)))
+    path = _kept(spark, d, "bm25", "documents", lambda path: bm25.build(_documents(spark, d)).save(path))
+    if path not in _read:
+        _read[path] = bm25.Bm25Index.load(spark, path)
+    return _read[path]
 
 
 def _asked(spark, d) -> DataFrame:

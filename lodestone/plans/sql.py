@@ -46,7 +46,7 @@ _COSINE = "list_inner_product(a.v, b.v) / ((a.n + 1e-10) * (b.n + 1e-10))"
 VECTORS = f"""{_VV}, sims AS (SELECT a.id AS q_id, b.id, {_COSINE} AS cosine, list_inner_product(a.v, b.v) AS dot, -list_distance(a.v, b.v) AS euclidean,
 -list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(a.v[i] - b.v[i]))) AS manhattan FROM vv a, vv b WHERE a.id % 20 = 0)"""
 
-# Filters, routing. Queries made for the parser and the router, with the numbers that the Spark side gives them.
+# Filters, routing. Queries whose parses and classes are known, with the numbers that the Spark side gives them.
 SPOKEN = [
     "a peaceful sunset over the ocean", "outdoor photos from 2023", "outdoor photos of golden retrievers from 2023", "indoor image in 2024 without people",
     "a photo before 1999", "室内 照片", "the last picture of a street in the city not the beach", "from twenty", "within 2021 outdoor indoor", "no",
