@@ -56,7 +56,7 @@ class SameText:
 class HashingEmbedder:
     """Feature hashing of words, unit length: deterministic, needs no model. An empty text is the zero vector."""
 
-    def __init__(self, dim: int = 64, max_tokens: int = 77):
+    def __init__(self, dim: int = 64, max_tokens: int | None = 77):
         self.dim, self.max_tokens = dim, max_tokens
 
     def encode_texts(self, texts: list[str | None]) -> np.ndarray:

@@ -37,7 +37,7 @@ def oracle_of(name: str) -> str:
 
 def _all() -> None:
     """The other modules' queries register when they are imported."""
-    from lodestone.plans import catalog_indexes, catalog_requests, catalog_sources  # noqa: F401
+    from lodestone.plans import catalog_indexes, catalog_learned, catalog_requests, catalog_sources  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -231,3 +231,20 @@ def probed(tables: int, bits: int, flips: int) -> str:
     turned = f"turned AS (SELECT id, t, b FROM sides QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY abs(x), b) <= {flips})"
     probes = "probes AS (SELECT id, table_id, signature FROM sig WHERE id % 20 = 0 UNION ALL SELECT id, table_id, substr(signature, 1, CAST(b AS INTEGER)) || CASE WHEN signature[CAST(b AS INTEGER) + 1] = '1' THEN '0' ELSE '1' END || substr(signature, CAST(b AS INTEGER) + 2) FROM sig JOIN turned USING (id) WHERE t = table_id)"
     return f"{head}, {sides}, {turned}, {probes}, met AS (SELECT DISTINCT p.id AS q_id, s.id FROM probes p JOIN sig s USING (table_id, signature))"
+
+
+def vocabulary(most: int, least: int) -> str:
+    return f"{TOKENS}, voc AS (SELECT term, count(*) AS n FROM tok GROUP BY term HAVING count(*) >= {least} ORDER BY n DESC, term LIMIT {most})"
+
+
+def company(most: int, least: int, window: int) -> str:
+    """Pairs of known words at most so many words apart, and the logarithm of how much oftener they meet than by chance, if it is above 0."""
+    lines = r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS words FROM documents"
+    return f"""{vocabulary(most, least)}, lines AS ({lines}),
+line AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM lines),
+known AS (SELECT doc_id, term, pos FROM line JOIN voc USING (term)),
+steps AS (SELECT unnest(range(-{window}, {window} + 1)) AS step),
+pair AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM (SELECT *, pos + step AS other FROM known, steps WHERE step <> 0) x JOIN known y ON y.doc_id = x.doc_id AND y.pos = x.other GROUP BY x.term, y.term),
+side AS (SELECT a, sum(n) AS all_n FROM pair GROUP BY a), total AS (SELECT sum(n) AS t FROM pair),
+cell AS (SELECT pair.a, pair.b, n, CASE WHEN CAST(n AS DOUBLE) * t > CAST(s.all_n AS DOUBLE) * r.all_n THEN ln(CAST(n AS DOUBLE) * t / (CAST(s.all_n AS DOUBLE) * r.all_n)) END AS value
+FROM pair JOIN side s ON s.a = pair.a JOIN side r ON r.a = pair.b, total)"""
