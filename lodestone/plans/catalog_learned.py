@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import learned, services
+from lodestone.operators import learned, neighbours, services
+from lodestone.operators import reduce as reduction
 from lodestone.plans import catalog as C
 from lodestone.plans import experiments
 from lodestone.plans import sql as S
@@ -39,3 +43,34 @@ def encoder_recall(spark, d):
     gold = C.stored(experiments.verbatim_gold(texts, asked))
     encoders = {"hashing": services.HashingEmbedder(max_tokens=None), "weighted": learned.CorpusEmbedder.fit(texts, company=False), "learnt": learned.CorpusEmbedder.fit(texts)}
     return experiments.encoder_comparison(texts, asked, gold, encoders).select("encoder", "n_queries", *_places(6, "recall_1", "recall_10", "mrr"))
+
+
+# Maps of neighbours.
+
+_BESIDE = 10
+
+
+@query(f"""WITH {S.trusted(_BESIDE)} SELECT q_id, CAST(sum(greatest(rank - {_BESIDE}, 0)) AS BIGINT) AS penalty FROM ranked GROUP BY q_id""")
+def map_penalties(spark, d):
+    """The first two components as a map, which anyone can draw: by how many ranks its neighbours are too far off."""
+    have = C._vectors(spark, d)
+    return neighbours.trust(have, have.select("id", F.slice("embedding", 1, 2).cast("array<double>").alias("embedding")), C._vector_queries(spark, d).select("q_id"), _BESIDE)
+
+
+@query()
+def neighbour_graph(spark, d):
+    return neighbours.graph(C._vectors(spark, d), _BESIDE)
+
+
+@query()
+def map_trust(spark, d):
+    """Trust in maps of two dimensions: the first components, principal components, neighbours of a sample, and of all vectors."""
+    have = C.stored(C._vectors(spark, d).select("id", "embedding"))
+    asked = C._vector_queries(spark, d).select("q_id")
+    maps = {
+        "components": have.select("id", F.slice("embedding", 1, 2).alias("embedding")),
+        **{m: reduction.fitted(have, 2, m).transform(have) for m in reduction.METHODS},
+        "drawn": neighbours.drawn_map(have),
+    }
+    rows = [neighbours.trustworthiness(have, places.select("id", F.col("embedding").cast("array<double>").alias("embedding")), asked, _BESIDE).select(F.lit(m).alias("map"), "n_queries", *_places(6, "trust")) for m, places in maps.items()]
+    return functools.reduce(DataFrame.unionByName, rows)

@@ -248,3 +248,11 @@ pair AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM (SELECT *, pos + st
 side AS (SELECT a, sum(n) AS all_n FROM pair GROUP BY a), total AS (SELECT sum(n) AS t FROM pair),
 cell AS (SELECT pair.a, pair.b, n, CASE WHEN CAST(n AS DOUBLE) * t > CAST(s.all_n AS DOUBLE) * r.all_n THEN ln(CAST(n AS DOUBLE) * t / (CAST(s.all_n AS DOUBLE) * r.all_n)) END AS value
 FROM pair JOIN side s ON s.a = pair.a JOIN side r ON r.a = pair.b, total)"""
+
+
+def trusted(k: int) -> str:
+    """ranked: the rank among all vectors of each query's k nearest by the first two components."""
+    return f"""{VECTORS}, flat AS (SELECT q_id, s.id, round(-euclidean, 9) AS far, -sqrt((a.v[1] - b.v[1]) ** 2 + (a.v[2] - b.v[2]) ** 2) AS score
+FROM sims s JOIN vv a ON a.id = s.q_id JOIN vv b ON b.id = s.id WHERE s.id <> s.q_id),
+near AS (SELECT * FROM ({ranked('flat')}) WHERE rank <= {k}),
+ranked AS (SELECT near.q_id, near.id, 1 + count(flat.id) AS rank FROM near LEFT JOIN flat ON flat.q_id = near.q_id AND flat.far < near.far GROUP BY near.q_id, near.id)"""
