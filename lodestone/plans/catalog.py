@@ -14,7 +14,7 @@ from lodestone.operators import reduce as reduction
 from lodestone.operators.ann import forest, graph, ivf, lsh
 from lodestone.operators.retrieve import Retriever
 from lodestone.plans import sql as S
-from lodestone.session import shared_folder, spread, stored, table
+from lodestone.session import discard, shared_folder, spread, stored, table
 from lodestone.sources import captions, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,13 +134,21 @@ _built: dict[tuple, str] = {}
 
 
 def _kept(spark, d, name: str, source: str, write: Callable[[str], None]) -> str:
-    """The folder of an index, which is built once in a session for each state of its table."""
-    state = table(spark, d, source).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("t"))
-    key = (spark.sparkContext.applicationId, d, name, *state.agg(F.max("t"), F.count("*"), F.max("path")).first())
+    """The folder of an index, which is built once in a session for each state of its table: all paths, sizes, times and rows."""
+    part = lambda c: F.col(f"_metadata.file_{c}").alias(c)
+    files = table(spark, d, source).select(part("path"), part("size"), part("modification_time")).groupBy("path", "size", "modification_time").agg(F.count("*").alias("n"))
+    state = files.agg(F.bit_xor(F.xxhash64("path", "size", "modification_time", "n")), F.count("*"), F.sum("n")).first()
+    index = (spark.sparkContext.applicationId, d, name)
+    key = (*index, *state)
     if key not in _built:
         path = shared_folder(spark)
         write(path)
         _built[key] = path
+        # Of an index one older state stays, as what was asked of it may still be read.
+        for old in [k for k in _built if k[:3] == index][:-2]:
+            gone = _built.pop(old)
+            _read.pop(gone, None)
+            discard(gone)
     return _built[key]
 
 

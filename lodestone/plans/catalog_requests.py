@@ -49,13 +49,13 @@ def lsh_index_topk(spark, d):
     return _found(VectorIndex.build(C._vectors(spark, d), "lsh", tables=C._TABLES, bits=C._BITS).search(C._vector_queries(spark, d), 10))
 
 
-@query("SELECT unnest(['forest', 'graph', 'ivfpq']) AS kind, true AS enough")
+@query()
 def index_recall(spark, d):
-    """Whether each index, read again, finds 0.9 of the exact ten nearest at least."""
+    """What share of the exact ten nearest each index, read again, finds; no SQL can tell, so tests hold it at 0.9."""
     have, asked = C._vectors(spark, d), C._vector_queries(spark, d)
     exact = dense.exact_topk(asked, have, 10)
-    found = [(kind, self_recall(VectorIndex.build(have, kind, **p), asked, exact) >= 0.9) for kind, p in (("ivfpq", {}), ("forest", {"trees": 40, "leaf": 60}), ("graph", {}))]
-    return spark.createDataFrame(found, "kind string, enough boolean")
+    found = [(kind, round(float(self_recall(VectorIndex.build(have, kind, **p), asked, exact)), 6)) for kind, p in (("ivfpq", {}), ("forest", {"trees": 40, "leaf": 60}), ("graph", {}))]
+    return spark.createDataFrame(found, "kind string, recall double")
 
 
 @query("SELECT count(*) AS n, round(count(*) * 64 * 4 / 1048576.0::DOUBLE, 6) AS mb FROM embeddings")
@@ -92,7 +92,7 @@ def e1_comparison(spark, d):
 
 @query()
 def e2_reduction(spark, d):
-    return _summary(experiments.reduction_comparison(C._vector_queries(spark, d), C._vectors(spark, d), C._label_gold(spark, d), (8, 16, 32), methods=("pca", "umap")), "method", "dim", "explained")
+    return _summary(experiments.reduction_comparison(C._vector_queries(spark, d), C._vectors(spark, d), C._label_gold(spark, d), (8, 16, 32), methods=("pca", "umap", "tsne")), "method", "dim", "explained", *_places(3, "fit_s", "search_s"))
 
 
 @query(S.DIRECTIONS)
@@ -109,7 +109,7 @@ def e6_scale(spark, d):
     kinds = {"ivfpq": {}, "graph": {}, "forest": {"trees": 20}}
     have = C._vectors(spark, d)
     found = experiments.scale(C._vector_queries(spark, d), have, C._label_gold(spark, d), experiments.sizes_of(have, (250, 500)), 10, kinds)
-    return _summary(found, *_long("size"), "index")
+    return _summary(found, *_long("size"), "index", *_places(3, "build_s", "search_s", "qps"))
 
 
 @query("SELECT item_id AS q_id, 'ok' AS status, 'Best match: [' || length(text) || ']' AS answer FROM benchmark")
@@ -201,9 +201,11 @@ class Counting:
         return ["```json\n" + json.dumps({"relevance": 1 + len(p) % 5, "accuracy": 1 + (len(p) + 1) % 5, "usefulness": 1 + (len(p) + 2) % 5}) + "\n```" for p in prompts]
 
 
-@query(f"WITH {S.SPOKEN_ONLY} SELECT q_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'a query of ' || length(text) || ' characters' ELSE text END AS text FROM asked")
+@query("SELECT doc_id AS q_id, CASE WHEN doc_id % 3 = 0 OR regexp_matches(text, '[一-鿿]') THEN 'a query of ' || (length(text) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END) || ' characters' ELSE text END AS text FROM documents WHERE text IS NOT NULL")
 def translated_queries(spark, d):
-    return services.translated(C._spoken(spark), Counting())
+    """Documents as questions; two characters behind a third of them make those Chinese."""
+    asked = C._documents(spark, d).where(F.col("text").isNotNull()).select(F.col("doc_id").alias("q_id"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" 照片"))).otherwise(F.col("text")).alias("text"))
+    return services.translated(asked, Counting()).select("q_id", "text")
 
 
 @query("SELECT doc_id AS q_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 1 + length('p' || doc_id) % 5 END AS relevance, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 1 + (length('p' || doc_id) + 1) % 5 END AS accuracy, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 1 + (length('p' || doc_id) + 2) % 5 END AS usefulness FROM labels")
@@ -231,10 +233,10 @@ def captions_of_similar(spark, d):
 
 @query()
 def text_requests(spark, d):
-    """Questions put into English, encoded by feature hashing, searched, told and answered."""
-    items = C._captions(spark, d)
-    vectors = services.embedded(items, services.encoder(), "caption", "id")
-    found = requests.of_texts(Retriever(vectors, C._index(spark, d)), C._spoken(spark), items, services.encoder(), services.TemplateGenerator(), translator=Counting())
+    """Questions put into English, encoded whole by feature hashing, searched, told and answered."""
+    items, encoder = C._captions(spark, d), services.HashingEmbedder(max_tokens=None)
+    vectors = services.embedded(items, encoder, "caption", "id")
+    found = requests.of_texts(Retriever(vectors, C._index(spark, d)), C._spoken(spark), items, encoder, services.TemplateGenerator(), translator=Counting())
     return found.select("q_id", F.size("results").alias("n_results"), "context", "status", "answer")
 
 

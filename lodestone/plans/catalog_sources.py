@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import ranking
+from lodestone.operators import bm25, ranking
+from lodestone.plans import catalog as C
 from lodestone.plans import sql as S
 from lodestone.plans.catalog import query
 from lodestone.session import shared_folder, table
@@ -115,16 +116,24 @@ def width_checked(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(V.checked(F.col("embedding"), 64)).cast("long").alias("width"))
 
 
-@query(S.DEMO)
+_DEMO_TERMS = S.terms_of(f"(SELECT image_id AS q_id, caption AS text FROM ({S.DEMO}))")
+
+
+@query(f"WITH {S.INDEX}, {_DEMO_TERMS}, {S.BM25}, best AS ({S.top('bm', 3)}) SELECT image_id, image_path, caption, scene, year, source, id, score, rank FROM ({S.DEMO}) LEFT JOIN best ON q_id = image_id")
 def demo_set(spark, d):
-    return captions.demo(spark).select(F.col("image_id").cast("long").alias("image_id"), "image_path", "caption", "scene", F.col("year").cast("long").alias("year"), "source")
+    """The demo set, each caption with the documents that it finds by its words."""
+    items = captions.demo(spark).select(F.col("image_id").cast("long").alias("image_id"), "image_path", "caption", "scene", F.col("year").cast("long").alias("year"), "source")
+    found = bm25.topk(C._index(spark, d), items.select(F.col("image_id").alias("q_id"), F.col("caption").alias("text")), 3)
+    return items.join(found.select(F.col("q_id").alias("image_id"), "id", *C._places(6, "score"), *C._long("rank")), "image_id", "left")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT scene) AS n_scenes FROM (" + S.DEMO + ")")
+@query(f"WITH {S.INDEX}, {_DEMO_TERMS}, {S.BM25} SELECT scene, count(DISTINCT image_id) AS n, count(DISTINCT id) AS n_documents FROM ({S.DEMO}) LEFT JOIN bm ON q_id = image_id GROUP BY scene")
 def source_fallback(spark, d):
-    """A source that can't be read gives the demo set where that is asked for."""
+    """A source that can't be read gives the demo set where that is asked for; of each scene, the documents that share words with it."""
     rows = captions.load(spark, "csv", path=f"{shared_folder(spark)}/nothing", image_dir="pics", fallback=True)
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("scene").alias("n_scenes"))
+    met = bm25.scores(C._index(spark, d), rows.select(F.col("image_id").cast("long").alias("q_id"), F.col("caption").alias("text")))
+    joined = rows.join(met.select(F.col("q_id").alias("image_id"), "id"), "image_id", "left")
+    return joined.groupBy("scene").agg(F.count_distinct("image_id").alias("n"), F.count_distinct("id").alias("n_documents"))
 
 
 _LABELS = "SELECT doc_id, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM labels"

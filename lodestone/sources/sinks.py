@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import is_small
+
 
 def to_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
@@ -22,9 +24,20 @@ def to_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+#: Rows that the driver takes as arrays, and that a chart shows, at most.
+LARGEST, DRAWN = 1_000_000, 10_000
+
+
+def _few(df: DataFrame, most: int | None = None) -> DataFrame:
+    most = LARGEST if most is None else most
+    if not is_small(df, most):
+        raise ValueError(f"more than {most} rows; add them up first")
+    return df
+
+
 def to_numpy(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, ...]:
-    """Columns of a small frame, on the driver."""
-    frame = df.select(*columns).toPandas()
+    """Columns of a frame, on the driver: an error if it has more than LARGEST rows."""
+    frame = _few(df.select(*columns)).toPandas()
     return tuple(frame[c].to_numpy() for c in columns)
 
 
@@ -48,7 +61,8 @@ def svg(df: DataFrame, key: str, values: list[str], path: str, kind: str = "bars
     """
     if kind not in ("bars", "lines", "points"):
         raise ValueError(f"unknown kind {kind!r}; one of bars, lines, points")
-    rows = df.select(F.col(key).cast("string").alias("key"), *[F.col(v).cast("double").alias(v) for v in values]).orderBy(key).collect()
+    rows = df.select(F.col(key).cast("string").alias("key"), *[F.col(v).cast("double").alias(v) for v in values])
+    rows = _few(rows, DRAWN).orderBy(key).collect()
     left, top, wide, high = 60, 40, width - 90, height - 100
     name = lambda text: escape(str(text), quote=True)
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="12">', f'<text x="{left}" y="22" font-size="15">{name(title)}</text>']
