@@ -83,6 +83,13 @@ def _blocks(print_: Column, flips: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), value(i).bitwiseXOR(F.lit(x)).alias("value")) for i in range(BLOCKS) for x in flips])
 
 
+def _first_agreeing(apart: Column) -> Column:
+    """The first block that at most one of the differing bits lies in: where a pair meets in several, it is told there alone."""
+    width = 64 // BLOCKS
+    bits = lambda i: F.bit_count(F.shiftrightunsigned(apart, i * width).bitwiseAND(F.lit((1 << width) - 1)))
+    return F.coalesce(*[F.when(bits(i) <= 1, F.lit(i)) for i in range(BLOCKS)])
+
+
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, item (hashes of its shingles), m (their number), told (the hash of them all, which stands for the text)."""
     texts = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -128,11 +135,12 @@ def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 
 def _proposed(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """m, key, print, told: distinct windows with items of their size that share a block and are within the radius."""
+    """m, key, print, told: distinct windows with items of their size that share a block and are within the radius, each pair once."""
     listed = items.withColumn("item_print", _simhash("item")).select("m", "told", "item_print", F.explode(_blocks(F.col("item_print"), [0, *(1 << b for b in range(64 // BLOCKS))])).alias("at"))
     asked = windows.select("m", "key", "print", F.explode(_blocks(F.col("print"), [0])).alias("at"))
-    met = asked.join(listed, ["m", "at"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    return met.select("m", "key", "print", "told").distinct()
+    apart = F.col("print").bitwiseXOR(F.col("item_print"))
+    met = asked.join(listed, ["m", "at"]).where((F.bit_count(apart) <= RADIUS) & (F.col("at.block") == _first_agreeing(apart)))
+    return met.select("m", "key", "print", "told")
 
 
 def _verified(windows: DataFrame, proposed: DataFrame, items: DataFrame) -> DataFrame:

@@ -301,6 +301,18 @@ def test_blocks_hold_every_item_within_the_radius(spark):
     assert df.where(~F.arrays_overlap(decontaminate._blocks(F.col("a"), [0]), near)).count() == 0
 
 
+def test_pairs_of_prints_are_told_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, 20)) for _ in range(60)]
+    items = decontaminate.items_of(spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")).dropDuplicates(["told"]).cache()
+    windows = items.select("m", F.col("told").alias("key"), decontaminate._simhash("item").alias("print")).cache()
+    found = [(r["key"], r["told"]) for r in decontaminate._proposed(windows, items).collect()]
+    prints = {r["key"]: r["print"] % (1 << 64) for r in windows.collect()}
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= decontaminate.RADIUS}
+
+
 def test_links_join_over_chains(spark):
     from lodestone.llm.components import components
 
