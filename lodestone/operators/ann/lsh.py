@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
+from lodestone.operators import dense
 from lodestone.operators.ann import base
 from lodestone.operators.ann.base import ranked
 from lodestone.operators.dense import matrix
+from lodestone.operators.ranking import top
 from lodestone.session import importable
 
+#: A block's meetings are looked up pair by pair up to one in so many of all its pairs; pairs whose vectors are compared at once.
+MANY, PAIRS = 32, 65_536
+
 
 def planes(dim: int, tables: int = DEFAULT.lsh_tables, bits: int = DEFAULT.lsh_bits, seed: int = 42) -> np.ndarray:
     """(tables, bits, dim) Gaussian coordinates, drawn from md5 by the polar form, so that any engine can draw them too."""
@@ -70,13 +75,84 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
 
 
 def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10, flips: int = 0) -> DataFrame:
-    """q_id, id, score, rank. A query that meets no bucket gets a sample of its own of about ``fallback`` * k vectors instead."""
-    met = candidates(queries, buckets, normals, flips)
+    """q_id, id, score, rank. A query that meets no bucket gets a sample of its own of about ``fallback`` * k vectors instead.
+
+    Pairs that share a bucket are never rows: each block of vectors, with the buckets that they are in, is looked up by the
+    blocks of queries, and only k rows a query and block leave it. What is exchanged is each vector once.
+    """
+    found = top(_scored(queries, vectors, buckets, normals, k, metric, flips), k)
+    known = signatures(queries, normals, "q_id", flips).join(buckets.select("table_id", "signature").distinct(), ["table_id", "signature"], "left_semi")
+    lonely = queries.join(known.select("q_id").distinct(), "q_id", "left_anti")
+    if lonely.isEmpty():
+        return found
     # Vectors are dealt by a hash into sets of that size, and a query's own hash picks one of them.
     sets = F.lit(max(1, vectors.count() // (fallback * k)))
     dealt = lambda df, key: df.select(key, F.pmod(F.xxhash64(key, F.lit(42)), sets).alias("dealt"))
-    lonely = dealt(queries.join(met.select("q_id").distinct(), "q_id", "left_anti"), "q_id").join(dealt(vectors, "id"), "dealt").select("q_id", "id")
-    return ranked(queries, met.unionByName(lonely), vectors, k, metric)
+    drawn = dealt(lonely, "q_id").join(dealt(vectors, "id"), "dealt").select("q_id", "id")
+    return found.unionByName(ranked(queries, drawn, vectors, k, metric))
+
+
+def _scored(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str, flips: int) -> DataFrame:
+    """q_id, id, score: of every pair of blocks each query's k best of the vectors that share a bucket with it or one of its probes."""
+    dense.known(metric)
+    tables, bits, dim = normals.shape
+    if bits > 63:
+        raise ValueError(f"signatures of {bits} bits, 63 at most")
+    number = F.conv("signature", 2, 10).cast("long")
+    held = buckets.groupBy("id").agg(*[F.max(F.when(F.col("table_id") == t, number)).alias(f"t{t}") for t in range(tables)])
+    own = vectors.join(held.select("id", F.array(*[F.coalesce(f"t{t}", F.lit(-1).cast("long")) for t in range(tables)]).alias("held")), "id")
+    flat = normals.reshape(tables * bits, dim)
+
+    def run(batches):
+        for asked, q, known, m, codes in dense.opened(batches):
+            have = np.frombuffer(codes, np.int64).reshape(len(known), tables)
+            probes = _numbers((q @ flat.T).reshape(-1, tables, bits), flips)
+            row, at = _shared(probes, have)
+            if row is None:  # so many that the whole block is compared at once
+                s = dense.similarity(q, m, metric)
+                row, at = dense.best(s, known, k, at)
+                yield dense.scored(asked[row], known[at], s[row, at])
+            else:
+                s = np.concatenate([np.zeros(0), *(dense.paired(q[row[i : i + PAIRS]], m[at[i : i + PAIRS]], metric) for i in range(0, len(row), PAIRS))])
+                order = np.lexsort((known[at], -np.where(np.isnan(s), np.inf, np.round(s, 9)), row))
+                row, at, s = row[order], at[order], s[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                yield dense.scored(asked[row[first]], known[at[first]], s[first])
+
+    return dense.met(queries, own, "held").mapInArrow(run, dense.SCORED)
+
+
+def _numbers(sides: np.ndarray, flips: int) -> np.ndarray:
+    """(vectors, tables, probes): signatures as binary numbers, the own one first, then with each of the nearest bits turned."""
+    value = 1 << np.arange(sides.shape[2], dtype=np.int64)[::-1]
+    near = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :flips]
+    own = ((sides > 0) @ value)[:, :, None]
+    return np.concatenate([own, own ^ value[near]], axis=2)
+
+
+def _shared(probes: np.ndarray, have: np.ndarray):
+    """Rows and columns of the pairs that share a bucket, each once; or None and a table of them, where they are more than a few in a hundred."""
+    lines, meetings = [], 0
+    for t in range(have.shape[1]):
+        order = np.argsort(have[:, t], kind="stable")
+        codes = have[order, t]
+        low, high = np.searchsorted(codes, probes[:, t], "left"), np.searchsorted(codes, probes[:, t], "right")
+        lines.append((order, low, high - low))
+        meetings += int((high - low).sum())
+    if meetings * MANY > len(probes) * len(have):
+        kind = np.min_scalar_type(-1 - int(max(probes.max(), have.max())))
+        asked, held, table = probes.astype(kind), have.astype(kind), np.zeros((len(probes), len(have)), bool)
+        for t in range(have.shape[1]):
+            for p in range(probes.shape[2]):
+                table |= asked[:, t, p, None] == held[None, :, t]
+        return None, table
+    pairs = [np.zeros(0, np.int64)]
+    for order, low, n in lines:
+        low, n = low.ravel(), n.ravel()
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        pairs.append(row // probes.shape[2] * len(have) + order[place])
+    return np.divmod(np.unique(np.concatenate(pairs)), max(1, len(have)))
 
 
 def candidates(queries: DataFrame, buckets: DataFrame, normals: np.ndarray, flips: int = 0) -> DataFrame:
