@@ -42,3 +42,15 @@ def test_a_query_that_meets_buckets_of_some_tables_only(data):
     met = {(r["q_id"], r["id"]) for r in lsh.candidates(queries, some, normals).collect()}
     found = lsh.search(queries, vectors, some, normals, 400).select("q_id", "id").collect()
     assert met and {tuple(r) for r in found} == met and len(found) == len(met)
+
+
+def test_all_pairs_are_not_exchanged(spark, data):
+    vectors, queries, x = data
+    from lodestone.plans import catalog
+
+    found = dense.every_pair(queries, vectors)
+    got = {(r["q_id"], r["id"]): r["score"] for r in found.collect()}
+    want = dense.similarity(x[::20], x, "cosine")
+    assert len(got) == 20 * 400 and all(abs(want[q // 20, i] - s) < 1e-9 for (q, i), s in got.items())
+    matrix = catalog.queries()["similarity_matrix"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in planned(matrix) and "rank" not in planned(matrix)
