@@ -12,7 +12,7 @@ from lodestone.config import trees_for
 from lodestone.functions.vectors import checked
 from lodestone.operators import dense
 from lodestone.operators.ann import base, forest, graph, ivf, lsh
-from lodestone.session import shared_folder, stored
+from lodestone.session import discard, made, shared_folder, stored
 
 KINDS = {"flat": "flat", "ivfpq": "ivfpq", "graph": "graph", "hnsw": "graph", "lsh": "lsh", "forest": "forest", "annoy": "forest"}
 
@@ -117,11 +117,13 @@ class VectorIndex:
 
 
 def timed_comparison(vectors: DataFrame, queries: DataFrame, kinds: dict[str, dict], k: int = 10) -> dict[str, tuple[DataFrame, float, float]]:
-    """For every kind what it found, kept, and the seconds of building and searching."""
+    """For every kind what it found, kept, and the seconds of building and searching. The index itself, and what it stored on the way, goes when it has been searched."""
     out = {}
     for kind, parameters in kinds.items():
-        index, build_s = base.clocked(lambda kind=kind, parameters=parameters: VectorIndex.build(vectors, kind, **parameters))
-        found, search_s = base.timed(lambda index=index: index.search(queries, k))
+        with made() as folders:
+            index, build_s = base.clocked(lambda kind=kind, parameters=parameters: VectorIndex.build(vectors, kind, **parameters))
+            found, search_s = base.timed(lambda index=index: index.search(queries, k))
+        discard(*folders[:-1])  # the last is what was found
         out[kind] = (found, build_s, search_s)
     return out
 

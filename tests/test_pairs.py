@@ -54,3 +54,36 @@ def test_all_pairs_are_not_exchanged(spark, data):
     assert len(got) == 20 * 400 and all(abs(want[q // 20, i] - s) < 1e-9 for (q, i), s in got.items())
     matrix = catalog.queries()["similarity_matrix"](spark, "/root/testdata/sf0.001")
     assert "Window" not in planned(matrix) and "rank" not in planned(matrix)
+
+
+def test_classes_measure_as_their_pairs_do(spark):
+    from lodestone.operators import metrics
+
+    rows = [(i, i % 3) for i in range(30)] + [(30, None), (31, 7), (4, 2), (5, 2), (5, 0)]
+    items = spark.createDataFrame(rows, "id bigint, label int")
+    asked = items.where("id % 2 = 0 OR id = 31 OR id = 5").withColumnRenamed("id", "q_id").unionByName(spark.createDataFrame([(99, 1), (98, 55)], "q_id bigint, label int"))
+    pairs = asked.join(items, "label").where("q_id <> id").select("q_id", "id")
+    preds = spark.createDataFrame([(q, r, (q * 7 + r * r) % 33) for q in [*range(0, 31, 3), 99, 98, 31, 5, 4] for r in range(1, 8)], "q_id bigint, rank int, id bigint")
+    gold = metrics.Classes(asked, items)
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    assert order(metrics.per_query(preds, gold)) == order(metrics.per_query(preds, pairs)) != []
+    assert order(metrics.summary(preds, gold))[0] == pytest.approx(order(metrics.summary(preds, pairs))[0])
+    assert order(metrics.judged(preds, gold)) == order(metrics.judged(preds, pairs))
+
+
+def test_compared_indexes_leave_only_what_they_found(spark, data):
+    from lodestone.operators.ann.index import timed_comparison
+    from lodestone.session import folders_since
+
+    before = set(folders_since())
+    found = timed_comparison(data[0], data[1], {"flat": {}, "lsh": {"tables": 3, "bits": 2}, "forest": {"trees": 3}}, 5)
+    assert len(set(folders_since()) - before) == len(found) == 3
+    assert [got.count() for got, _, _ in found.values()] == [100, 100, 100]
+
+
+def test_candidates_are_exchanged_once_and_vectors_not_for_each_pair(spark, data):
+    from lodestone.operators.ann import base
+
+    found = base.ranked(data[1], data[1].crossJoin(data[0].select("id")).select("q_id", "id"), data[0], 5)
+    wide = [line for line in planned(found).splitlines() if "Join Inner, (q_id" in line]
+    assert wide and all("rightHint=(strategy=broadcast)" in line or "broadcast" in line for line in wide)
