@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators.ranking import top
-from lodestone.session import stored
+from lodestone.session import small, stored
 
 #: Vectors on which centroids, codebooks and split planes are fitted, at most.
 SAMPLE = 20_000
@@ -32,11 +32,15 @@ def sample(vectors: DataFrame, n: int | None = None, seed: int = 42) -> np.ndarr
 
 
 def ranked(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """q_id, id, score, rank: the candidates (q_id, id) by exact score."""
+    """q_id, id, score, rank: the candidates (q_id, id) by exact score.
+
+    Candidates are exchanged once, by id, where they are made distinct and meet their vectors. Queries that are counted to be
+    few are sent to them, so no vector is exchanged once for each of its pairs.
+    """
     if metric not in _SCORES:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(_SCORES)}")
-    asked = queries.select("q_id", F.col("embedding").alias("q_vector"))
-    pairs = candidates.select("q_id", "id").distinct().join(vectors.select("id", "embedding"), "id").join(asked, "q_id")
+    asked = small(queries.select("q_id", F.col("embedding").alias("q_vector")))
+    pairs = candidates.select("q_id", "id").repartition("id").distinct().join(vectors.select("id", "embedding"), "id").join(asked, "q_id")
     return top(pairs.select("q_id", "id", _SCORES[metric](F.col("q_vector"), F.col("embedding")).alias("score")), k)
 
 
