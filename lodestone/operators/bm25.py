@@ -108,14 +108,21 @@ def query_terms(queries: DataFrame, id_col: str = "q_id", text_col: str = "text"
 
 
 def scores(index: Bm25Index, queries: DataFrame, k1: float = DEFAULT.bm25_k1, b: float = DEFAULT.bm25_b) -> DataFrame:
-    """q_id, id, score > 0. A query's repeated terms count as often; only its own terms' postings are read."""
+    """q_id, id, score > 0. A query's repeated terms count as often; only its own terms' postings are read.
+
+    What is exchanged is each posting of an asked term once, by document; a document then meets the queries and adds its
+    scores up where it is, as hits of queries by terms are many times the postings.
+    """
     asked = query_terms(queries)
     postings, terms, few = index.asked(asked)
     # Queries of a bounded number of terms go to the index, not the index to them; a term has one row there.
     sent = F.broadcast if few else lambda df: df
-    hits = postings.join(sent(terms.select("term", "idf").join(sent(asked), "term")), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    own = postings.join(sent(terms.select("term", "idf").join(sent(asked.select("term").distinct()), "term")), "term").select("doc_id", "term", "tf", "dl", "idf")
+    if few:
+        own = own.repartition("doc_id")
+    hits = own.join(sent(asked), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("q_id", F.col("doc_id").alias("id")).agg(F.sum(part).alias("score"))
+    return hits.groupBy("q_id", "doc_id").agg(F.sum(part).alias("score")).withColumnRenamed("doc_id", "id")
 
 
 def topk(index: Bm25Index, queries: DataFrame, k: int, fill_zero: bool = False, **parameters) -> DataFrame:

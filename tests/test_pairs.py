@@ -87,3 +87,26 @@ def test_candidates_are_exchanged_once_and_vectors_not_for_each_pair(spark, data
     found = base.ranked(data[1], data[1].crossJoin(data[0].select("id")).select("q_id", "id"), data[0], 5)
     wide = [line for line in planned(found).splitlines() if "Join Inner, (q_id" in line]
     assert wide and all("rightHint=(strategy=broadcast)" in line or "broadcast" in line for line in wide)
+
+
+def test_a_document_adds_its_scores_up_where_it_is(spark, tmp_path):
+    import re
+
+    from lodestone.operators import bm25
+
+    docs = spark.createDataFrame([(i, f"the w{i % 7} of w{i % 3}") for i in range(60)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(q, f"the of w{q}") for q in range(5)], "q_id bigint, text string")
+    bm25.build(docs).save(f"{tmp_path}/index")
+    found = bm25.scores(bm25.Bm25Index.load(spark, f"{tmp_path}/index"), asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(q_id#\d+L?, doc_id", plan)
+    assert found.count() == 5 * 60
+
+
+def test_captions_that_nobody_found_stay_where_they_are(spark):
+    from lodestone.operators import context
+
+    results = spark.createDataFrame([(0, 1, 3, 0.5), (0, 2, 99, 0.25), (1, 1, 4, 0.5)], "q_id bigint, rank int, id bigint, score double")
+    told = context.context(results, spark.createDataFrame([(i, f"c{i}") for i in range(10)], "id bigint, caption string"))
+    assert [line for line in planned(told).splitlines() if "Join Inner, (id" in line and "broadcast" in line]
+    assert {tuple(r) for r in told.collect()} == {(0, "[1] (Score: 0.500) Caption: c3\n[2] (Score: 0.250)"), (1, "[1] (Score: 0.500) Caption: c4")}
