@@ -6,18 +6,24 @@ buckets of the asked terms only, and where few terms are asked, only the row gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
 from lodestone.functions.text import tokens
 from lodestone.operators.ranking import top
-from lodestone.session import SMALL
+from lodestone.session import SMALL, stored
 
 #: Words of a bucket and of a task that writes one, about; most buckets.
 BUCKET_WORDS, TASK_WORDS, BUCKETS = 250_000, 4_000_000, 4096
+#: Words whose documents are counted together before they are exchanged, about, and rows that are yielded at once.
+PIECE_WORDS, ROWS = 2_000_000, 10_000
 #: Asked terms up to which they are looked for in the row groups of their buckets.
 FEW_TERMS = 200
 
@@ -38,20 +44,26 @@ class Bm25Index:
     docs: DataFrame  # doc_id, dl
     terms: DataFrame  # term, df, idf; bucket where they are stored
     stats: DataFrame  # n, avgdl; buckets where they are stored
-    words: DataFrame | None = None  # term, doc_id, dl of every word, where the index is not stored yet
+    words: DataFrame | None = None  # doc_id, dl and words of every document, where the index is not stored yet
     buckets: int | None = None  # where it is stored
 
     def save(self, path: str) -> None:
-        """One exchange by bucket and part both brings equal words together and lays the postings out; terms are counted from what was written."""
+        """One exchange by bucket and part both brings equal words together and lays the postings out; terms are counted from what was written.
+
+        Words are counted by document before it, and a term's documents of some PIECE_WORDS words are one row of it.
+        """
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         docs = spark.read.parquet(f"{path}/docs")
         buckets, parts = layout(docs.agg(F.sum("dl")).first()[0] or 0)
         place = ["bucket", "part"]
-        rows = (self.postings if self.words is None else self.words).withColumn("bucket", bucket_of(F.col("term"), buckets))
-        laid = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(buckets * parts, *place)
-        count = F.count("*") if self.words is not None else F.sum("tf")
-        laid = laid.groupBy(*place, "term", "doc_id", "dl").agg(count.alias("tf")).select("term", "doc_id", "tf", "dl", "bucket")
+        rows = (self.postings if self.words is None else self.words).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+        if self.words is not None:
+            rows = counted(rows)
+        laid = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets * parts, *place)
+        if self.words is not None:
+            laid = laid.select(*place, "term", F.inline(F.arrays_zip("doc_id", "dl", "tf")))
+        laid = laid.groupBy(*place, "term", "doc_id", F.col("dl").cast("long").alias("dl")).agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl", "bucket")
         laid.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         schema = laid.schema
         again = of_tables(spark.read.schema(schema).parquet(f"{path}/postings"), docs)
@@ -91,10 +103,33 @@ def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # explode would put a filter on the words below them, which would split texts twice.
     each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).where(F.col("term").isNotNull())
     index = of_tables(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"), docs)
-    index.words = each
+    index.words = words.select("doc_id", F.size("words").alias("dl"), "words")
     return index
 
 
+def counted(words: DataFrame) -> DataFrame:
+    """part, term, and the doc_id, dl and tf of some of the documents (doc_id, dl, words, part) that have it, each list as long."""
+    kind = words.schema["doc_id"].dataType.simpleString()
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends, at = np.cumsum(batch["dl"].to_numpy()), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_WORDS, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                each = pa.table({"row": pc.list_parent_indices(piece["words"]), "term": pc.list_flatten(piece["words"])})
+                tf = each.group_by(["row", "term"]).aggregate([([], "count_all")])
+                own = {c: piece[c].take(tf["row"].combine_chunks()) for c in ("part", "doc_id", "dl")}
+                lists = pa.table({**own, "term": tf["term"], "tf": tf["count_all"].cast(pa.int32())}).group_by(["part", "term"]).aggregate([(c, "list") for c in ("doc_id", "dl", "tf")])
+                yield from lists.select(["part", "term", "doc_id_list", "dl_list", "tf_list"]).rename_columns(["part", "term", "doc_id", "dl", "tf"]).combine_chunks().to_batches(ROWS)
+
+    return words.select("doc_id", "dl", "words", "part").mapInArrow(run, f"part int, term string, doc_id array<{kind}>, dl array<int>, tf array<int>")
+
+
 def of_tables(postings: DataFrame, docs: DataFrame) -> Bm25Index:
     """Terms keep the bucket of their postings, if they lie in buckets."""
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -117,10 +152,10 @@ def scores(index: Bm25Index, queries: DataFrame, k1: float = DEFAULT.bm25_k1, b:
     postings, terms, few = index.asked(asked)
     # Queries of a bounded number of terms go to the index, not the index to them; a term has one row there.
     sent = F.broadcast if few else lambda df: df
-    own = postings.join(sent(terms.select("term", "idf").join(sent(asked.select("term").distinct()), "term")), "term").select("doc_id", "term", "tf", "dl", "idf")
+    own = postings.join(sent(asked.select("term").distinct()), "term", "left_semi").select("doc_id", "term", "tf", "dl")
     if few:
         own = own.repartition("doc_id")
-    hits = own.join(sent(asked), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    hits = own.join(sent(terms.select("term", "idf").join(sent(asked), "term")), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q_id", "doc_id").agg(F.sum(part).alias("score")).withColumnRenamed("doc_id", "id")
 
@@ -130,6 +165,7 @@ def topk(index: Bm25Index, queries: DataFrame, k: int, fill_zero: bool = False,
     found = top(scores(index, queries, **parameters), k)
     if not fill_zero:
         return found
+    found = stored(found)  # read twice
     # The k documents of least id suffice: at most k of them can be wanted beside the hits and k others.
     spare = index.docs.orderBy("doc_id").limit(2 * k).select(F.col("doc_id").alias("id"))
     zeros = queries.select("q_id").distinct().crossJoin(F.broadcast(spare)).join(found.select("q_id", "id"), ["q_id", "id"], "left_anti").withColumn("score", F.lit(0.0))

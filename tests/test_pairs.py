@@ -110,3 +110,23 @@ def test_captions_that_nobody_found_stay_where_they_are(spark):
     told = context.context(results, spark.createDataFrame([(i, f"c{i}") for i in range(10)], "id bigint, caption string"))
     assert [line for line in planned(told).splitlines() if "Join Inner, (id" in line and "broadcast" in line]
     assert {tuple(r) for r in told.collect()} == {(0, "[1] (Score: 0.500) Caption: c3\n[2] (Score: 0.250)"), (1, "[1] (Score: 0.500) Caption: c4")}
+
+
+def test_words_are_counted_before_they_are_exchanged(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import bm25
+
+    monkeypatch.setattr(bm25, "PIECE_WORDS", 30)
+    texts = [("a", "the the cat the"), ("b", None), ("c", ""), ("a", "the dog sat by"), ("d", "dog " * 50), ("e", "Ünï the 猫"), *((f"x{i}", f"the w{i % 3} the") for i in range(40))]
+    index = bm25.build(spark.createDataFrame(texts, "doc_id string, text string").coalesce(2))
+    lists = bm25.counted(index.words.withColumn("part", F.lit(0)))
+    assert lists.where("term = 'the'").count() < 15 and lists.where("term = 'the'").agg(F.sum(F.aggregate("tf", F.lit(0), lambda s, x: s + x))).first()[0] == 85
+    index.save(f"{tmp_path}/index")
+    got = {(r["term"], r["doc_id"]): (r["tf"], r["dl"]) for r in bm25.Bm25Index.load(spark, f"{tmp_path}/index").postings.collect()}
+    want = Counter((w, d) for d, t in texts for w in (t or "").lower().split())
+    assert {k: tf for k, (tf, _) in got.items()} == dict(want) and got["the", "a"] == (4, 4) and got["dog", "d"] == (50, 50)
+    zeros = bm25.topk(index, spark.createDataFrame([(0, "cat"), (1, "nothing")], "q_id bigint, text string"), 3, fill_zero=True)
+    assert zeros.groupBy("q_id").count().where("count = 3").count() == 2
