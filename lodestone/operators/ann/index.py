@@ -36,7 +36,11 @@ class VectorIndex:
         first = vectors.where("embedding IS NOT NULL").select(F.size("embedding")).first()
         width = first[0] if first else 0
         # Stored with the check, so a vector of another width ends the build.
-        vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), checked(F.col("embedding"), width).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
+        rows, normals = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), checked(F.col("embedding"), width).alias("embedding")), None
+        if kind == "lsh":  # the buckets lie beside their vectors, so that a search exchanges neither
+            normals = lsh.planes(width, **parameters)
+            rows = lsh.numbered(rows, normals)
+        rows.write.mode("overwrite").parquet(f"{path}/vectors")
         have = spark.read.parquet(f"{path}/vectors")
         n = have.count()
         tables, arrays, told = {}, {}, {}
@@ -44,8 +48,7 @@ class VectorIndex:
             model = ivf.IvfPq.fit(have, parameters.get("lists"), n_total=n, **{k: v for k, v in parameters.items() if k in ("parts", "bits")})
             tables, arrays = {"cells": model.cells(have)}, model.arrays()
         elif kind == "lsh":
-            normals = lsh.planes(width, **parameters)
-            tables, arrays = {"buckets": lsh.signatures(have, normals)}, {"normals": normals}
+            arrays = {"normals": normals}
         elif kind == "forest":
             leaf = parameters.get("leaf", 40)
             model, leaves = forest.Forest.fit(have, parameters.get("trees") or trees_for(n), leaf).split(have, 4 * leaf)
@@ -68,6 +71,8 @@ class VectorIndex:
             rows = self._rows(new)
         for name, df in rows.items():
             df.write.mode("append").parquet(f"{self.path}/{self.manifest['tables'][name]}")
+        if "held" in have.columns:
+            new = lsh.numbered(new, self.arrays["normals"])
         new.write.mode("append").parquet(f"{self.path}/vectors")
         base.tell(self.spark, self.path, told)
         return VectorIndex(self.spark, self.path)
@@ -79,7 +84,7 @@ class VectorIndex:
         """What the tables of an index hold for vectors, by the model that it has."""
         if self.kind == "ivfpq":
             return {"cells": ivf.IvfPq.of_arrays(self.arrays).cells(vectors)}
-        if self.kind == "lsh":
+        if "buckets" in self.tables:  # of an LSH index from when buckets were a table of their own
             return {"buckets": lsh.signatures(vectors, self.arrays["normals"])}
         if self.kind == "forest":
             return {"leaves": self._forest().leaves(vectors)}
@@ -109,8 +114,10 @@ class VectorIndex:
             return dense.exact_topk(asked, have, k, **parameters)
         if self.kind == "ivfpq":
             return ivf.IvfPq.of_arrays(self.arrays).search(asked, have, self.tables["cells"], k, **parameters)
-        if self.kind == "lsh":
+        if "buckets" in self.tables:
             return lsh.search(asked, have, self.tables["buckets"], self.arrays["normals"], k, **parameters)
+        if self.kind == "lsh":
+            return lsh.search_numbered(asked, have, self.arrays["normals"], k, **parameters)
         if self.kind == "forest":
             return self._forest().search(asked, have, self.tables["leaves"], k, **parameters)
         return graph.search(asked, self.tables["nodes"], k, **parameters)

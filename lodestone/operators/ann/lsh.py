@@ -1,4 +1,4 @@
-"""Random-hyperplane hashing: buckets(table_id, signature, id), searched by equality in any table.
+"""Random-hyperplane hashing: buckets(table_id, signature, id), searched by equality in any table; or their numbers beside the vectors.
 
 A query may also ask for signatures with one bit turned, those first whose planes are nearest to it, so that longer
 signatures find as much: their number of bits follows the table, a bucket's size and a query's candidates don't.
@@ -74,14 +74,54 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     return base.load(spark, path)[0]["buckets"], base.arrays_of(spark, path)["normals"]
 
 
+def numbered(vectors: DataFrame, normals: np.ndarray) -> DataFrame:
+    """id, embedding, held: vectors beside their buckets' numbers, one of each table, so that a search needs no join to tell them."""
+    importable(vectors.sparkSession)
+    tables, bits, dim = _fits(normals)
+    flat = normals.reshape(tables * bits, dim)
+
+    def run(batches):
+        for batch in batches:
+            own = _numbers((matrix(batch["embedding"], dim) @ flat.T).reshape(-1, tables, bits), 0).ravel()
+            held = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(own))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["embedding"], held], ["id", "embedding", "held"])
+
+    kept = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
+    return kept.mapInArrow(run, f"id bigint, embedding {kept.schema['embedding'].dataType.simpleString()}, held array<bigint>")
+
+
 def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10, flips: int = 0) -> DataFrame:
     """q_id, id, score, rank. A query that meets no bucket gets a sample of its own of about ``fallback`` * k vectors instead.
 
     Pairs that share a bucket are never rows: each block of vectors, with the buckets that they are in, is looked up by the
-    blocks of queries, and only k rows a query and block leave it. What is exchanged is each vector once.
+    blocks of queries, and only k rows a query and task leave it. What is exchanged is each vector once; nothing of them
+    where they are ``numbered`` (``search_numbered``).
     """
-    found = top(_scored(queries, vectors, buckets, normals, k, metric, flips), k)
-    known = signatures(queries, normals, "q_id", flips).join(buckets.select("table_id", "signature").distinct(), ["table_id", "signature"], "left_semi")
+    tables, bits, _ = _fits(normals)
+    number = F.conv("signature", 2, 10).cast("long")
+    held = buckets.groupBy("id").agg(*[F.max(F.when(F.col("table_id") == t, number)).alias(f"t{t}") for t in range(tables)])
+    own = vectors.join(held.select("id", F.array(*[F.coalesce(f"t{t}", F.lit(-1).cast("long")) for t in range(tables)]).alias("held")), "id")
+    return _filled(queries, vectors, own, buckets.select("table_id", "signature"), normals, k, metric, fallback, flips)
+
+
+def search_numbered(queries: DataFrame, vectors: DataFrame, normals: np.ndarray, k: int, metric: str = "cosine", fallback: int = 10, flips: int = 0) -> DataFrame:
+    """As ``search``, among vectors that are ``numbered``."""
+    tables, bits, _ = _fits(normals)
+    vectors = vectors.where("id IS NOT NULL")
+    buckets = vectors.select(F.posexplode("held").alias("table_id", "number")).select("table_id", F.lpad(F.bin("number"), bits, "0").alias("signature"))
+    return _filled(queries, vectors.select("id", "embedding"), vectors, buckets, normals, k, metric, fallback, flips)
+
+
+def _fits(normals: np.ndarray) -> tuple[int, int, int]:
+    if normals.shape[1] > 63:
+        raise ValueError(f"signatures of {normals.shape[1]} bits, 63 at most")
+    return normals.shape
+
+
+def _filled(queries: DataFrame, vectors: DataFrame, own: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str, fallback: int, flips: int) -> DataFrame:
+    """The best of the vectors beside their numbers (``own``), and the samples of queries whose buckets aren't among those given."""
+    found = top(_scored(queries, vectors, own, normals, k, metric, flips), k)
+    known = signatures(queries, normals, "q_id", flips).join(buckets.distinct(), ["table_id", "signature"], "left_semi")
     lonely = queries.join(known.select("q_id").distinct(), "q_id", "left_anti")
     if lonely.isEmpty():
         return found
@@ -92,34 +132,70 @@ def search(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals:
     return found.unionByName(ranked(queries, drawn, vectors, k, metric))
 
 
-def _scored(queries: DataFrame, vectors: DataFrame, buckets: DataFrame, normals: np.ndarray, k: int, metric: str, flips: int) -> DataFrame:
-    """q_id, id, score: of every pair of blocks each query's k best of the vectors that share a bucket with it or one of its probes."""
+def _scored(queries: DataFrame, vectors: DataFrame, own: DataFrame, normals: np.ndarray, k: int, metric: str, flips: int) -> DataFrame:
+    """q_id, id, score: of each task's vectors every query's k best of those that share a bucket with it or one of its probes."""
     dense.known(metric)
     tables, bits, dim = normals.shape
-    if bits > 63:
-        raise ValueError(f"signatures of {bits} bits, 63 at most")
-    number = F.conv("signature", 2, 10).cast("long")
-    held = buckets.groupBy("id").agg(*[F.max(F.when(F.col("table_id") == t, number)).alias(f"t{t}") for t in range(tables)])
-    own = vectors.join(held.select("id", F.array(*[F.coalesce(f"t{t}", F.lit(-1).cast("long")) for t in range(tables)]).alias("held")), "id")
     flat = normals.reshape(tables * bits, dim)
 
     def run(batches):
+        kept = {}
         for asked, q, known, m, codes in dense.opened(batches):
-            have = np.frombuffer(codes, np.int64).reshape(len(known), tables)
-            probes = _numbers((q @ flat.T).reshape(-1, tables, bits), flips)
-            row, at = _shared(probes, have)
-            if row is None:  # so many that the whole block is compared at once
-                s = dense.similarity(q, m, metric)
-                row, at = dense.best(s, known, k, at)
-                yield dense.scored(asked[row], known[at], s[row, at])
-            else:
-                s = np.concatenate([np.zeros(0), *(dense.paired(q[row[i : i + PAIRS]], m[at[i : i + PAIRS]], metric) for i in range(0, len(row), PAIRS))])
-                order = np.lexsort((known[at], -np.where(np.isnan(s), np.inf, np.round(s, 9)), row))
-                row, at, s = row[order], at[order], s[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield dense.scored(asked[row[first]], known[at[first]], s[first])
-
-    return dense.met(queries, own, "held").mapInArrow(run, dense.SCORED)
+            block = (asked.tobytes(), q.tobytes())
+            if block not in kept:
+                if (sum(len(b.asked) for b in kept.values()) + len(asked)) * k > dense.TASK_ROWS:
+                    yield from (b.rows() for b in kept.values())
+                    kept.clear()
+                kept[block] = _Best(asked, q, _numbers((q @ flat.T).reshape(-1, tables, bits), flips), k, metric)
+            kept[block].meet(known, m, np.frombuffer(codes, np.int64).reshape(len(known), tables))
+        yield from (b.rows() for b in kept.values())
+
+    return dense.met(queries, own, "held", k=k, width=dim, of=vectors).mapInArrow(run, dense.SCORED)
+
+
+class _Best:
+    """The k best for each of a block's queries among the vectors met so far, by score at nine places and then by id; NaN is greatest, as Spark has it."""
+
+    def __init__(self, asked: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int, metric: str):
+        self.asked, self.q, self.probes, self.k, self.metric = asked, q, probes, k, metric
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def rows(self) -> pa.RecordBatch:
+        return dense.scored(self.asked[self.row], self.id, self.score)
+
+    def meet(self, known: np.ndarray, m: np.ndarray, have: np.ndarray) -> None:
+        n = np.bincount(self.row, minlength=len(self.asked))
+        full = n == self.k
+        settled = 2 * full.sum() >= len(full)
+        row, at = _shared(self.probes, have, not settled)
+        if row is not None:
+            s = np.concatenate([np.zeros(0), *(dense.paired(self.q[row[i : i + PAIRS]], m[at[i : i + PAIRS]], self.metric) for i in range(0, len(row), PAIRS))])
+        else:  # so many that the whole block is compared at once
+            s = dense.similarity(self.q, m, self.metric)
+            row, at = self._better(s, known, have, full, np.cumsum(n) - 1) if settled else dense.best(s, known, self.k, at)
+            s = s[row, at]
+        row, ids, s = np.concatenate([self.row, row]), np.concatenate([self.id, known[at]]), np.concatenate([self.score, s])
+        order = np.lexsort((ids, -_places(s), row))
+        row, ids, s = row[order], ids[order], s[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.row, self.id, self.score = row[first], ids[first], s[first]
+
+    def _better(self, s: np.ndarray, known: np.ndarray, have: np.ndarray, full: np.ndarray, last: np.ndarray):
+        """Rows and columns of the pairs that share a bucket among those that come before their query's k-th so far; few are left to be looked up."""
+        least, tie = np.full(len(full), -np.inf), np.full(len(full), np.iinfo(np.int64).max)
+        least[full], tie[full] = _places(self.score[last[full]]), self.id[last[full]]
+        bound = least - np.where(np.isfinite(least), 1e-9 + 1e-12 * np.abs(least), 0)
+        row, at = np.nonzero(~(s < bound[:, None]))
+        got = _places(s[row, at])
+        before = (got > least[row]) | ((got == least[row]) & (known[at] < tie[row]))
+        row, at = row[before], at[before]
+        share = [np.zeros(0, bool), *((self.probes[row[i : i + PAIRS]] == have[at[i : i + PAIRS], :, None]).any(axis=(1, 2)) for i in range(0, len(row), PAIRS))]
+        share = np.concatenate(share)
+        return row[share], at[share]
+
+
+def _places(s: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(s), np.inf, np.round(s, 9))
 
 
 def _numbers(sides: np.ndarray, flips: int) -> np.ndarray:
@@ -130,8 +206,8 @@ def _numbers(sides: np.ndarray, flips: int) -> np.ndarray:
     return np.concatenate([own, own ^ value[near]], axis=2)
 
 
-def _shared(probes: np.ndarray, have: np.ndarray):
-    """Rows and columns of the pairs that share a bucket, each once; or None and a table of them, where they are more than a few in a hundred."""
+def _shared(probes: np.ndarray, have: np.ndarray, tabled: bool = True):
+    """Rows and columns of the pairs that share a bucket, each once; or None and a table of them, if that is wanted, where they are more than a few in a hundred."""
     lines, meetings = [], 0
     for t in range(have.shape[1]):
         order = np.argsort(have[:, t], kind="stable")
@@ -140,6 +216,8 @@ def _shared(probes: np.ndarray, have: np.ndarray):
         lines.append((order, low, high - low))
         meetings += int((high - low).sum())
     if meetings * MANY > len(probes) * len(have):
+        if not tabled:
+            return None, None
         kind = np.min_scalar_type(-1 - int(max(probes.max(), have.max())))
         asked, held, table = probes.astype(kind), have.astype(kind), np.zeros((len(probes), len(have)), bool)
         for t in range(have.shape[1]):

@@ -44,6 +44,68 @@ def test_a_query_that_meets_buckets_of_some_tables_only(data):
     assert met and {tuple(r) for r in found} == met and len(found) == len(met)
 
 
+@pytest.mark.parametrize(("tables", "bits", "flips", "metric", "sent"), [(3, 2, 0, "cosine", 5), (3, 2, 0, "cosine", 100), (2, 9, 3, "manhattan", 5), (4, 3, 2, "dot", 5)])
+def test_hashed_index_exchanges_no_vectors_and_k_rows_a_query_and_task(spark, data, monkeypatch, tmp_path, tables, bits, flips, metric, sent):
+    from lodestone.operators.ann.index import VectorIndex
+
+    for name, size in (("QUERY_BLOCK", 8), ("VECTOR_BLOCK", 16), ("SENT_QUERIES", sent)):
+        monkeypatch.setattr(dense, name, size)
+    vectors, queries, x = data
+    index = VectorIndex.build(vectors, "lsh", f"{tmp_path}/index", tables=tables, bits=bits)
+    found = index.search(queries, 3, metric=metric, flips=flips)
+    assert not [line for line in planned(found).splitlines() if "Join Inner, (id" in line]
+    met = {(r["q_id"], r["id"]) for r in lsh.candidates(queries, lsh.signatures(vectors, index.arrays["normals"]), index.arrays["normals"], flips).collect()}
+    want = set()
+    for q in range(0, 400, 20):
+        scores = dense.similarity(x[q : q + 1], x, metric)[0]
+        best = sorted((i for i in range(400) if (q, i) in met), key=lambda i: (-round(scores[i], 9), i))[:3]
+        want |= {(q, i, n + 1, round(scores[i], 6)) for n, i in enumerate(best)}
+    assert {(r["q_id"], r["id"], r["rank"], round(r["score"], 6)) for r in found.collect()} == want
+    own = spark.read.parquet(f"{tmp_path}/index/vectors")
+    left = lsh._scored(queries, own, own, index.arrays["normals"], 3, metric, flips)
+    # Of each task, and not of each of the 25 blocks of vectors and more.
+    assert max(r["count"] for r in left.groupBy("q_id").count().collect()) <= 3 * min(3, own.rdd.getNumPartitions())
+    every = lsh.search_numbered(queries, own, index.arrays["normals"], 200_000, metric, flips=flips)  # more than a task keeps
+    assert {(r["q_id"], r["id"]) for r in every.collect()} == met
+
+
+def test_the_best_so_far_are_those_of_all_blocks():
+    rng = np.random.default_rng(2)
+    q, m = rng.integers(-3, 4, (9, 4)).astype(float), rng.integers(-3, 4, (300, 4)).astype(float)
+    m[[5, 140, 290]] = np.nan
+    ids, probes, have = rng.permutation(300), rng.integers(0, 3, (9, 2, 1)), rng.integers(0, 3, (300, 2))
+    probes[8], have[250, 1] = 7, 7  # a query that meets one vector
+    best = lsh._Best(np.arange(9), q, probes, 6, "dot")
+    for i in range(0, 300, 20):
+        best.meet(ids[i : i + 20], m[i : i + 20], have[i : i + 20])
+    s = q @ m.T
+    for r in range(9):
+        meets = [i for i in range(300) if (probes[r, :, 0] == have[i]).any()]
+        meets.sort(key=lambda i: (-np.inf if np.isnan(s[r, i]) else -s[r, i], ids[i]))
+        assert best.id[best.row == r].tolist() == ids[meets[:6]].tolist() != []
+
+
+def test_parts_bound_what_is_exchanged():
+    for n, cores in ((10**6, 8), (10**6, 1000), (10**9, 1000)):
+        parts, groups = dense.dealt(n // 20, n, 10, 64, cores)
+        assert parts * (n // 20) * 10 * dense.ROW_BYTES <= n * 64 * 4 / 2
+        assert parts * groups >= cores and n // 20 / groups <= dense.TASK_QUERIES
+
+
+def test_an_index_with_a_table_of_buckets_is_still_read(spark, data, tmp_path):
+    from lodestone.operators.ann import base
+    from lodestone.operators.ann.index import VectorIndex
+
+    vectors, queries, _ = data
+    some, normals = vectors.where("id < 300"), lsh.planes(8, 3, 2)
+    some.write.parquet(f"{tmp_path}/old/vectors")
+    base.save({"buckets": lsh.signatures(some, normals)}, f"{tmp_path}/old", {"normals": normals}, kind="lsh", width=8, n=300)
+    old = VectorIndex(spark, f"{tmp_path}/old").add(vectors)
+    new = VectorIndex.build(some, "lsh", f"{tmp_path}/new", tables=3, bits=2).add(vectors)
+    rows = lambda index: sorted((r["q_id"], r["rank"], r["id"], round(r["score"], 9)) for r in index.search(queries, 5).collect())
+    assert old.manifest["n"] == new.manifest["n"] == 400 and rows(old) == rows(new) and len(rows(new)) == 100
+
+
 def test_all_pairs_are_not_exchanged(spark, data):
     vectors, queries, x = data
     from lodestone.plans import catalog
