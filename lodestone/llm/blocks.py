@@ -3,7 +3,7 @@
 A block is one row: the ids and lengths of its documents, its distinct words, and every word of its texts as a number
 within the block. Exchanges with the rest of the corpus then carry one entry for each distinct thing in a block, and an
 answer is bits or counts in the order that was asked. The table of blocks lies in the shared folder, so block numbers
-hold whatever executors are lost.
+hold whatever executors are lost, and is bucketed by them, so answers go to the blocks and blocks are never exchanged.
 
 Words are runs of bytes other than blank and \\t to \\r. Nulls are texts without words. A document is never split: a
 very long one is a block by itself.
@@ -78,8 +78,13 @@ def _close(number: int, docs: list[tuple[int | None, bool, list[bytes]]]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], NAMES)
 
 
+def parts(df: DataFrame) -> int:
+    """Buckets of the table of blocks, and partitions of what is joined to it: as many as an exchange has."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag: Column | None = None, lower: bool = False) -> DataFrame:
-    """The stored table of blocks. ``flag`` is a truth of each document, kept with it; ``lower`` folds A-Z only."""
+    """The stored table of blocks, bucketed by their numbers. ``flag`` is a truth of each document, kept with it; ``lower`` folds A-Z only."""
     importable(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"))
 
@@ -97,7 +102,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag: Co
         if docs:
             yield _close(part << 32 | made, docs)
 
-    return stored(rows.mapInArrow(run, SCHEMA))
+    return stored(rows.mapInArrow(run, SCHEMA), "block", parts(df))
 
 
 def digests(words: list[bytes]) -> np.ndarray:
@@ -118,6 +123,9 @@ def slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every block with the answers to it, in order of their buckets: at most as many as the block has distinct entries, which its size bounds."""
-    told = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
+    """Every block with the answers to it, in order of their buckets: at most as many as the block has distinct entries, which its size bounds.
+
+    Only answers are exchanged: into the parts in which the blocks lie already.
+    """
+    told = answers.repartition(parts(blocks), "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
     return blocks.join(told, "block", "left")
