@@ -118,6 +118,40 @@ def test_all_pairs_are_not_exchanged(spark, data):
     assert "Window" not in planned(matrix) and "rank" not in planned(matrix)
 
 
+def test_all_pairs_of_two_blocks_come_by_score(spark, data, monkeypatch):
+    vectors, queries, x = data
+    monkeypatch.setattr(dense, "PAIR_BLOCK", 150)
+    monkeypatch.setattr(dense, "SLICE", 37)
+    holed = vectors.unionByName(spark.createDataFrame([(400, [float("nan")] * 8), (401, [0.0] * 8), (402, None)], vectors.schema)).coalesce(1)
+    parts = [[tuple(r) for r in part] for part in dense.every_pair(queries.coalesce(1), holed, places=3).rdd.glom().collect()]
+    scores = [s for part in parts for _, _, s in part]
+    assert sum(a > b for a, b in zip(scores, scores[1:], strict=False)) == 2  # three blocks
+    want = np.round(dense.similarity(x[::20], np.vstack([x, np.zeros((1, 8))]), "cosine"), 3)
+    got = {(q, i): s for part in parts for q, i, s in part}
+    assert len(scores) == len(got) == 20 * 401 and (7, 400) not in got
+    assert all(abs(want[q // 20, i - (i == 401)] - s) < 1e-9 for (q, i), s in got.items())
+
+
+def test_all_pairs_take_half_the_bytes_when_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    vectors = spark.range(8192, numPartitions=1).select("id", F.array(*[F.randn(i).cast("float") for i in range(64)]).alias("embedding"))
+    dense.every_pair(vectors.where("id < 512").withColumnRenamed("id", "q_id"), vectors, places=6).write.parquet(f"{tmp_path}/all")
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 512 * 8192
+    assert sum(f.stat().st_size for f in (tmp_path / "all").glob("*.parquet")) < 5 * 512 * 8192  # 9.2 before
+
+
+def test_rounding_in_a_task_is_that_of_sql(spark):
+    from pyspark.sql import functions as F
+
+    x = [0.5, -0.5, 1.5, 2.5, 0.0, -0.0, 0.1234565, -0.1234565, 0.49999999999999994e-6, 1.0, -1e-9, 0.9999999, 123456.7890625, *np.random.default_rng(3).normal(size=2000).tolist()]
+    for places in (0, 6):
+        want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", places)).collect()]
+        got = dense.rounded(np.array(x), places)
+        assert got.tolist() == want and not np.signbit(got[got == 0]).any()
+    assert dense.rounded(np.array([1e305, -np.inf]), 6).tolist() == [1e305, -np.inf]
+
+
 def test_classes_measure_as_their_pairs_do(spark):
     from lodestone.operators import metrics
 
